@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .linededup import OP1_SQL, op1_linededup
 from .mixing import op2_mixing
 from .sharding import op6_sharding
+from .simhash import op8_simhash
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op6_sharding)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_linededup, op2_mixing, op6_sharding, op8_simhash)}
+ORACLE_SQL = {"op1_linededup": OP1_SQL}
