@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .decontamination import op3_decontamination
 from .linededup import OP1_SQL, op1_linededup
 from .mixing import op2_mixing
+from .quality import op5_quality
 from .sharding import op6_sharding
 from .simhash import op8_simhash
 
-QUERIES = {f.__name__: f for f in (op1_linededup, op2_mixing, op6_sharding, op8_simhash)}
+QUERIES = {f.__name__: f for f in (op1_linededup, op2_mixing, op3_decontamination, op5_quality, op6_sharding, op8_simhash)}
 ORACLE_SQL = {"op1_linededup": OP1_SQL}
