@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .common import as_bytes, crc_mod, map_batches
 
@@ -186,7 +186,7 @@ def with_scores(docs: DataFrame, model: Model, threshold: float = 0.7, text: str
     spark = docs.sparkSession
     own = docs.drop("score", "predicted")
     sent = spark.sparkContext.broadcast(model)
-    schema = own.schema.add("score", DoubleType()).add("predicted", IntegerType())
+    schema = StructType([*own.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
