@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, crc_mod, id_crc, map_batches, written
+from .common import as_bytes, crc_mod, hashed_sample, map_batches, written
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK, CONTEXT, WIDTH, HEAD, HIDDEN = 16, 16, 32, 16, 48
@@ -376,7 +376,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 def fit(texts: DataFrame, tokenizer: str = TOKENIZER) -> tuple[dict[str, np.ndarray], Subwords]:
     """Weights and subwords of a model of the texts (doc_id, binary t).
 
-    The vocabulary and the first weights come from a sample: WARM_DOCS texts in the order of a hash, up to WARM_IDS ids. Then
+    The vocabulary and the first weights come from a sample: about WARM_DOCS texts drawn by a hash, up to WARM_IDS ids. Then
     in each round every task trains on its own texts of that round's part of 1/SHARE of all texts, and the
     tasks' weights are averaged by the ids they saw. So what is learnt from grows with the texts, and the driver gets
     SUM_GROUPS sums of weights.
@@ -384,7 +384,7 @@ def fit(texts: DataFrame, tokenizer: str = TOKENIZER) -> tuple[dict[str, np.ndar
     spark = texts.sparkSession
     with open(tokenizer, "rb") as f:
         proto = f.read()
-    sample = [lower_words(bytes(r[0])) for r in texts.where(F.octet_length("t") <= WARM_BYTES).orderBy(F.xxhash64("t", "doc_id"), "doc_id").limit(WARM_DOCS).select("t").toLocalIterator()]
+    sample = [lower_words(bytes(r[0])) for r in hashed_sample(texts.where(F.octet_length("t") <= WARM_BYTES).select("t"), WARM_DOCS, F.col("t")).orderBy(F.xxhash64("t"), "t").collect()]
     sp, seen, counts = Subwords(proto, []), Counter(w for t in sample for w in t), Counter()
     for w, own in zip(seen, sp.raw(list(seen)), strict=True):
         for p in own:
