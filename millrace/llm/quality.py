@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import as_bytes, crc_mod, map_batches
+from .common import as_bytes, crc_mod, map_batches, written
 
 #: log2 of the number of hashed features.
 BITS = 18
@@ -155,27 +155,28 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, c: float = 1.0, folds: int =
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", where=None) -> Model:
-    """Fit to a sample of the labelled documents that `where` keeps, by text and label alone.
+    """Fit to a sample of the labelled documents that `where`, a condition on doc_id, keeps; by text and label alone.
 
-    The sample is the first SAMPLE_DOCS documents in the order of a hash of their id and text, and ends early at SAMPLE_FEATURES
-    features. Only their features come to the driver. Null labels are no labels; of an id's labels the largest counts.
+    The sample is the first SAMPLE_DOCS labelled ids in the order of a hash of the id, less what goes beyond SAMPLE_FEATURES features. It is
+    chosen by ids alone; then its texts are found in one pass, beside which nothing is shuffled, and only their
+    features come to the driver. Null labels and ids are no labels; of an id's labels the largest counts.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             f = [document_features(t.as_py()).astype(np.int32) for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.int32())), b.column(1)], ["f", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.list_(pa.int32())), *b.columns[1:]], ["f", "y", "h"])
 
-    marks = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     own = docs if where is None else docs.where(where)
-    sample = own.select("doc_id", as_bytes("text").alias("t")).join(marks, "doc_id").orderBy(F.xxhash64("doc_id", "t"), "doc_id").limit(SAMPLE_DOCS).select("t", "y")
-    rows, y, n = [], [], 0
-    for r in map_batches(sample, run, "f array<int>, y int").toLocalIterator():
-        rows.append(np.array(r["f"], np.int64))
-        y.append(r["y"])
-        if (n := n + len(rows[-1])) >= SAMPLE_FEATURES:
-            break
-    return fit(rows, np.array(y, int))
+    marks = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
+    ids = own.select("doc_id").distinct().join(marks, "doc_id").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(SAMPLE_DOCS)
+    sample = own.select("doc_id", as_bytes("text").alias("t")).join(F.broadcast(ids), "doc_id").select("t", "y", "h")
+    found = written(map_batches(sample, run, "f array<int>, y int, h long"), "sample")
+    sizes = sorted((r[0], r[1]) for r in found.groupBy("h").agg(F.sum(F.size("f"))).collect())
+    total = np.cumsum([n for _, n in sizes])
+    last = sizes[min(int(np.searchsorted(total, SAMPLE_FEATURES)), len(sizes) - 1)][0] if sizes else 0
+    kept = sorted(found.where(F.col("h") <= last).collect(), key=lambda r: (r["h"], r["y"], r["f"]))
+    return fit([np.array(r["f"], np.int64) for r in kept], np.array([r["y"] for r in kept], int))
 
 
 def with_scores(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
