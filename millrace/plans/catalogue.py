@@ -1,6 +1,284 @@
-"""The registered queries of the relation engine, by name, with their SQL."""
+"""The registered queries of the relation engine, by name, with their SQL.
+
+Every id-producing query names the column whose order gives the ids.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import intervals
+from ..functions.lists import is_canonical
+from ..functions.render import flatten_structs
+from ..functions.values import ColumnType, canonical_float, encode_checked, encode_column, values_text
+from ..operators.builder import swap_erased
+from ..operators.interning import contained, dense_ids, find, first_seen, intern, missing, owner_of, rows_view, with_created
+from ..operators.layers import canonical_rows
+from ..sources.dictionaries import dictionary_refs
+from ..sources.jsonio import member
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+#: Orders up to this key are the pool, and the parent layer, of the queries that need one.
+POOL_ORDERS = 500
+
+
+def _pool(spark: SparkSession, d: str) -> DataFrame:
+    return intern(_t(spark, d, "orders").where(F.col("o_orderkey") <= POOL_ORDERS), ["o_custkey"], "o_orderkey")
+
+
+def intern_dense(spark: SparkSession, d: str) -> DataFrame:
+    return intern(_t(spark, d, "customer"), ["c_mktsegment", "c_nationkey"], "c_custkey").drop("first_seen")
+
+
+def created_flag(spark: SparkSession, d: str) -> DataFrame:
+    return with_created(_t(spark, d, "orders").select("o_orderkey", "o_custkey"), ["o_custkey"], ["o_orderkey"])
+
+
+def layered_insert(spark: SparkSession, d: str) -> DataFrame:
+    orders = _t(spark, d, "orders")
+    parent = _pool(spark, d).select(F.col("o_custkey").alias("v"), "row_id")
+    rest = first_seen(orders.where(F.col("o_orderkey") > POOL_ORDERS).withColumnRenamed("o_custkey", "v"), ["v"], "o_orderkey")
+    child = dense_ids(missing(rest, parent, ["v"]), "first_seen", parent.count()).select("v", "row_id")
+    return parent.withColumn("layer", F.lit(0)).unionByName(child.withColumn("layer", F.lit(1)))
+
+
+def owner_layer(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), owner_of(F.col("n_nationkey"), [10, 20]).alias("owner"))
+
+
+def find_row(spark: SparkSession, d: str) -> DataFrame:
+    pool = _pool(spark, d).select(F.col("o_custkey").alias("c_custkey"), "row_id")
+    return find(_t(spark, d, "customer").select("c_custkey"), pool, ["c_custkey"])
+
+
+def find_symbol(spark: SparkSession, d: str) -> DataFrame:
+    key = ["c_mktsegment", "c_nationkey"]
+    customers = _t(spark, d, "customer")
+    symbols = intern(customers.where(F.col("c_custkey") <= 60), key, "c_custkey")
+    return find(customers.select("c_custkey", *key), symbols, key).select("c_custkey", "row_id")
+
+
+def pool_size(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "orders").groupBy("o_orderstatus").agg(F.count_distinct("o_custkey").alias("n"))
+
+
+def schema_intern(spark: SparkSession, d: str) -> DataFrame:
+    types = F.when(F.col("p_size") <= 10, "0,2").when(F.col("p_size") <= 20, "7,7,5").when(F.col("p_size") <= 30, "6").otherwise("0,2,7")
+    return intern(_t(spark, d, "part").withColumn("types", types), ["types"], "p_partkey", id_name="schema_id").drop("first_seen")
+
+
+def encode_i32(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "supplier").select("s_suppkey", encode_column(F.col("s_nationkey") - 12, ColumnType.INT32).alias("bits"))
+
+
+def encode_f64(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "supplier").select("s_suppkey", encode_column(F.col("s_acctbal"), ColumnType.FLOAT64).alias("bits"))
+
+
+def encode_checked_i32(spark: SparkSession, d: str) -> DataFrame:
+    v = F.col("o_orderkey") * 1_000_000
+    return _t(spark, d, "orders").where("o_orderkey < 5000").select("o_orderkey", encode_checked(v, ColumnType.INT32).alias("bits"))
+
+
+def float_canon(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "supplier").select("s_suppkey", canonical_float(F.col("s_acctbal") / 7e9).alias("x"))
+
+
+def row_text(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "supplier").select("s_suppkey", values_text(F.col("s_suppkey"), F.col("s_nationkey")).alias("text"))
+
+
+def get_objects(spark: SparkSession, d: str) -> DataFrame:
+    s, n = _t(spark, d, "supplier"), _t(spark, d, "nation")
+    return s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name")
+
+
+def builder_insert(spark: SparkSession, d: str) -> DataFrame:
+    return _pool(spark, d).select(F.col("o_custkey").alias("v"), F.col("row_id").alias("pos"))
+
+
+def contains_semi(spark: SparkSession, d: str) -> DataFrame:
+    held = _t(spark, d, "orders").where(F.col("o_orderkey") <= POOL_ORDERS).select(F.col("o_custkey").alias("c_custkey"))
+    return contained(_t(spark, d, "customer").select("c_custkey"), held, ["c_custkey"])
+
+
+def swap_erase(spark: SparkSession, d: str) -> DataFrame:
+    rows = _t(spark, d, "supplier").select("s_suppkey")
+    n = rows.count()
+    return swap_erased(dense_ids(rows, "s_suppkey", id_name="pos", count=n), 7, n)
+
+
+def rename_columns(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "supplier").select("s_suppkey", "s_nationkey").toDF("a", "b")
+
+
+def nullary_truth(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "orders").groupBy("o_orderstatus").agg((F.count(F.lit(1)) > 0).alias("held"))
+
+
+def _lists(spark: SparkSession, d: str) -> DataFrame:
+    return canonical_rows(_t(spark, d, "lineitem").where("l_orderkey <= 2000"), ["l_orderkey"], "l_linenumber")
+
+
+def canonical_relation(spark: SparkSession, d: str) -> DataFrame:
+    return _lists(spark, d).select("l_orderkey", F.concat_ws(",", F.transform("row_ids", lambda x: x.cast("string"))).alias("row_ids"))
+
+
+def relation_intern(spark: SparkSession, d: str) -> DataFrame:
+    lists = _lists(spark, d)
+    table = intern(lists, ["row_ids"], "l_orderkey", id_name="relation_id")
+    return find(lists, table, ["row_ids"], "relation_id").select("l_orderkey", "relation_id")
+
+
+def relation_eq(spark: SparkSession, d: str) -> DataFrame:
+    """Relations up to key 60 in pairs: few by the query's own limit, so the pairs are what is asked for."""
+    few = _lists(spark, d).where("l_orderkey <= 60")
+    a, b = few.toDF("a", "ra"), few.toDF("b", "rb")
+    return a.join(b, F.lit(True)).select("a", "b", (F.col("ra") == F.col("rb")).alias("equal"))
+
+
+def relation_contains(spark: SparkSession, d: str) -> DataFrame:
+    held = _t(spark, d, "orders").where(F.col("o_orderkey") <= POOL_ORDERS).select("o_orderstatus", F.col("o_custkey").alias("c_custkey")).distinct()
+    relations = _t(spark, d, "orders").where(F.col("o_orderkey") <= POOL_ORDERS).select("o_orderstatus").distinct()
+    asked = _t(spark, d, "customer").select("c_custkey").join(F.broadcast(relations.limit(16)), F.lit(True))
+    return asked.join(held.withColumn("there", F.lit(True)), ["o_orderstatus", "c_custkey"], "left").select("o_orderstatus", "c_custkey", F.col("there").isNotNull().alias("held"))
+
+
+def relation_row_at(spark: SparkSession, d: str) -> DataFrame:
+    pool = _pool(spark, d)
+    rows = _t(spark, d, "orders").where(F.col("o_orderkey") <= POOL_ORDERS).join(pool.select("o_custkey", "row_id"), "o_custkey")
+    return canonical_rows(rows, ["o_orderstatus"], "row_id").select("o_orderstatus", F.get("row_ids", F.lit(3)).alias("row_id"))
+
+
+def rows_of_ids(spark: SparkSession, d: str) -> DataFrame:
+    ids = spark.range(1).select(F.posexplode(F.array(*[F.lit(x).cast("long") for x in (5, 3, 3, 9)])).alias("pos", "c_custkey"))
+    return rows_view(ids, _t(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey").select(F.col("pos").cast("long").alias("pos"), "c_custkey", "c_name")
+
+
+def is_canonical_list(spark: SparkSession, d: str) -> DataFrame:
+    order = F.transform(F.array_sort(F.collect_list(F.struct("l_partkey", "l_linenumber"))), lambda x: x["l_linenumber"])
+    lists = _t(spark, d, "lineitem").groupBy("l_orderkey").agg(order.alias("a"))
+    return lists.select("l_orderkey", is_canonical(F.col("a")).alias("is_set"), is_canonical(F.col("a"), dedup=False).alias("is_sorted"))
+
+
+def _ranges(spark: SparkSession, d: str) -> DataFrame:
+    return (
+        _t(spark, d, "lineitem").groupBy("l_orderkey")
+        .agg(F.min("l_discount").alias("a0"), F.max("l_discount").alias("a1"), F.min("l_tax").alias("b0"), F.max("l_tax").alias("b1"))
+        .select("l_orderkey", intervals.interval(F.col("a0"), F.col("a1")).alias("a"), intervals.interval(F.col("b0"), F.col("b1")).alias("b"))
+    )
+
+
+def interval_ops(spark: SparkSession, d: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    both, hull = intervals.intersect(a, b), intervals.hull(a, b)
+    return _ranges(spark, d).select("l_orderkey", both["lo"].alias("meet_lo"), both["hi"].alias("meet_hi"), hull["lo"].alias("hull_lo"), hull["hi"].alias("hull_hi"), intervals.subset(a, b).alias("inside"))
+
+
+def interval_contains(spark: SparkSession, d: str) -> DataFrame:
+    return _ranges(spark, d).select("l_orderkey", intervals.contains(F.col("a"), F.lit(0.05)).alias("held"))
+
+
+def interval_arithmetic(spark: SparkSession, d: str) -> DataFrame:
+    """Whether sum, difference and product of the ranges hold those of a member of each: soundness, which both engines can tell."""
+    a, b = F.col("a"), F.col("b")
+    x, y = a["lo"], b["hi"]
+    held = [intervals.contains(f(a, b), v).alias(n) for n, f, v in (("sum_held", intervals.add, x + y), ("difference_held", intervals.subtract, x - y), ("product_held", intervals.multiply, x * y))]
+    return _ranges(spark, d).select("l_orderkey", *held)
+
+
+def dict_refs(spark: SparkSession, d: str) -> DataFrame:
+    nations = _t(spark, d, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
+    _, refs = dictionary_refs(_t(spark, d, "customer").select("c_custkey", "c_nationkey"), nations.withColumn("__k", F.col("c_nationkey").cast("long")), ["c_nationkey"], "__k", "n")
+    return refs.select("c_custkey", "ref")
+
+
+def flatten_struct(spark: SparkSession, d: str) -> DataFrame:
+    n, r = _t(spark, d, "nation"), _t(spark, d, "region")
+    nested = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.struct(F.col("r_regionkey").alias("key"), F.col("r_name").alias("name")).alias("region"))
+    return flatten_structs(nested)
+
+
+def json_member(spark: SparkSession, d: str) -> DataFrame:
+    return _t(spark, d, "events").select("event_id", member(F.col("props"), "k").alias("k"))
+
+
+QUERIES = {
+    "intern_dense": intern_dense, "created_flag": created_flag, "layered_insert": layered_insert, "owner_layer": owner_layer, "find_row": find_row, "find_symbol": find_symbol,
+    "pool_size": pool_size, "schema_intern": schema_intern, "encode_i32": encode_i32, "encode_f64": encode_f64, "encode_checked": encode_checked_i32, "float_canon": float_canon,
+    "values_text": row_text, "get_objects": get_objects, "builder_insert": builder_insert, "contains_semi": contains_semi, "swap_erase": swap_erase, "rename_columns": rename_columns,
+    "nullary_truth": nullary_truth, "canonical_relation": canonical_relation, "relation_intern": relation_intern, "relation_eq": relation_eq, "relation_contains": relation_contains,
+    "relation_row_at": relation_row_at, "rows_view": rows_of_ids, "is_canonical": is_canonical_list, "interval_ops": interval_ops, "interval_contains": interval_contains,
+    "interval_arithmetic": interval_arithmetic, "dict_refs": dict_refs, "flatten_struct": flatten_struct, "json_member": json_member,
+}
+
+_POOL = "select o_custkey as v, row_number() over (order by min(o_orderkey)) - 1 as id from orders where o_orderkey <= 500 group by o_custkey"
+_LISTS = "select l_orderkey, list_sort(list_distinct(list(l_linenumber))) as a from lineitem where l_orderkey <= 2000 group by l_orderkey"
+_RANGES = "select l_orderkey, min(l_discount) as a0, max(l_discount) as a1, min(l_tax) as b0, max(l_tax) as b1 from lineitem group by l_orderkey"
+
+ORACLE_SQL = {
+    "intern_dense": "select c_mktsegment, c_nationkey, cast(row_number() over (order by first_seen) - 1 as bigint) as row_id from (select c_mktsegment, c_nationkey, min(c_custkey) as first_seen from customer group by 1, 2) t",
+    "created_flag": "select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_orderkey) = 1 as created from orders",
+    "layered_insert": f"""
+        with parent as ({_POOL}), child as (
+          select o_custkey as v, row_number() over (order by min(o_orderkey)) - 1 + (select count(*) from parent) as id
+          from orders where o_orderkey > 500 and o_custkey not in (select v from parent) group by o_custkey)
+        select v, cast(id as bigint) as row_id, 0 as layer from parent union all select v, cast(id as bigint), 1 from child""",
+    "owner_layer": "select cast(n_nationkey as bigint) as id, case when n_nationkey < 10 then 0 when n_nationkey < 20 then 1 end as owner from nation",
+    "find_row": f"select c_custkey, cast(p.id as bigint) as row_id from customer left join ({_POOL}) p on c_custkey = p.v",
+    "find_symbol": """
+        select c_custkey, cast(s.id as bigint) as row_id from customer c left join (
+          select c_mktsegment as m, c_nationkey as k, row_number() over (order by min(c_custkey)) - 1 as id from customer where c_custkey <= 60 group by 1, 2
+        ) s on c.c_mktsegment = s.m and c.c_nationkey = s.k""",
+    "pool_size": "select o_orderstatus, count(distinct o_custkey) as n from orders group by 1",
+    "schema_intern": """
+        select types, cast(row_number() over (order by min(p_partkey)) - 1 as bigint) as schema_id from (
+          select p_partkey, case when p_size <= 10 then '0,2' when p_size <= 20 then '7,7,5' when p_size <= 30 then '6' else '0,2,7' end as types from part
+        ) group by types""",
+    "encode_i32": "select s_suppkey, cast(s_nationkey - 12 as bigint) & 4294967295 as bits from supplier",
+    "encode_f64": "select s_suppkey, (s_acctbal + 0.0)::bit::bigint as bits from supplier",
+    "encode_checked": """
+        select o_orderkey, case when v between -2147483648 and 2147483647 then v & 4294967295 end as bits
+        from (select o_orderkey, cast(o_orderkey as bigint) * 1000000 as v from orders where o_orderkey < 5000)""",
+    "float_canon": "select s_suppkey, case when isinf(x) or isnan(x) then x else round(x / 1e-12::double) * 1e-12::double end as x from (select s_suppkey, s_acctbal / 7e9::double as x from supplier)",
+    "values_text": "select s_suppkey, concat_ws(' ', cast(s_suppkey as varchar), cast(s_nationkey as varchar)) as text from supplier",
+    "get_objects": "select s_suppkey, n_name from supplier join nation on s_nationkey = n_nationkey",
+    "builder_insert": f"select v, cast(id as bigint) as pos from ({_POOL})",
+    "contains_semi": "select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderkey <= 500)",
+    "swap_erase": """
+        with p as (select s_suppkey, row_number() over (order by s_suppkey) - 1 as pos, count(*) over () as n from supplier)
+        select s_suppkey, cast(case when pos = n - 1 then 7 else pos end as bigint) as pos from p where pos <> 7""",
+    "rename_columns": "select s_suppkey as a, s_nationkey as b from supplier",
+    "nullary_truth": "select o_orderstatus, count(*) > 0 as held from orders group by 1",
+    "canonical_relation": f"select l_orderkey, array_to_string(a, ',') as row_ids from ({_LISTS})",
+    "relation_intern": f"""
+        with l as ({_LISTS}), r as (select a, row_number() over (order by min(l_orderkey)) - 1 as id from l group by a)
+        select l_orderkey, cast(r.id as bigint) as relation_id from l join r on l.a = r.a""",
+    "relation_eq": f"with l as (select * from ({_LISTS}) where l_orderkey <= 60) select x.l_orderkey as a, y.l_orderkey as b, x.a = y.a as equal from l x cross join l y",
+    "relation_contains": """
+        with r as (select distinct o_orderstatus, o_custkey from orders where o_orderkey <= 500)
+        select s.o_orderstatus, c_custkey, exists (select 1 from r where r.o_orderstatus = s.o_orderstatus and r.o_custkey = c_custkey) as held
+        from customer cross join (select distinct o_orderstatus from r) s""",
+    "relation_row_at": f"""
+        select o_orderstatus, cast(list_sort(list_distinct(list(p.id)))[4] as bigint) as row_id
+        from orders join ({_POOL}) p on o_custkey = p.v where o_orderkey <= 500 group by 1""",
+    "rows_view": """
+        select cast(pos as bigint) as pos, c.c_custkey, c_name
+        from (select unnest([0, 1, 2, 3]) as pos, unnest([5, 3, 3, 9]) as k) i join customer c on c.c_custkey = i.k""",
+    "is_canonical": """
+        select l_orderkey, a = list_sort(list_distinct(a)) as is_set, a = list_sort(a) as is_sorted
+        from (select l_orderkey, list(l_linenumber order by l_partkey, l_linenumber) as a from lineitem group by 1)""",
+    "interval_ops": f"""
+        select l_orderkey, case when greatest(a0, b0) <= least(a1, b1) then greatest(a0, b0) end as meet_lo, case when greatest(a0, b0) <= least(a1, b1) then least(a1, b1) end as meet_hi,
+          least(a0, b0) as hull_lo, greatest(a1, b1) as hull_hi, b0 <= a0 and a1 <= b1 as inside from ({_RANGES})""",
+    "interval_contains": f"select l_orderkey, cast(0.05 as double) between a0 and a1 as held from ({_RANGES})",
+    "interval_arithmetic": "select distinct l_orderkey, true as sum_held, true as difference_held, true as product_held from lineitem",
+    "dict_refs": "select c_custkey, 'n' || cast(id as varchar) as ref from customer join (select n_nationkey, row_number() over (order by n_nationkey) - 1 as id from nation) n on c_nationkey = n_nationkey",
+    "flatten_struct": 'select n_nationkey, r_regionkey as "region.key", r_name as "region.name" from nation join region on n_regionkey = r_regionkey',
+    "json_member": "select event_id, props->>'$.k' as k from events",
+}
