@@ -151,6 +151,11 @@ def cast_value(value: object, type_id: int) -> bool | int | float:
 # Columns -----------------------------------------------------------------------------------------------------------------
 
 
+def _whole(n: int) -> Column:
+    """A whole number of any size."""
+    return F.lit(str(n)).cast("decimal(38,0)")
+
+
 def normalised(c: Column, type_id: int) -> Column:
     """A column as rows hold it: floats without negative zero. NaNs are one value to Spark's joins and groups already."""
     kind = column_type(type_id)
@@ -174,7 +179,7 @@ def encode_column(c: Column, type_id: int) -> Column:
     if kind == ColumnType.BOOL:
         return c.cast("int").cast("long")
     if kind == ColumnType.UINT64:
-        half = F.lit(2**63).cast("decimal(20,0)")
+        half = _whole(2**63)
         return F.when(c >= half, (c - half - half).cast("long")).otherwise(c.cast("long"))
     wide = c.cast("long")
     return wide.bitwiseAND(F.lit(0xFFFFFFFF)) if WHOLE_BITS[kind] == 32 else wide
@@ -194,7 +199,7 @@ def decode_column(bits: Column, type_id: int) -> Column:
         return bits != 0
     if kind == ColumnType.UINT64:
         wide = bits.cast("decimal(20,0)")
-        return F.when(bits < 0, (wide + F.lit(2**64).cast("decimal(20,0)")).cast("decimal(20,0)")).otherwise(wide)
+        return F.when(bits < 0, (wide + _whole(2**64)).cast("decimal(20,0)")).otherwise(wide)
     if kind == ColumnType.INT64:
         return bits.cast("long")
     low = bits.bitwiseAND(F.lit(0xFFFFFFFF))
@@ -206,7 +211,7 @@ def fits(c: Column, type_id: int, object_bits: int = 32) -> Column:
     kind = column_type(type_id)
     low, high = (0, 2**object_bits - 1) if kind == ColumnType.OBJECT else _RANGES[kind]
     wide = c.cast("decimal(38,0)")
-    return wide.between(F.lit(low).cast("decimal(38,0)"), F.lit(high).cast("decimal(38,0)"))
+    return wide.between(_whole(low), _whole(high))
 
 
 def encode_checked(c: Column, type_id: int) -> Column:

@@ -276,6 +276,9 @@ class Layer:
         """Relations along the chain."""
         return len(self.relations())
 
+    def __bool__(self) -> bool:
+        return True
+
     # Clearing ----------------------------------------------------------------------------------------------------------
 
     def clear(self) -> None:
