@@ -297,7 +297,7 @@ class Words:
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.flat, self.size = np.zeros(0, np.int16), np.zeros(0, np.int64)
+        self.flat, self.size, self.start = np.zeros(0, np.int16), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.hash, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def learn(self, words: set[bytes]) -> None:

@@ -50,18 +50,19 @@ def targets(sizes: dict[str | None, int], weights: Sequence[float] = (5, 2, 1),
 
 
 def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each length (at most its count) sum to the largest number up to budget, by dynamic programming.
+    """How many of each length (at most its count) sum to the number nearest to budget, the lower of two, by dynamic programming.
 
-    first[x] is the item that made the sum x reachable, so the memory is that of the budget, whatever the items.
+    first[x] is the item that made the sum x reachable, so the memory is that of the budget and a length, whatever the items.
     """
     taken = np.zeros(len(lengths), np.int64)
     if budget <= 0:
         return taken
-    first = np.full(budget + 1, -1, np.int32)
-    reach = np.zeros(budget + 1, bool)
+    end = budget + int(min(budget, lengths[counts > 0].max(initial=0)))  # a sum beyond is no nearer than none
+    first = np.full(end + 1, -1, np.int32)
+    reach = np.zeros(end + 1, bool)
     reach[0] = True
     for i in np.argsort(-lengths, kind="stable"):
-        x, most = int(lengths[i]), int(min(counts[i], budget // max(1, lengths[i])))
+        x, most = int(lengths[i]), int(min(counts[i], end // max(1, lengths[i])))
         if x < 1 or most < 1:
             continue
         k, now = 1, reach.copy()
@@ -75,11 +76,11 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         reach = now
         if reach[budget]:
             break
-    at, rank = int(np.flatnonzero(reach)[-1]), {int(i): n for n, i in enumerate(np.argsort(-lengths, kind="stable"))}
+    sums = np.flatnonzero(reach)
+    at = int(sums[np.abs(sums - budget).argmin()])
     while at:
         i = int(first[at])
-        n = rank[i]
-        while at and first[at] >= 0 and rank[int(first[at])] == n:
+        while at and first[at] == i:
             at -= int(lengths[i])
             taken[i] += 1
     return taken
