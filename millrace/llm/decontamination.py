@@ -112,7 +112,7 @@ class Index:
 
 
 def overlaps(docs: DataFrame, tests: DataFrame, item_key: str = "item_id") -> DataFrame:
-    """A row for each overlap of a document with a test item: doc_id, item_id, first_word, n_words, n_equal, item_words.
+    """A row for each overlap of a document with a test item: doc_id, item_id, first_word (of the document, from 0), n_words, n_equal, item_words.
 
     Words are runs of letters, digits and underscores in lower case. An overlap has a span of SPAN words of the item (all of
     an item with fewer) of which at most SUBSTITUTIONS (none) differ; it reaches from the first such span to the last on one

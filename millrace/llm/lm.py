@@ -320,7 +320,7 @@ class Words:
         """(first text, end, indices of their words): in parts that fit the memory of words."""
         a, n = 0, 0
         for b in range(len(texts) + 1):
-            if b == len(texts) or n and n + len(texts[b]) > CACHE:
+            if b > a and (b == len(texts) or n and n + len(texts[b]) > CACHE):
                 flat = [w for t in texts[a:b] for w in t]
                 self.learn(set(flat))
                 yield a, b, np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
