@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from .common import BLANK, as_bytes, discard, id_key, map_batches, scratch, written
 
 
+#: A key with more than one in HOT of all pairs of key and document is treated as hot.
+HOT = 1024
+
+
 def line_key(line: bytes) -> bytes:
     """A line without white space at both ends, A-Z lower-cased."""
     return line.strip(BLANK).lower()
@@ -100,8 +104,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     runs = LineRuns(spark, fanout)
     for n in range(len(set(cuts)) + 1):
         runs.add(table.where(F.col("batch") == n).groupBy("h1", "h2").agg(F.count_distinct("doc").alias("docs"), F.max("doc").alias("holder")))
-    frequent = runs.totals().where(F.col("docs") >= min_docs).select("h1", "h2", "holder")
-    drops = table.join(frequent, ["h1", "h2"]).where("doc <> holder").groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
+    frequent = written(runs.totals().where(F.col("docs") >= min_docs), "frequent")
+    # keys with over 1/HOT of all pairs of key and document: fewer than HOT of them, so they are broadcast and none fills a task
+    hot = F.col("docs") * HOT > (table.count() or 1)
+    heavy = frequent.where(hot).select("h1", "h2", F.col("holder").alias("hot_holder"))
+    seen = table.drop("batch").join(F.broadcast(heavy), ["h1", "h2"], "left")
+    rest = seen.where("hot_holder is null").join(frequent.where(~hot).select("h1", "h2", "holder"), ["h1", "h2"]).where("doc <> holder")
+    gone = seen.where("doc <> hot_holder").select("doc", "h1", "h2").union(rest.select("doc", "h1", "h2"))
+    drops = gone.groupBy("doc").agg(F.collect_set(F.struct("h1", "h2")).alias("drop"))
 
     def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
