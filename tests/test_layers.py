@@ -163,3 +163,17 @@ def test_builder(spark):
     assert none.size == 1
     none.erase(0)
     assert none.empty
+
+
+def test_rows_are_read_by_position(spark):
+    from millrace.operators import rows as R
+
+    types = [T.OBJECT, T.INT32, T.INT32]
+    df = spark.createDataFrame([(1, -1, 5), (9, 2, 3)], "c0 long, c1 int, c2 int")
+    assert R.typed(types, T.INT32, 1) == ["c1", "c2"] and R.value_column(types, 0) == "c0"
+    for bad, error in ((lambda: R.value_column(types, 3), IndexError), (lambda: R.typed(types, T.INT32), ValueError), (lambda: R.typed(types, T.INT32, 2, 9), IndexError)):
+        with pytest.raises(error):
+            bad()
+    assert df.select(R.all_bits(types)).first()[0] == [1, 2**32 - 1, 5]
+    objects = spark.createDataFrame([(1, "one")], "id long, name string")
+    assert [r["o0"] and r["o0"]["name"] for r in R.with_objects(df, types, objects).orderBy("c0").collect()] == ["one", None]
