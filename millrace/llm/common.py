@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-import zlib
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -17,7 +16,6 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 #: `[\x20\x09-\x0D]`: what bytes.split() and bytes.strip() take as white space.
 BLANK = b" \t\n\x0b\x0c\r"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word, as Java's and DuckDB's regular expressions write it.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -82,11 +80,6 @@ def id_key(c: str = "doc_id") -> Column:
     return F.coalesce(F.col(c).cast("long"), F.lit(NULL_ID))
 
 
-def id_crc(doc_id: int | None) -> int:
-    """crc32 of an id as text; null: of the empty text."""
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
-
-
 def crc_mod(n: int, c: str = "doc_id") -> Column:
     """crc32(id as text) mod n; null: of the empty text."""
     return F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")) % n
