@@ -9,8 +9,9 @@ Words go to public subword ids; ids outside the model's vocabulary are spelt in
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,11 @@ SCORE_BLOCKS, TRAIN_BLOCKS = 512, 128
 WARM_IDS, WARM_DOCS, WARM_BYTES, WARM_RATE = 2_000_000, 3000, 1 << 16, 2e-2
 ROUND_RATES, SHARE = (6e-3, 3e-3), 12
 #: Words whose counts are looked up in memory; counts of the others are joined. Distinct words that a worker remembers, or counts before it sends them on.
-KNOWN_WORDS, CACHE, FLUSH = 1 << 20, 1 << 19, 1 << 19
-#: Groups that trained weights are added up in.
-SUM_GROUPS = 64
+KNOWN_WORDS, CACHE, FLUSH = 1 << 19, 1 << 20, 1 << 19
+#: Words, repeats included, whose texts are packed and scored at a time.
+CHUNK_WORDS = 1 << 19
+#: Groups that trained weights are averaged in, first and then.
+SUM_GROUPS = (1024, 8)
 
 
 def lower_words(text: bytes) -> list[bytes]:
@@ -118,15 +121,19 @@ def _by_class(targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.argsort(c, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(c, minlength=CLASSES))])
 
 
-def kernel(z: np.ndarray) -> np.ndarray:
-    """exp(z), drawn as straight lines between powers of two; z, of at most 80, is overwritten.
+#: What takes a logit to the bits of its kernel() as a fixed-point number, and the least logit that is told apart.
+_SCALE, _SHIFT, _LEAST = np.float32(2**23 / np.log(2)), np.float32(127 * 2**23), -80
 
-    Every softmax of scoring divides such numbers by their sum, so its probabilities add up to one as with exp() itself. The
-    float's exponent and mantissa are z over log 2 as a fixed-point number.
+
+def kernel(z: np.ndarray, least: bool = True) -> np.ndarray:
+    """exp(), drawn as straight lines between powers of two, of logits times _SCALE plus _SHIFT; z is overwritten.
+
+    The bits of a float, read as a whole number, are its logarithm as a fixed-point number but for the lines. Every softmax
+    of scoring divides such numbers by their sum, so its probabilities add up to one as with exp() itself. least: logits may
+    be below _LEAST and are raised to it.
     """
-    np.maximum(z, -80, out=z)
-    z *= np.float32(2**23 / np.log(2))
-    z += np.float32(127 * 2**23)
+    if least:
+        np.maximum(z, _SHIFT + _LEAST * _SCALE, out=z)
     return z.astype(np.int32).view(np.float32)
 
 
@@ -134,16 +141,17 @@ def log_probs(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
     """Natural log-probability of each target, given its input and what is before it in its text."""
     out = np.empty(len(inputs), np.float32)
     value = np.concatenate([w["value"], np.ones((VOCABULARY, 1), np.float32)], axis=1)
-    near, ones_c, ones_u = np.where(_after, np.float32(-80), w["near"][_near]), np.ones(CLASSES, np.float32), np.ones(PER_CLASS, np.float32)
+    near, ones_c, ones_u = np.where(_after, np.float32(0), w["near"][_near]) * _SCALE + _SHIFT, np.ones(CLASSES, np.float32), np.ones(PER_CLASS, np.float32)
+    query, wc, bc, wu, bu = w["query"] * _SCALE, w["wc"] * _SCALE, w["bc"] * _SCALE + _SHIFT, w["wu"] * _SCALE, w["bu"] * _SCALE + _SHIFT
     seen = (~_after).astype(np.float32)
     view = lambda x: np.lib.stride_tricks.sliding_window_view(x, CONTEXT + BLOCK, axis=0)[::BLOCK]
     for first in range(0, len(inputs), SCORE_BLOCKS * BLOCK):
         n = min(SCORE_BLOCKS, -(-(len(inputs) - first) // BLOCK))
         ids, keys, reach = windows(inputs, begins, first, n)
         ext = np.concatenate([keys[0], keys[1:, CONTEXT:].ravel()])
-        a = w["query"].take(ids, axis=0) @ view(w["key"].take(ext, axis=0))
+        a = query.take(ids, axis=0) @ view(w["key"].take(ext, axis=0))
         a += near
-        a = kernel(a)
+        a = kernel(a, least=False)
         a *= seen
         cut = np.flatnonzero((reach < _near[:, 0][None, :]).any(axis=1))
         a[cut] *= _near[None] <= reach[cut][:, :, None]
@@ -156,16 +164,16 @@ def log_probs(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray,
         np.maximum(u, 0, out=u)
         h += u @ w["w2"]
         own, rows = targets[first : first + real], np.arange(real)
-        c = h @ w["wc"]
-        c += w["bc"]
+        c = h @ wc
+        c += bc
         c = kernel(c)
         total, picked = c @ ones_c, c.ravel().take(rows * CLASSES + own // PER_CLASS)
         order, at = _by_class(own)
         h, z = h.take(order, axis=0), np.empty((real, PER_CLASS), np.float32)
         for i in range(CLASSES):
             if at[i] < at[i + 1]:
-                np.matmul(h[at[i] : at[i + 1]], w["wu"][i], out=z[at[i] : at[i + 1]])
-                z[at[i] : at[i + 1]] += w["bu"][i]
+                np.matmul(h[at[i] : at[i + 1]], wu[i], out=z[at[i] : at[i + 1]])
+                z[at[i] : at[i + 1]] += bu[i]
         z = kernel(z)
         picked[order] *= z.ravel().take(rows * PER_CLASS + (own % PER_CLASS)[order])
         total[order] *= z @ ones_u
@@ -316,23 +324,44 @@ class Words:
         self.index |= {w: i for i, w in enumerate(new, len(self.index))}
         self.start = np.cumsum(self.size) - self.size
 
-    def runs(self, texts: list[list[bytes]]) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(first text, end, indices of their words): in parts that fit the memory of words."""
-        a, n = 0, 0
-        for b in range(len(texts) + 1):
-            if b > a and (b == len(texts) or n and n + len(texts[b]) > CACHE):
-                flat = [w for t in texts[a:b] for w in t]
-                self.learn(set(flat))
-                yield a, b, np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
-                a, n = b, 0
-            if b < len(texts):
-                n += len(texts[b])
+    def runs(self, texts: Iterable[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first text, end, indices of their words, the texts' lengths in words): about CHUNK_WORDS words at a time."""
+        flat: list[bytes] = []
+        lengths: list[int] = []
+        first = 0
+
+        def settle() -> tuple[int, int, np.ndarray, np.ndarray]:
+            self.learn(set(flat))
+            return first, first + len(lengths), np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat)), np.array(lengths, np.int64)
+
+        for t in texts:
+            own = lower_words(t)
+            if lengths and len(flat) + len(own) > CHUNK_WORDS:
+                yield settle()
+                first += len(lengths)
+                flat.clear()
+                lengths.clear()
+            flat += own
+            lengths.append(len(own))
+        if lengths:
+            yield settle()
 
     def ids(self, at: np.ndarray) -> np.ndarray:
         size = self.size[at]
         return self.flat[np.repeat(self.start[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
 
+_kept: dict[str, Words] = {}
+
+
+def kept_words(key: str, subwords: Subwords, look=None) -> Words:
+    """A worker's words of a key, for the next task too; of one key at a time."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Words(subwords, look)
+    return _kept[key]
+
+
 def packed(words: Words, at: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Inputs, targets and begins of texts packed after one another, and where each text begins. lengths: of the texts, in words."""
     ids = words.ids(at)
@@ -379,22 +408,23 @@ def fit(texts: DataFrame, tokenizer: str = TOKENIZER) -> tuple[dict[str, np.ndar
     The vocabulary and the first weights come from a sample: about WARM_DOCS texts drawn by a hash, up to WARM_IDS ids. Then
     in each round every task trains on its own texts of that round's part of 1/SHARE of all texts, and the
     tasks' weights are averaged by the ids they saw. So what is learnt from grows with the texts, and the driver gets
-    SUM_GROUPS sums of weights.
+    a few averages of weights.
     """
     spark = texts.sparkSession
     with open(tokenizer, "rb") as f:
         proto = f.read()
-    sample = [lower_words(bytes(r[0])) for r in hashed_sample(texts.where(F.octet_length("t") <= WARM_BYTES).select("t"), WARM_DOCS, F.col("t")).orderBy(F.xxhash64("t"), "t").collect()]
-    sp, seen, counts = Subwords(proto, []), Counter(w for t in sample for w in t), Counter()
+    sample = [bytes(r[0]) for r in hashed_sample(texts.where(F.octet_length("t") <= WARM_BYTES).select("t"), WARM_DOCS, F.col("t")).orderBy(F.xxhash64("t"), "t").collect()]
+    sp, seen, counts = Subwords(proto, []), Counter(w for t in sample for w in lower_words(t)), Counter()
     for w, own in zip(seen, sp.raw(list(seen)), strict=True):
         for p in own:
             counts[p] += seen[w]
+    seen.clear()
     pieces = [p for p, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if not sp.sp.is_byte(p)][: VOCABULARY - 257]
     subwords = Subwords(proto, pieces)
     words = Words(subwords)
     trainer = None
-    for a, b, at in words.runs(sample):
-        inputs, targets, begins, _ = packed(words, at, np.array([len(t) for t in sample[a:b]]))
+    for _, _, at, lengths in words.runs(sample):
+        inputs, targets, begins, _ = packed(words, at, lengths)
         if trainer is None:
             trainer = Trainer(new_weights(np.bincount(targets, minlength=VOCABULARY)), WARM_RATE, WARM_IDS)
         keep = min(len(inputs), WARM_IDS - trainer.seen)
@@ -409,22 +439,23 @@ def fit(texts: DataFrame, tokenizer: str = TOKENIZER) -> tuple[dict[str, np.ndar
             raw, own = sent.value
             words, trainer = Words(own), Trainer(unpack(raw), rate)
             for b in it:
-                docs = [lower_words(t.as_py()) for t in b.column(0)]
-                for a, e, at in words.runs(docs):
-                    trainer.feed(*packed(words, at, np.array([len(t) for t in docs[a:e]]))[:3])
+                for _, _, at, lengths in words.runs(t.as_py() for t in b.column(0)):
+                    trainer.feed(*packed(words, at, lengths)[:3])
             if trainer.seen:
-                part = TaskContext.get().partitionId() % SUM_GROUPS
-                total = (np.frombuffer(pack(trainer.w), np.float32).astype(np.float64) * trainer.seen).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total]), pa.array([trainer.seen], pa.int64())], ["part", "total", "seen"])
+                part = TaskContext.get().partitionId() % SUM_GROUPS[0]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pack(trainer.w)], pa.binary()), pa.array([trainer.seen], pa.int64())], ["part", "mean", "seen"])
 
-        def add(table: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(x.as_py(), np.float64) for x in table.column("total"))
-            return pa.table({"total": [total.tobytes()], "seen": [sum(table.column("seen").to_pylist())]})
+        def merge(table: pa.Table) -> pa.Table:
+            seen = table.column("seen").to_pylist()
+            total = sum(np.frombuffer(x.as_py(), np.float32) * np.float64(n) for x, n in zip(table.column("mean"), seen, strict=True))
+            part = table.column("part")[0].as_py() % SUM_GROUPS[1]
+            return pa.table({"part": pa.array([part], pa.int32()), "mean": [(total / sum(seen)).astype(np.float32).tobytes()], "seen": [sum(seen)]})
 
         share = texts.where(F.pmod(F.xxhash64("t", F.lit(3)), F.lit(len(ROUND_RATES) * SHARE)) == k).select("t")
-        sums = map_batches(share, run, "part int, total binary, seen long").groupBy("part").applyInArrow(add, "total binary, seen long").collect()
-        if sums:
-            w = bounded(unpack(sum(np.frombuffer(bytes(r["total"]), np.float64) for r in sums) / sum(r["seen"] for r in sums)))
+        kind = "part int, mean binary, seen long"
+        means = map_batches(share, run, kind).groupBy("part").applyInArrow(merge, kind).groupBy("part").applyInArrow(merge, kind).collect()
+        if means:
+            w = bounded(unpack(sum(np.frombuffer(bytes(r["mean"]), np.float32) * np.float64(r["seen"]) for r in means) / sum(r["seen"] for r in means)))
     return w, subwords
 
 
@@ -462,6 +493,7 @@ def with_lm_scores(docs: DataFrame, held_out=None, tokenizer: str = TOKENIZER) -
     order = np.argsort(h)
     w, subwords = fit(train, tokenizer)
     sent = spark.sparkContext.broadcast((h[order], top.column("n").to_numpy()[order], pack(w), subwords))
+    call = uuid.uuid4().hex
     end_base = float(np.log10((ends + 0.5) / floor))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -474,11 +506,9 @@ def with_lm_scores(docs: DataFrame, held_out=None, tokenizer: str = TOKENIZER) -
             at = np.minimum(np.searchsorted(known, h), len(known) - 1)
             return np.where(known[at] == h, times[at], 0)
 
-        words = Words(own, look)
+        words = kept_words(call, own, look)
         for b in it:
-            texts = [lower_words(x.as_py()) for x in b.column(2)]
-            for a, e, at in words.runs(texts):
-                lengths = np.array([len(x) for x in texts[a:e]])
+            for a, e, at, lengths in words.runs(x.as_py() for x in b.column(2)):
                 bounds = np.concatenate([[0], np.cumsum(lengths)])
                 c = words.count[at]
                 sums = np.concatenate([[0.0], np.cumsum(np.where(c > 0, np.log10((c + 0.5) / floor), 0.0))])
