@@ -175,8 +175,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", where=None
     sizes = sorted((r[0], r[1]) for r in found.groupBy("h").agg(F.sum(F.size("f"))).collect())
     total = np.cumsum([n for _, n in sizes])
     last = sizes[min(int(np.searchsorted(total, SAMPLE_FEATURES)), len(sizes) - 1)][0] if sizes else 0
-    kept = sorted(found.where(F.col("h") <= last).collect(), key=lambda r: (r["h"], r["y"], r["f"]))
-    return fit([np.array(r["f"], np.int64) for r in kept], np.array([r["y"] for r in kept], int))
+    kept = found.where(F.col("h") <= last).toArrow()
+    rows = [x.values.to_numpy().astype(np.int64) for x in kept.column("f")]
+    h, y = kept.column("h").to_pylist(), np.array(kept.column("y").to_pylist(), int)
+    order = sorted(range(len(rows)), key=lambda i: (h[i], y[i], rows[i].tobytes()))
+    return fit([rows[i] for i in order], y[order])
 
 
 def with_scores(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
