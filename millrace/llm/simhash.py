@@ -28,19 +28,25 @@ PER_PREFIX = 512
 SLICE = 1 << 16
 
 
-def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> bytes:
-    """The 64-bit SimHash, highest bit first, of the width-word shingles of a text with A-Z lower-cased."""
-    words = text.lower().split()
-    if not words:
-        return bytes(8)
+def digests(words: list[bytes], width: int, seed: int) -> Iterator[np.ndarray]:
+    """Of a text's width-word shingles (of all words, if there are fewer), 8 bytes a row, SLICE rows at a time."""
     joined = b" ".join(words)
     ends = list(accumulate((len(w) + 1 for w in words), initial=0))
-    n, digest = max(1, len(words) - width + 1), xxhash.xxh64_digest
+    n, digest = max(1, len(words) - width + 1) if words else 0, xxhash.xxh64_digest
     last = ends[min(width, len(words)) :]
-    ones = np.zeros(64, np.int64)
     for i in range(0, n, SLICE):
         raw = b"".join([digest(joined[s : e - 1], seed) for s, e in zip(ends[i : min(n, i + SLICE)], last[i : i + SLICE], strict=False)])
-        ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        yield np.frombuffer(raw, np.uint8).reshape(-1, 8)
+
+
+def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> bytes:
+    """The 64-bit SimHash, highest bit first, of the width-word shingles of a text with A-Z lower-cased."""
+    words = text.lower().split()
+    if not words:
+        return bytes(8)
+    n, ones = max(1, len(words) - width + 1), np.zeros(64, np.int64)
+    for raw in digests(words, width, seed):
+        ones += np.unpackbits(raw, axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(2 * ones > n).tobytes()
 
 
@@ -165,9 +171,14 @@ def with_components(docs: DataFrame, width: int = 4, radius: int = 2) -> DataFra
     Equal fingerprints are one node, so copies never meet pairwise. What shares a point lies within 2 * radius of one
     another; one of it is linked to the rest, in numbers linear in the points.
     """
-    t = written(fingerprints(docs, width), "simhash")
+    return components_of(written(fingerprints(docs, width), "simhash"), radius)
+
+
+def components_of(t: DataFrame, radius: int = 2, more: DataFrame | None = None) -> DataFrame:
+    """As with_components, of rows (doc_id, fp). more: further links (a, b) between fingerprints."""
     nodes = written(t.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    stars = connected(links(nodes.select("fp"), radius))
+    near = links(nodes.select("fp"), radius)
+    stars = connected(near if more is None else near.union(more))
     rooted = nodes.join(stars, nodes.fp == stars.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
