@@ -31,9 +31,9 @@ END, BYTES = 0, 1
 #: Blocks that are scored, and trained on, at a time.
 SCORE_BLOCKS, TRAIN_BLOCKS = 512, 128
 #: The model starts from this many ids of a sample of training texts of WARM_BYTES at most, on the driver; then a round at each of
-#: ROUND_RATES over the next part of 1/SHARE of all of them.
+#: ROUND_RATES over the next part of all of them; each text is in one part.
 WARM_IDS, WARM_DOCS, WARM_BYTES, WARM_RATE = 2_000_000, 3000, 1 << 16, 2e-2
-ROUND_RATES, SHARE = (6e-3, 3e-3), 12
+ROUND_RATES = (6e-3, 3e-3)
 #: Words whose counts are looked up in memory; counts of the others are joined. Distinct words that a worker remembers, or counts before it sends them on.
 KNOWN_WORDS, CACHE, FLUSH = 1 << 19, 1 << 20, 1 << 19
 #: Words, repeats included, whose texts are packed and scored at a time.
@@ -406,7 +406,7 @@ def fit(texts: DataFrame, tokenizer: str = TOKENIZER) -> tuple[dict[str, np.ndar
     """Weights and subwords of a model of the texts (doc_id, binary t).
 
     The vocabulary and the first weights come from a sample: about WARM_DOCS texts drawn by a hash, up to WARM_IDS ids. Then
-    in each round every task trains on its own texts of that round's part of 1/SHARE of all texts, and the
+    in each round every task trains on its own texts of that round's part, the parts together being all texts, and the
     tasks' weights are averaged by the ids they saw. So what is learnt from grows with the texts, and the driver gets
     a few averages of weights.
     """
@@ -451,7 +451,7 @@ def fit(texts: DataFrame, tokenizer: str = TOKENIZER) -> tuple[dict[str, np.ndar
             part = table.column("part")[0].as_py() % SUM_GROUPS[1]
             return pa.table({"part": pa.array([part], pa.int32()), "mean": [(total / sum(seen)).astype(np.float32).tobytes()], "seen": [sum(seen)]})
 
-        share = texts.where(F.pmod(F.xxhash64("t", F.lit(3)), F.lit(len(ROUND_RATES) * SHARE)) == k).select("t")
+        share = texts.where(F.pmod(F.xxhash64("t", F.lit(3)), F.lit(len(ROUND_RATES))) == k).select("t")
         kind = "part int, mean binary, seen long"
         means = map_batches(share, run, kind).groupBy("part").applyInArrow(merge, kind).groupBy("part").applyInArrow(merge, kind).collect()
         if means:

@@ -1,0 +1,19 @@
+"""What the rounds of operator 4's training read."""
+
+from pyspark.sql import functions as F
+
+from millrace.llm import lm
+
+
+def test_rounds_train_on_every_text(spark, monkeypatch):
+    texts = spark.range(200).select(F.col("id").alias("doc_id"), F.encode(F.concat(F.lit("some words and "), "id"), "UTF-8").alias("t"))
+    read = []
+
+    def noted(df, f, schema, own=lm.map_batches):
+        if schema.startswith("part "):
+            read.extend(bytes(r["t"]) for r in df.collect())
+        return own(df, f, schema)
+
+    monkeypatch.setattr(lm, "map_batches", noted)
+    lm.fit(texts)
+    assert sorted(read) == sorted(bytes(r["t"]) for r in texts.collect())
