@@ -37,9 +37,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where none is set and all runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         base = tempfile.mkdtemp(prefix="millrace-shared-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -64,10 +66,10 @@ def discard(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, and a lost executor loses nothing."""
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

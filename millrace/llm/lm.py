@@ -1,8 +1,9 @@
 """LM scoring: a causal self-attention model over subword ids, trained here in numpy.
 
-Texts are packed into one run of ids. A block of BLOCK ids is scored against its own causal part and the CONTEXT ids before
-it, so windows overlap in their context and each id is scored once; a mask keeps texts apart. The next id is
-predicted in two steps, its class and then the id within the class, so a step costs two short softmaxes.
+A text begins a new block of BLOCK ids, and its blocks follow one another. A block is scored against its own causal part
+and the CONTEXT ids before it, so windows overlap in their context and each id is scored once; a mask keeps texts apart and
+an id's score doesn't depend on what else is scored. The next id is predicted in two steps, its class and then the id
+within the class, so a step costs two short softmaxes.
 
 Words go to public subword ids; ids outside the model's vocabulary are spelt in bytes, so every text has a probability.
 """
@@ -10,34 +11,37 @@ Words go to public subword ids; ids outside the model's vocabulary are spelt in
 from __future__ import annotations
 
 import uuid
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import sentencepiece
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, crc_mod, hashed_sample, map_batches, written
+from .common import as_bytes, crc_mod, map_batches, written
 
+#: One of the public vocabularies; a parameter of all that reads it.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK, CONTEXT, WIDTH, HEAD, HIDDEN = 16, 16, 32, 16, 48
-CLASSES, PER_CLASS = 32, 32
+BLOCK, CONTEXT, WIDTH, HEAD = 16, 16, 16, 8
+CLASSES = PER_CLASS = 32
+#: PER_CLASS as a shift and a mask.
+_SHIFT, _LOW = 5, PER_CLASS - 1
 VOCABULARY = CLASSES * PER_CLASS
 #: Id of the end of a text, which also begins it; ids of bytes follow it, then subwords.
 END, BYTES = 0, 1
 #: Blocks that are scored, and trained on, at a time.
-SCORE_BLOCKS, TRAIN_BLOCKS = 512, 128
-#: The model starts from this many ids of a sample of training texts of WARM_BYTES at most, on the driver; then a round at each of
-#: ROUND_RATES over the next part of all of them; each text is in one part.
-WARM_IDS, WARM_DOCS, WARM_BYTES, WARM_RATE = 2_000_000, 3000, 1 << 16, 2e-2
-ROUND_RATES = (6e-3, 3e-3)
-#: Words whose counts are looked up in memory; counts of the others are joined. Distinct words that a worker remembers, or counts before it sends them on.
-KNOWN_WORDS, CACHE, FLUSH = 1 << 19, 1 << 20, 1 << 19
-#: Words, repeats included, whose texts are packed and scored at a time.
-CHUNK_WORDS = 1 << 19
+SCORE_BLOCKS, TRAIN_BLOCKS = 512, 256
+#: The first weights come from about START_IDS ids, of training texts drawn by a hash. Then all training texts train the model: in
+#: ROUNDS rounds, each at its rate, in parts of about PART_IDS ids (of more where there would be over PARTS of them).
+START_IDS, START_RATE, RATES = 4_000_000, 2e-2, (1e-2, 5e-3)
+PART_IDS, PARTS = 8_000_000, 20_000
+#: Words whose counts are looked up in memory; counts of the others are joined. Distinct words that a worker remembers.
+KNOWN_WORDS, CACHE = 1 << 20, 1 << 20
+#: Words, repeats included, whose texts are split at a time; ids that are scored or trained on at a time.
+CHUNK_WORDS, CHUNK_IDS = 1 << 18, 1 << 20
 #: Groups that trained weights are averaged in, first and then.
 SUM_GROUPS = (1024, 8)
 
@@ -54,414 +58,503 @@ def word_hash(word: bytes) -> int:
 
 SHAPES = {
     "embed": (VOCABULARY, WIDTH), "query": (VOCABULARY, HEAD), "key": (VOCABULARY, HEAD), "value": (VOCABULARY, WIDTH), "near": (BLOCK + CONTEXT,),
-    "w1": (WIDTH, HIDDEN), "b1": (HIDDEN,), "w2": (HIDDEN, WIDTH), "wc": (WIDTH, CLASSES), "bc": (CLASSES,), "wu": (CLASSES, WIDTH, PER_CLASS), "bu": (CLASSES, PER_CLASS),
+    "wc": (WIDTH, CLASSES), "bc": (CLASSES,), "wu": (CLASSES, WIDTH, PER_CLASS), "bu": (CLASSES, PER_CLASS),
 }
 _back = CONTEXT + np.arange(BLOCK)[:, None] - np.arange(BLOCK + CONTEXT)[None, :]
 #: A query's distance to each key; what lies after it is masked.
 _near, _after = np.clip(_back, 0, None), _back < 0
-#: Bounds that keep exp() finite without a search for the largest logit.
+#: Bounds that keep exp() of attention finite without a search for the largest logit.
 _NORM, _BIAS, _MASKED = 6.0, 20.0, np.float32(-1e9)
+Weights = dict[str, np.ndarray]
 
 
-def new_weights(counts: np.ndarray, seed: int = 11) -> dict[str, np.ndarray]:
+def new_weights(counts: np.ndarray, seed: int = 11) -> Weights:
     """Small random weights, and biases that answer the shares of the ids' counts."""
     rng = np.random.default_rng(seed)
-    w = {k: np.zeros(s, np.float32) if k in ("near", "b1") else (rng.standard_normal(s) * (0.1 if len(s) == 2 and s[0] == VOCABULARY else s[-2] ** -0.5 * 0.5)).astype(np.float32) for k, s in SHAPES.items() if k not in ("bc", "bu")}
+    w = {k: (rng.standard_normal(s) * (0.1 if s[0] == VOCABULARY else s[-2] ** -0.5 * 0.5)).astype(np.float32) for k, s in SHAPES.items() if k not in ("near", "bc", "bu")}
     p = (counts + 0.5).reshape(CLASSES, PER_CLASS)
+    w["near"] = np.zeros(SHAPES["near"], np.float32)
     w["bc"] = np.log(p.sum(axis=1) / p.sum()).astype(np.float32)
     w["bu"] = np.log(p / p.sum(axis=1, keepdims=True)).astype(np.float32)
     return bounded(w)
 
 
-def bounded(w: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+def bounded(w: Weights) -> Weights:
     for k in ("query", "key"):
-        w[k] *= np.minimum(1, _NORM / (np.linalg.norm(w[k], axis=1, keepdims=True) + 1e-9)).astype(np.float32)
+        w[k] *= np.minimum(1, _NORM / (np.sqrt(np.einsum("ij,ij->i", w[k], w[k])) + 1e-9))[:, None].astype(w[k].dtype)
     np.clip(w["near"], -_BIAS, _BIAS, out=w["near"])
     return w
 
 
-def pack(w: dict[str, np.ndarray]) -> bytes:
-    return np.concatenate([w[k].ravel() for k in SHAPES]).astype(np.float32).tobytes()
+def flat(w: Weights) -> np.ndarray:
+    return np.concatenate([w[k].ravel() for k in SHAPES])
 
 
-def unpack(raw: bytes | np.ndarray) -> dict[str, np.ndarray]:
-    v, out, at = np.frombuffer(raw, np.float32) if isinstance(raw, bytes) else raw.astype(np.float32), {}, 0
+def shaped(v: np.ndarray) -> Weights:
+    """Views of a flat array of all weights."""
+    out, at = {}, 0
     for k, s in SHAPES.items():
         n = int(np.prod(s))
-        out[k] = v[at : at + n].reshape(s).copy()
+        out[k] = v[at : at + n].reshape(s)
         at += n
     return out
 
 
-def windows(inputs: np.ndarray, begins: np.ndarray, first: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of n blocks from id `first`: the ids (n, BLOCK), their keys (n, CONTEXT + BLOCK), and how many places each may look back."""
-    ext = np.zeros(CONTEXT + n * BLOCK, np.int64)
-    lo, hi = max(0, first - CONTEXT), min(len(inputs), first + n * BLOCK)
-    ext[CONTEXT - (first - lo) : CONTEXT + hi - first] = inputs[lo:hi]
-    keys = np.lib.stride_tricks.sliding_window_view(ext, CONTEXT + BLOCK)[::BLOCK]
-    reach = np.zeros(n * BLOCK, np.int64)
-    reach[: hi - first] = np.arange(first, hi) - begins[first:hi]
-    return ext[CONTEXT:].reshape(n, BLOCK), keys, reach.reshape(n, BLOCK)
-
-
-def attend(w: dict[str, np.ndarray], ids: np.ndarray, keys: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Attention weights, and the query, key and value rows they come from."""
-    q, k, v = w["query"][ids], w["key"][keys], w["value"][keys]
-    a = q @ k.transpose(0, 2, 1)
-    a += np.where(_after, _MASKED, w["near"][_near])
-    cut = np.flatnonzero((reach < _near[:, 0][None, :]).any(axis=1))
-    a[cut] = np.where(_near[None] > reach[cut][:, :, None], _MASKED, a[cut])
-    np.exp(a, out=a)
-    a /= a.sum(axis=2, keepdims=True)
-    return a, q, k, v
+def _windows(x: np.ndarray) -> np.ndarray:
+    """(blocks, columns, CONTEXT + BLOCK): of each block the rows of its context and its own."""
+    return np.lib.stride_tricks.sliding_window_view(x, CONTEXT + BLOCK, axis=0)[::BLOCK]
+
+
+def _exp(z: np.ndarray) -> np.ndarray:
+    """exp() in place, of logits less their largest where one is large: a softmax's numerators."""
+    if z.size and z.max() > 60:
+        z -= z.max(axis=1, keepdims=True)
+    return np.exp(z, out=z)
 
 
 def _by_class(targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    c = (targets // PER_CLASS).astype(np.int8)
+    c = (targets >> _SHIFT).astype(np.int8)
     return np.argsort(c, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(c, minlength=CLASSES))])
 
 
-#: What takes a logit to the bits of its kernel() as a fixed-point number, and the least logit that is told apart.
-_SCALE, _SHIFT, _LEAST = np.float32(2**23 / np.log(2)), np.float32(127 * 2**23), -80
+def _prepared(w: Weights) -> Weights:
+    """With a column of ones beside the values, which sums the attention, and the logits of distance and mask."""
+    ones = np.ones((VOCABULARY, 1), w["value"].dtype)
+    return w | {"values": np.concatenate([w["value"], ones], axis=1), "bias": np.where(_after, _MASKED, w["near"][_near])}
 
 
-def kernel(z: np.ndarray, least: bool = True) -> np.ndarray:
-    """exp(), drawn as straight lines between powers of two, of logits times _SCALE plus _SHIFT; z is overwritten.
-
-    The bits of a float, read as a whole number, are its logarithm as a fixed-point number but for the lines. Every softmax
-    of scoring divides such numbers by their sum, so its probabilities add up to one as with exp() itself. least: logits may
-    be below _LEAST and are raised to it.
-    """
-    if least:
-        np.maximum(z, _SHIFT + _LEAST * _SCALE, out=z)
-    return z.astype(np.int32).view(np.float32)
-
-
-def log_probs(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """Natural log-probability of each target, given its input and what is before it in its text."""
-    out = np.empty(len(inputs), np.float32)
-    value = np.concatenate([w["value"], np.ones((VOCABULARY, 1), np.float32)], axis=1)
-    near, ones_c, ones_u = np.where(_after, np.float32(0), w["near"][_near]) * _SCALE + _SHIFT, np.ones(CLASSES, np.float32), np.ones(PER_CLASS, np.float32)
-    query, wc, bc, wu, bu = w["query"] * _SCALE, w["wc"] * _SCALE, w["bc"] * _SCALE + _SHIFT, w["wu"] * _SCALE, w["bu"] * _SCALE + _SHIFT
-    seen = (~_after).astype(np.float32)
-    view = lambda x: np.lib.stride_tricks.sliding_window_view(x, CONTEXT + BLOCK, axis=0)[::BLOCK]
-    for first in range(0, len(inputs), SCORE_BLOCKS * BLOCK):
-        n = min(SCORE_BLOCKS, -(-(len(inputs) - first) // BLOCK))
-        ids, keys, reach = windows(inputs, begins, first, n)
-        ext = np.concatenate([keys[0], keys[1:, CONTEXT:].ravel()])
-        a = query.take(ids, axis=0) @ view(w["key"].take(ext, axis=0))
-        a += near
-        a = kernel(a, least=False)
-        a *= seen
-        cut = np.flatnonzero((reach < _near[:, 0][None, :]).any(axis=1))
-        a[cut] *= _near[None] <= reach[cut][:, :, None]
-        real = min(len(inputs) - first, n * BLOCK)
-        o = (a @ view(value.take(ext, axis=0)).transpose(0, 2, 1)).reshape(-1, WIDTH + 1)
-        h = o[:real, :WIDTH] / o[:real, WIDTH:]
-        h += w["embed"].take(inputs[first : first + real], axis=0)
-        u = h @ w["w1"]
-        u += w["b1"]
-        np.maximum(u, 0, out=u)
-        h += u @ w["w2"]
-        own, rows = targets[first : first + real], np.arange(real)
-        c = h @ wc
-        c += bc
-        c = kernel(c)
-        total, picked = c @ ones_c, c.ravel().take(rows * CLASSES + own // PER_CLASS)
+def _attend(w: Weights, inputs: np.ndarray, begins: np.ndarray, first: int, n: int) -> tuple[np.ndarray, ...]:
+    """Of n blocks from block `first`: attention before it is divided, its sums of values, queries, keys, values, ids of windows and blocks."""
+    lo = first * BLOCK - CONTEXT
+    ids = inputs[first * BLOCK : (first + n) * BLOCK]
+    ext = np.concatenate([np.zeros(max(0, -lo), inputs.dtype), inputs[max(0, lo) : (first + n) * BLOCK]])
+    q, k, v = w["query"].take(ids, axis=0).reshape(n, BLOCK, HEAD), w["key"].take(ext, axis=0), w["values"].take(ext, axis=0)
+    a = q @ _windows(k)
+    a += w["bias"]
+    np.exp(a, out=a)
+    a[np.flatnonzero(begins[first : first + n]), :, :CONTEXT] = 0
+    return a, (a @ _windows(v).transpose(0, 2, 1)).reshape(-1, WIDTH + 1), q, k, v, ext, ids
+
+
+def _within(w: Weights, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Logits within the class of rows in the order of their classes."""
+    z = np.empty((len(h), PER_CLASS), h.dtype)
+    for i in np.flatnonzero(np.diff(at)):
+        np.matmul(h[at[i] : at[i + 1]], w["wu"][i], out=z[at[i] : at[i + 1]])
+        z[at[i] : at[i + 1]] += w["bu"][i]
+    return z
+
+
+def log_probs(w: Weights, inputs: np.ndarray, targets: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Natural log-probability of each target, given its input and what is before it in its text. begins: of each block, whether it begins a text."""
+    w, out = _prepared(w), np.empty(len(inputs), np.float32)
+    ones = np.ones(PER_CLASS, np.float32)
+    for first in range(0, len(begins), SCORE_BLOCKS):
+        n = min(SCORE_BLOCKS, len(begins) - first)
+        _, o, _, _, _, _, ids = _attend(w, inputs, begins, first, n)
+        h = o[:, :WIDTH] / o[:, WIDTH:]
+        h += w["embed"].take(ids, axis=0)
+        here = slice(first * BLOCK, (first + n) * BLOCK)
+        own, rows = targets[here], np.arange(n * BLOCK)
         order, at = _by_class(own)
-        h, z = h.take(order, axis=0), np.empty((real, PER_CLASS), np.float32)
-        for i in range(CLASSES):
-            if at[i] < at[i + 1]:
-                np.matmul(h[at[i] : at[i + 1]], wu[i], out=z[at[i] : at[i + 1]])
-                z[at[i] : at[i + 1]] += bu[i]
-        z = kernel(z)
-        picked[order] *= z.ravel().take(rows * PER_CLASS + (own % PER_CLASS)[order])
-        total[order] *= z @ ones_u
-        out[first : first + real] = np.log(picked / total)
+        c = h @ w["wc"]
+        c += w["bc"]
+        z = _within(w, h.take(order, axis=0), at)
+        for logits in (c, z):
+            if logits.max() > 60:
+                logits -= logits.max(axis=1, keepdims=True)
+        p = c.ravel().take(rows * CLASSES + (own >> _SHIFT))
+        p -= np.log(np.exp(c, out=c) @ ones)
+        of_class = z.ravel().take(rows * PER_CLASS + (own & _LOW).take(order))
+        of_class -= np.log(np.exp(z, out=z) @ ones)
+        p[order] += of_class
+        out[here] = p
     return out
 
 
-def gradients(w: dict[str, np.ndarray], inputs: np.ndarray, targets: np.ndarray, begins: np.ndarray, first: int, n: int) -> tuple[dict[str, np.ndarray], float]:
-    """Gradients of the mean negative log-probability over n whole blocks, and that mean."""
-    ids, keys, reach = windows(inputs, begins, first, n)
-    own, size = targets[first : first + n * BLOCK], n * BLOCK
-    a, q, k, v = attend(w, ids, keys, reach)
-    h0 = (w["embed"][ids] + a @ v).reshape(size, WIDTH)
-    u = np.maximum(h0 @ w["w1"] + w["b1"], 0)
-    h = h0 + u @ w["w2"]
+def gradients(w: Weights, inputs: np.ndarray, targets: np.ndarray, real: np.ndarray, begins: np.ndarray, first: int, n: int) -> tuple[Weights, float]:
+    """Gradients of the mean negative log-probability of the real targets (1; padding: 0) of n blocks, and that mean."""
+    w = _prepared(w)
+    kind = w["value"].dtype
+    a, o, q, k, v, ext, ids = _attend(w, inputs, begins, first, n)
+    here = slice(first * BLOCK, (first + n) * BLOCK)
+    own, weight, size = targets[here], real[here].astype(kind), n * BLOCK
+    weight /= weight.sum()
+    rows, ones, every = np.arange(size), np.ones(PER_CLASS, kind), np.ones(size, kind)
+    inverse = 1 / o[:, WIDTH:]
+    seen = o[:, :WIDTH] * inverse
+    h = seen + w["embed"].take(ids, axis=0)
     g = {}
-    c = h @ w["wc"] + w["bc"]
-    c -= c.max(axis=1, keepdims=True)
-    np.exp(c, out=c)
-    c /= c.sum(axis=1, keepdims=True)
-    rows, cls = np.arange(size), own // PER_CLASS
-    loss = -np.log(c[rows, cls] + 1e-30).sum()
-    c[rows, cls] -= 1
-    c /= size
-    g["wc"], g["bc"], dh = h.T @ c, c.sum(axis=0), c @ w["wc"].T
-    g["wu"], g["bu"] = np.zeros_like(w["wu"]), np.zeros_like(w["bu"])
+
+    c = h @ w["wc"]
+    c += w["bc"]
+    total, pick = _exp(c) @ ones, rows * CLASSES + (own >> _SHIFT)
+    loss = np.log(c.ravel().take(pick) / total + 1e-30) @ weight
+    c *= (weight / total)[:, None]
+    c.ravel()[pick] -= weight
+    g["wc"], g["bc"], dh = h.T @ c, every @ c, c @ w["wc"].T
+
     order, at = _by_class(own)
-    for i in range(CLASSES):
-        pick = order[at[i] : at[i + 1]]
-        if len(pick):
-            z = h[pick] @ w["wu"][i] + w["bu"][i]
-            z -= z.max(axis=1, keepdims=True)
-            np.exp(z, out=z)
-            z /= z.sum(axis=1, keepdims=True)
-            r, t = np.arange(len(pick)), own[pick] % PER_CLASS
-            loss -= np.log(z[r, t] + 1e-30).sum()
-            z[r, t] -= 1
-            z /= size
-            g["wu"][i], g["bu"][i] = h[pick].T @ z, z.sum(axis=0)
-            dh[pick] += z @ w["wu"][i].T
-    du = (dh @ w["w2"].T) * (u > 0)
-    g["w2"], g["w1"], g["b1"] = u.T @ dh, h0.T @ du, du.sum(axis=0)
-    do = (dh + du @ w["w1"].T).reshape(n, BLOCK, WIDTH)
-    da = do @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-    g["near"] = np.bincount(_near.ravel(), np.where(_after, 0, ds.sum(axis=0)).ravel(), minlength=BLOCK + CONTEXT).astype(np.float32)
-
-    def rows_of(at: np.ndarray, d: np.ndarray) -> np.ndarray:
-        at, d = at.ravel(), d.reshape(-1, d.shape[-1])
-        by = np.argsort(at, kind="stable")
-        s = at[by]
-        start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        out = np.zeros((VOCABULARY, d.shape[1]), np.float32)
-        out[s[start]] = np.add.reduceat(d[by], start, axis=0)
-        return out
-
-    g["embed"], g["query"] = rows_of(ids, do), rows_of(ids, ds @ k)
-    g["key"], g["value"] = rows_of(keys, ds.transpose(0, 2, 1) @ q), rows_of(keys, a.transpose(0, 2, 1) @ do)
-    return g, float(loss / size)
+    hs = h.take(order, axis=0)
+    z, weight = _within(w, hs, at), weight.take(order)
+    total, pick = _exp(z) @ ones, rows * PER_CLASS + (own & _LOW).take(order)
+    loss += np.log(z.ravel().take(pick) / total + 1e-30) @ weight
+    z *= (weight / total)[:, None]
+    z.ravel()[pick] -= weight
+    g["wu"], g["bu"], ds = np.zeros_like(w["wu"]), np.zeros_like(w["bu"]), np.empty_like(hs)
+    for i in np.flatnonzero(np.diff(at)):
+        b, e = at[i], at[i + 1]
+        np.matmul(hs[b:e].T, z[b:e], out=g["wu"][i])
+        np.matmul(every[b:e], z[b:e], out=g["bu"][i])
+        np.matmul(z[b:e], w["wu"][i].T, out=ds[b:e])
+    back = np.empty_like(order)
+    back[order] = rows
+    dh += ds.take(back, axis=0)
+
+    do = np.empty((size, WIDTH + 1), kind)
+    np.multiply(dh, inverse, out=do[:, :WIDTH])
+    do[:, WIDTH] = -np.einsum("ij,ij->i", do[:, :WIDTH], seen)
+    do = do.reshape(n, BLOCK, WIDTH + 1)
+    da = do @ _windows(v)
+    da *= a
+    g["near"] = np.bincount(_near.ravel(), np.where(_after, 0, (np.ones(n, kind) @ da.reshape(n, -1)).reshape(_near.shape)).ravel(), minlength=BLOCK + CONTEXT).astype(kind)
+    dk, dv = da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do[:, :, :WIDTH]
+    # a row for each id of ext: what its embed, query, key and value get; as a key and value it is in its own block and the next
+    rows_of = np.zeros((len(ext), 2 * WIDTH + 2 * HEAD), kind)
+    rows_of[CONTEXT:, :WIDTH] = dh
+    rows_of[CONTEXT:, WIDTH : WIDTH + HEAD] = (da @ _windows(k).transpose(0, 2, 1)).reshape(-1, HEAD)
+    for d, to in ((dk, rows_of[:, WIDTH + HEAD : WIDTH + 2 * HEAD]), (dv, rows_of[:, WIDTH + 2 * HEAD :])):
+        to[CONTEXT:] = d[:, CONTEXT:].reshape(size, -1)
+        to[:-BLOCK] += d[:, :CONTEXT].reshape(size, -1)
+    by = np.argsort(ext.astype(np.int16), kind="stable")
+    s = ext[by]
+    start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    tables = np.zeros((VOCABULARY, rows_of.shape[1]), kind)
+    tables[s[start]] = np.add.reduceat(rows_of.take(by, axis=0), start, axis=0)
+    g["embed"], g["query"], g["key"], g["value"] = np.split(tables, [WIDTH, WIDTH + HEAD, WIDTH + 2 * HEAD], axis=1)
+    return g, -float(loss)
 
 
 class Trainer:
-    """Adam steps over packed texts, TRAIN_BLOCKS blocks a step."""
+    """Adam steps over texts laid out in blocks, TRAIN_BLOCKS blocks a step."""
 
-    def __init__(self, w: dict[str, np.ndarray], rate: float, until: int = 0):
+    def __init__(self, w: Weights, rate: float, until: int = 0):
         """until: ids by which the rate has fallen to a tenth; 0: it stays."""
-        self.until = until
-        self.w, self.rate, self.steps, self.seen = {k: v.copy() for k, v in w.items()}, rate, 0, 0
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
+        self.flat, self.rate, self.until, self.steps, self.seen = flat(w), rate, until, 0, 0
+        self.m, self.v = np.zeros_like(self.flat), np.zeros_like(self.flat)
+        self.w = shaped(self.flat)
         self.losses: list[float] = []
 
-    def feed(self, inputs: np.ndarray, targets: np.ndarray, begins: np.ndarray) -> None:
-        for first in range(0, len(inputs) - BLOCK + 1, TRAIN_BLOCKS * BLOCK):
-            n = min(TRAIN_BLOCKS, (len(inputs) - first) // BLOCK)
-            g, loss = gradients(self.w, inputs, targets, begins, first, n)
+    def feed(self, inputs: np.ndarray, targets: np.ndarray, real: np.ndarray, begins: np.ndarray) -> None:
+        for first in range(0, len(begins), TRAIN_BLOCKS):
+            n = min(TRAIN_BLOCKS, len(begins) - first)
+            g, loss = gradients(self.w, inputs, targets, real, begins, first, n)
             self.losses.append(loss)
             self.steps, self.seen = self.steps + 1, self.seen + n * BLOCK
-            rate = self.rate * min(1, self.steps / 20) * (max(0.1, 1 - self.seen / self.until) if self.until else 1) * np.sqrt(1 - 0.99**self.steps) / (1 - 0.9**self.steps)
-            for k, x in g.items():
-                self.m[k] += 0.1 * (x - self.m[k])
-                self.v[k] += 0.01 * (x * x - self.v[k])
-                self.w[k] -= (rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)).astype(np.float32)
-            bounded(self.w)
+            rate = self.rate * min(1, self.steps / 20) * (max(0.1, 1 - self.seen / self.until) if self.until else 1)
+            rate *= (1 - 0.99**self.steps) ** 0.5 / (1 - 0.9**self.steps)
+            d = flat(g)
+            self.m += np.float32(0.1) * (d - self.m)
+            d *= d
+            d -= self.v
+            d *= np.float32(0.01)
+            self.v += d
+            np.sqrt(self.v, out=d)
+            d += np.float32(1e-8)
+            np.divide(self.m, d, out=d)
+            d *= np.float32(rate)
+            self.flat -= d
+            if self.steps % 8 == 0 or first + n == len(begins):
+                bounded(self.w)
 
 
 # Texts to ids ------------------------------------------------------------------------------------------------------------
 
 
-class Subwords:
-    """Words to ids of the model's vocabulary. pieces: the tokenizer's ids that have one, in order."""
-
-    def __init__(self, proto: bytes, pieces: list[int]):
-        self.proto, self.pieces = proto, pieces
-        self.open()
-
-    def open(self) -> None:
-        import sentencepiece
-
-        self.sp = sentencepiece.SentencePieceProcessor(model_proto=self.proto)
-        self.ids: dict[int, list[int]] = {p: [BYTES + 256 + i] for i, p in enumerate(self.pieces)}
-
-    def __getstate__(self) -> dict:
-        return {"proto": self.proto, "pieces": self.pieces}
-
-    def __setstate__(self, s: dict) -> None:
-        self.__init__(s["proto"], s["pieces"])
-
-    def _spelt(self, piece: int) -> list[int]:
-        if self.sp.is_byte(piece):
-            raw = bytes([int(self.sp.id_to_piece(piece)[1:-1], 16)])
-        else:
-            raw = self.sp.id_to_piece(piece).replace("▁", " ").encode()
-        return self.ids.setdefault(piece, [BYTES + b for b in raw])
-
-    def raw(self, words: list[bytes]) -> list[list[int]]:
-        return self.sp.encode([w.decode("utf-8", "replace") for w in words], num_threads=1)
-
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        get = self.ids.get
-        return [[i for p in own for i in get(p) or self._spelt(p)] for own in self.raw(words)]
-
-
 class Words:
-    """What a worker knows of words: their ids, and what a lookup of their hash gave, for words it has met."""
+    """What a worker knows of words that it has met, up to CACHE: a row each of what `look` gave for them."""
 
-    def __init__(self, subwords: Subwords, look=None):
-        self.subwords, self.look = subwords, look
+    def __init__(self, look):
+        self.look = look
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.flat, self.size, self.start = np.zeros(0, np.int16), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.hash, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.look.clear()
 
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self.index]
-        if len(self.index) + len(new) > CACHE:
-            self.clear()
-            new = list(words)
-        if not new:
-            return
-        ids = self.subwords.encode(new)
-        self.flat = np.concatenate([self.flat, np.array([i for x in ids for i in x], np.int16)])
-        self.size = np.concatenate([self.size, np.array([len(x) for x in ids], np.int64)])
-        if self.look:
-            h = np.array([word_hash(w) for w in new], np.uint64)
-            self.hash, self.count = np.concatenate([self.hash, h]), np.concatenate([self.count, self.look(h)])
-        self.index |= {w: i for i, w in enumerate(new, len(self.index))}
-        self.start = np.cumsum(self.size) - self.size
+        if new:
+            self.look.add(new)
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
 
-    def runs(self, texts: Iterable[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(first text, end, indices of their words, the texts' lengths in words): about CHUNK_WORDS words at a time."""
-        flat: list[bytes] = []
+    def runs(self, texts: Iterator[bytes], cleared=None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first text, end, rows of their words, the texts' lengths in words), about CHUNK_WORDS words at a time. cleared is called before words are forgotten."""
+        words: list[bytes] = []
         lengths: list[int] = []
         first = 0
 
         def settle() -> tuple[int, int, np.ndarray, np.ndarray]:
-            self.learn(set(flat))
-            return first, first + len(lengths), np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat)), np.array(lengths, np.int64)
+            own = set(words)
+            if self.index and len(self.index) + len(own) > CACHE:
+                if cleared:
+                    cleared()
+                self.clear()
+            self.learn(own)
+            return first, first + len(lengths), np.fromiter(map(self.index.__getitem__, words), np.int64, len(words)), np.array(lengths, np.int64)
 
         for t in texts:
             own = lower_words(t)
-            if lengths and len(flat) + len(own) > CHUNK_WORDS:
+            if lengths and len(words) + len(own) > CHUNK_WORDS:
                 yield settle()
                 first += len(lengths)
-                flat.clear()
+                words.clear()
                 lengths.clear()
-            flat += own
+            words += own
             lengths.append(len(own))
         if lengths:
             yield settle()
 
-    def ids(self, at: np.ndarray) -> np.ndarray:
+
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+
+class Pieces:
+    """Words as the tokenizer's ids, one after another; times: how often each word was counted."""
+
+    def __init__(self, proto: bytes):
+        self.sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
+        self.clear()
+
+    def clear(self) -> None:
+        self.n = self.end = 0
+        self.flat, self.size, self.start, self.times = np.zeros(1 << 16, np.uint16), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def add(self, words: list[bytes]) -> None:
+        own = self.sp.encode([w.decode("utf-8", "replace") for w in words], num_threads=1)
+        n, size = self.n + len(own), np.fromiter(map(len, own), np.int64, len(own))
+        end = self.end + int(size.sum())
+        self.flat, self.size, self.start, self.times = _grown(self.flat, end), _grown(self.size, n), _grown(self.start, n), _grown(self.times, n)
+        self.flat[self.end : end] = np.fromiter((p for x in own for p in x), np.uint16, end - self.end)
+        self.size[self.n : n] = size
+        self.start[self.n : n] = self.end + np.cumsum(size) - size
+        self.times[self.n : n] = 0
+        self.n, self.end = n, end
+
+    def of(self, at: np.ndarray) -> np.ndarray:
         size = self.size[at]
         return self.flat[np.repeat(self.start[at] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
 
-_kept: dict[str, Words] = {}
+def read_texts(t: DataFrame, tokenizer: str) -> DataFrame:
+    """Rows of three kinds from texts (doc_id, held_out, binary t). 0: a text with the tokenizer's ids (uint16) of its words.
+
+    1: a word, by its 64-bit hash, and how often a worker counted it in texts not held out; 2: an id of the tokenizer, likewise.
+    """
+    with open(tokenizer, "rb") as f:
+        proto = f.read()
+    names = ["kind", "doc_id", "held_out", "t", "ids", "key", "n"]
+    types = [pa.int8(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 
+    def batch(kind: int, rows: int, **own: pa.Array) -> pa.RecordBatch:
+        cols = [pa.array(np.full(rows, kind, np.int8)) if k == "kind" else own.get(k, pa.nulls(rows, x)) for k, x in zip(names, types, strict=True)]
+        return pa.RecordBatch.from_arrays(cols, names)
 
-def kept_words(key: str, subwords: Subwords, look=None) -> Words:
-    """A worker's words of a key, for the next task too; of one key at a time."""
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = Words(subwords, look)
-    return _kept[key]
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = Pieces(proto)
+        words, total, out = Words(pieces), np.zeros(0, np.int64), []
+
+        def count() -> None:
+            nonlocal total
+            n = pieces.times[: pieces.n]
+            own = np.flatnonzero(n)
+            keys = np.fromiter((word_hash(w) for w in words.index), np.uint64, len(words.index))
+            out.append(batch(1, len(own), key=pa.array(keys[own].view(np.int64)), n=pa.array(n[own])))
+            seen = np.bincount(pieces.flat[: pieces.end], np.repeat(n, pieces.size[: pieces.n])).astype(np.int64)
+            total = np.pad(total, (0, max(0, len(seen) - len(total))))
+            total[: len(seen)] += seen
+            pieces.times[: pieces.n] = 0
 
+        for b in it:
+            held = b.column(1).to_numpy(zero_copy_only=False)
+            for a, e, at, lengths in words.runs((x.as_py() for x in b.column(2)), count):
+                learnt = np.bincount(at[np.repeat(~held[a:e], lengths)], minlength=pieces.n)
+                pieces.times[: pieces.n] += learnt
+                ids = pieces.of(at)
+                ends = np.concatenate([[0], np.cumsum(pieces.size[at])])[np.concatenate([[0], np.cumsum(lengths)])]
+                binary = pa.Array.from_buffers(pa.binary(), e - a, [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(ids)])
+                yield batch(0, e - a, doc_id=b.column(0).slice(a, e - a), held_out=b.column(1).slice(a, e - a), t=b.column(2).slice(a, e - a), ids=binary)
+                yield from out
+                out.clear()
+        count()
+        own = np.flatnonzero(total)
+        yield from [*out, batch(2, len(own), key=pa.array(own), n=pa.array(total[own]))]
+
+    return map_batches(t, run, "kind byte, doc_id long, held_out boolean, t binary, ids binary, key long, n long")
 
-def packed(words: Words, at: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, targets and begins of texts packed after one another, and where each text begins. lengths: of the texts, in words."""
-    ids = words.ids(at)
-    sizes = words.size[at]
-    ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(lengths)]
-    per = np.diff(np.concatenate([[0], ends])) + 1
-    starts = np.cumsum(per) - per
-    targets = np.full(per.sum(), END, np.int64)
-    place = np.ones(per.sum(), bool)
-    place[np.cumsum(per) - 1] = False
-    targets[place] = ids
-    inputs = np.concatenate([[END], targets[:-1]])
-    return inputs, targets, np.repeat(starts, per), starts
+
+class Subwords:
+    """The tokenizer's ids as ids of the model: those of `pieces` have one, in order, and others are spelt in bytes."""
+
+    def __init__(self, tokenizer: str, pieces: list[int]):
+        sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer)
+        own = {p: BYTES + 256 + i for i, p in enumerate(pieces)}
+
+        def ids(p: int) -> list[int]:
+            if p in own:
+                return [own[p]]
+            raw = bytes([int(sp.id_to_piece(p)[1:-1], 16)]) if sp.is_byte(p) else sp.id_to_piece(p).replace("▁", " ").encode()
+            return [BYTES + b for b in raw]
+
+        every = [ids(p) for p in range(sp.get_piece_size())]
+        self.flat, self.size = np.array([i for x in every for i in x], np.int32), np.array([len(x) for x in every], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+
+    def laid_out(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs, targets and whether they are real of texts (tokenizer's ids), whether each block begins a text, and where each text begins."""
+        p = np.frombuffer(b"".join(texts), np.uint16)
+        size = self.size[p]
+        ends = np.cumsum(size)
+        ids = self.flat[np.repeat(self.start[p] - (ends - size), size) + np.arange(size.sum())]
+        n = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(t) // 2 for t in texts])])])
+        room = (n + BLOCK) // BLOCK * BLOCK
+        starts = np.cumsum(room) - room
+        inputs, targets, real = np.zeros(room.sum(), np.int32), np.zeros(room.sum(), np.int32), np.zeros(room.sum(), np.float32)
+        at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(len(ids))
+        inputs[at + 1] = targets[at] = ids
+        real[at] = real[starts + n] = 1
+        begins = np.zeros(len(inputs) // BLOCK, bool)
+        begins[starts // BLOCK] = True
+        return inputs, targets, real, begins, starts
+
+    def chunks(self, texts: Iterator[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+        """laid_out() of about CHUNK_IDS ids at a time."""
+        own: list[bytes] = []
+        n = 0
+        for t in texts:
+            own.append(t)
+            n += len(t) // 2 + BLOCK
+            if n >= CHUNK_IDS:
+                yield self.laid_out(own)
+                own, n = [], 0
+        if own:
+            yield self.laid_out(own)
 
 
 # Training ----------------------------------------------------------------------------------------------------------------
 
+_KIND = "part int, mean binary, seen long"
+
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(h, n): how often each word, by its 64-bit hash, occurs in the texts (binary column t)."""
+def _trained(texts: DataFrame, w: Weights, subwords: Subwords, rate: float, until: int) -> DataFrame:
+    """(part, mean, seen): for each partition of texts (h, ids), in the order of h, the weights trained on it from w, and ids seen."""
+    sent = texts.sparkSession.sparkContext.broadcast((flat(w), subwords))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Counter = Counter()
+        start, own = sent.value
+        trainer = Trainer(shaped(start.copy()), rate, until)
+        for chunk in own.chunks(t.as_py() for b in it for t in b.column(0)):
+            trainer.feed(*chunk[:4])
+        if trainer.seen:
+            part = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([trainer.flat.tobytes()], pa.binary()), pa.array([trainer.seen], pa.int64())], ["part", "mean", "seen"])
 
-        def flush() -> pa.RecordBatch:
-            h = pa.array(np.array([word_hash(w) for w in own], np.uint64).view(np.int64))
-            b = pa.RecordBatch.from_arrays([h, pa.array(list(own.values()), pa.int64())], ["h", "n"])
-            own.clear()
-            return b
+    return map_batches(texts.sortWithinPartitions("h", "ids").select("ids"), run, _KIND)
+
+
+def _mean(rows: list[tuple[int, bytes, int]]) -> tuple[np.ndarray, int]:
+    total = sum(n for _, _, n in rows)
+    return (sum(np.frombuffer(x, np.float32) * np.float64(n) for _, x, n in sorted(rows)) / total).astype(np.float32), total
 
-        for b in it:
-            for t in b.column(0):
-                own.update(lower_words(t.as_py()))
-                if len(own) >= FLUSH:
-                    yield flush()
-        yield flush()
 
-    return map_batches(texts.select("t"), run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+def _averaged(means: DataFrame, w: Weights) -> Weights:
+    """The mean of the parts' weights by ids seen, in two steps; w if there is none."""
 
+    def merge(groups: int):
+        def run(table: pa.Table) -> pa.Table:
+            rows = list(zip(*(table.column(c).to_pylist() for c in ("part", "mean", "seen")), strict=True))
+            mean, seen = _mean(rows)
+            return pa.table({"part": pa.array([rows[0][0] % groups], pa.int32()), "mean": [mean.tobytes()], "seen": [seen]})
 
-def fit(texts: DataFrame, tokenizer: str = TOKENIZER) -> tuple[dict[str, np.ndarray], Subwords]:
-    """Weights and subwords of a model of the texts (doc_id, binary t).
+        return run
 
-    The vocabulary and the first weights come from a sample: about WARM_DOCS texts drawn by a hash, up to WARM_IDS ids. Then
-    in each round every task trains on its own texts of that round's part, the parts together being all texts, and the
-    tasks' weights are averaged by the ids they saw. So what is learnt from grows with the texts, and the driver gets
-    a few averages of weights.
+    for groups in SUM_GROUPS:
+        means = means.groupBy(F.pmod("part", F.lit(groups))).applyInArrow(merge(groups), _KIND)
+    rows = [(r["part"], bytes(r["mean"]), r["seen"]) for r in means.collect()]
+    return bounded(shaped(_mean(rows)[0])) if rows else w
+
+
+def fit(texts: DataFrame, pieces: dict[int, int], tokenizer: str = TOKENIZER) -> tuple[Weights, Subwords]:
+    """Weights and subwords of a model of texts (h, ids). pieces: how often each of the tokenizer's ids occurs in them.
+
+    The vocabulary is of all texts' counts. The first weights come from about START_IDS ids, of the texts of the least h. Then every
+    text trains the model once: each round deals its texts by h into parts, trains each part from the same weights
+    and averages them by ids. h decides the parts and their order, so how the table is split doesn't matter. What
+    is learnt from is all texts, in parts as many as the ids ask for, and the driver gets a few averages.
     """
-    spark = texts.sparkSession
-    with open(tokenizer, "rb") as f:
-        proto = f.read()
-    sample = [bytes(r[0]) for r in hashed_sample(texts.where(F.octet_length("t") <= WARM_BYTES).select("t"), WARM_DOCS, F.col("t")).orderBy(F.xxhash64("t"), "t").collect()]
-    sp, seen, counts = Subwords(proto, []), Counter(w for t in sample for w in lower_words(t)), Counter()
-    for w, own in zip(seen, sp.raw(list(seen)), strict=True):
-        for p in own:
-            counts[p] += seen[w]
-    seen.clear()
-    pieces = [p for p, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if not sp.sp.is_byte(p)][: VOCABULARY - 257]
-    subwords = Subwords(proto, pieces)
-    words = Words(subwords)
-    trainer = None
-    for _, _, at, lengths in words.runs(sample):
-        inputs, targets, begins, _ = packed(words, at, lengths)
-        if trainer is None:
-            trainer = Trainer(new_weights(np.bincount(targets, minlength=VOCABULARY)), WARM_RATE, WARM_IDS)
-        keep = min(len(inputs), WARM_IDS - trainer.seen)
-        if keep < BLOCK:
-            break
-        trainer.feed(inputs[:keep], targets[:keep], begins[:keep])
-    w = trainer.w if trainer else new_weights(np.ones(VOCABULARY))
-    for k, rate in enumerate(ROUND_RATES):
-        sent = spark.sparkContext.broadcast((pack(w), subwords))
-
-        def run(it: Iterator[pa.RecordBatch], sent=sent, rate=rate) -> Iterator[pa.RecordBatch]:
-            raw, own = sent.value
-            words, trainer = Words(own), Trainer(unpack(raw), rate)
-            for b in it:
-                for _, _, at, lengths in words.runs(t.as_py() for t in b.column(0)):
-                    trainer.feed(*packed(words, at, lengths)[:3])
-            if trainer.seen:
-                part = TaskContext.get().partitionId() % SUM_GROUPS[0]
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pack(trainer.w)], pa.binary()), pa.array([trainer.seen], pa.int64())], ["part", "mean", "seen"])
-
-        def merge(table: pa.Table) -> pa.Table:
-            seen = table.column("seen").to_pylist()
-            total = sum(np.frombuffer(x.as_py(), np.float32) * np.float64(n) for x, n in zip(table.column("mean"), seen, strict=True))
-            part = table.column("part")[0].as_py() % SUM_GROUPS[1]
-            return pa.table({"part": pa.array([part], pa.int32()), "mean": [(total / sum(seen)).astype(np.float32).tobytes()], "seen": [sum(seen)]})
-
-        share = texts.where(F.pmod(F.xxhash64("t", F.lit(3)), F.lit(len(ROUND_RATES))) == k).select("t")
-        kind = "part int, mean binary, seen long"
-        means = map_batches(share, run, kind).groupBy("part").applyInArrow(merge, kind).groupBy("part").applyInArrow(merge, kind).collect()
-        if means:
-            w = bounded(unpack(sum(np.frombuffer(bytes(r["mean"]), np.float32) * np.float64(r["seen"]) for r in means) / sum(r["seen"] for r in means)))
+    own = sentencepiece.SentencePieceProcessor(model_file=tokenizer)
+    order = sorted((p for p in pieces if not own.is_byte(p)), key=lambda p: (-pieces[p], p))
+    subwords, total = Subwords(tokenizer, order[: VOCABULARY - BYTES - 256]), sum(pieces.values())
+    counts = np.zeros(VOCABULARY)
+    for p, n in pieces.items():
+        np.add.at(counts, subwords.flat[subwords.start[p] : subwords.start[p] + subwords.size[p]], n)
+    w = new_weights(counts)
+    share = 1.0 if total <= START_IDS else START_IDS / total
+    first = texts.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).repartition(1)
+    w = _averaged(_trained(first, w, subwords, START_RATE, START_IDS), w)
+    parts = max(1, min(PARTS, -(-total // (PART_IDS * len(RATES)))))
+    for k, rate in enumerate(RATES):
+        dealt = texts.where(F.pmod(F.shiftright("h", 31), F.lit(len(RATES))) == k).repartition(parts, "h")
+        w = _averaged(_trained(dealt, w, subwords, rate, 0), w)
     return w, subwords
 
 
 # Scoring -----------------------------------------------------------------------------------------------------------------
 
 
+class Known:
+    """Counts of the most frequent words by sorted hashes, and of each word that was added: its hash and count (0: not among them)."""
+
+    def __init__(self, hashes: np.ndarray, times: np.ndarray):
+        self.hashes, self.times = hashes, times
+        self.clear()
+
+    def clear(self) -> None:
+        self.n, self.hash, self.count = 0, np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64)
+
+    def add(self, words: list[bytes]) -> None:
+        n, h = self.n + len(words), np.fromiter(map(word_hash, words), np.uint64, len(words))
+        self.hash, self.count = _grown(self.hash, n), _grown(self.count, n)
+        self.hash[self.n : n] = h
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            self.count[self.n : n] = np.where(self.hashes[at] == h, self.times[at], 0)
+        self.n = n
+
+
+_kept: dict[str, Words] = {}
+
+
+def _known_words(key: str, hashes: np.ndarray, times: np.ndarray) -> Words:
+    """A worker's words of a key, for the next task too; of one key at a time."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Words(Known(hashes, times))
+    return _kept[key]
+
+
+def most_frequent(counts: DataFrame, most: int) -> int:
+    """The least count, of steps of an eighth of a power of two, that at most `most` rows (n) reach."""
+    least, total = 1, 0
+    steps = counts.groupBy(F.floor(F.log2("n") * 8).alias("s")).agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("last")).orderBy(F.desc("s"))
+    for r in steps.collect():
+        total += r["k"]
+        if total > most:
+            return r["last"] + 1
+    return least
+
+
 def with_lm_scores(docs: DataFrame, held_out=None, tokenizer: str = TOKENIZER) -> DataFrame:
     """A row a document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -470,63 +563,58 @@ def with_lm_scores(docs: DataFrame, held_out=None, tokenizer: str = TOKENIZER) -
     over the tokens; score: the model's log10 probability of the words' subwords and the end. Rows with equal or null ids
     are scored one by one. Without training rows N and V are 0. An empty table gives an empty table; other columns are ignored.
 
-    Counts are of all training words, by 64-bit hashes. Those of the KNOWN_WORDS most frequent are sent to the workers; rarer
-    words' counts are joined, from all of them.
+    Counts are of all training words, by 64-bit hashes. Those of the most frequent, KNOWN_WORDS at most, are sent to the
+    workers; rarer words' counts are joined, from all of them.
     """
     spark = docs.sparkSession
     mark = F.lit(False) if held_out is None else F.coalesce(held_out, F.lit(False))
     t = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark.alias("held_out"), as_bytes("text").alias("t"))
-    train = t.where("not held_out").select("doc_id", "t")
+    read = written(read_texts(t, tokenizer), "read", "zstd")
+    texts = read.where("kind = 0").select("doc_id", "held_out", "t", "ids")
+    train = texts.where("not held_out").select(F.xxhash64("doc_id", "ids").alias("h"), "ids")
     ends = train.count()
-    counts = written(word_counts(train), "words")
+    counts = written(read.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")), "words")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     n, v = n + ends, v + (1 if ends else 0)
     floor = n + 0.5 * (v + 1)
-    least, total = 1, 0
-    for r in counts.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).collect():
-        total += r["k"]
-        if total > KNOWN_WORDS:
-            least = r["n"] + 1
-            break
+    least = most_frequent(counts, KNOWN_WORDS)
     top = counts.where(F.col("n") >= least).toArrow()
-    h = top.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    w, subwords = fit(train, tokenizer)
-    sent = spark.sparkContext.broadcast((h[order], top.column("n").to_numpy()[order], pack(w), subwords))
+    hashes = top.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    pieces = {r["key"]: r["n"] for r in read.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n")).collect()}
+    w, subwords = fit(train, pieces, tokenizer)
+    sent = spark.sparkContext.broadcast((hashes[order], top.column("n").to_numpy()[order], flat(w), subwords))
     call = uuid.uuid4().hex
     end_base = float(np.log10((ends + 0.5) / floor))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, times, raw, own = sent.value
-        weights, row = unpack(raw), TaskContext.get().partitionId() << 36
-
-        def look(h: np.ndarray) -> np.ndarray:
-            if not len(known):
-                return np.zeros(len(h), np.int64)
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            return np.where(known[at] == h, times[at], 0)
-
-        words = kept_words(call, own, look)
+        known, times, weights, own = sent.value
+        weights, row = shaped(weights), TaskContext.get().partitionId() << 36
+        words = _known_words(call, known, times)
         for b in it:
+            scores = np.empty(b.num_rows)
+            at = 0
+            for inputs, targets, real, begins, starts in own.chunks(x.as_py() for x in b.column(3)):
+                logs = log_probs(weights, inputs, targets, begins)
+                scores[at : at + len(starts)] = np.add.reduceat(logs * real, starts, dtype=np.float64) / np.log(10)
+                at += len(starts)
             for a, e, at, lengths in words.runs(x.as_py() for x in b.column(2)):
                 bounds = np.concatenate([[0], np.cumsum(lengths)])
-                c = words.count[at]
+                c = words.look.count[at]
                 sums = np.concatenate([[0.0], np.cumsum(np.where(c > 0, np.log10((c + 0.5) / floor), 0.0))])
                 hits = np.concatenate([[0], np.cumsum(c > 0)])
-                inputs, targets, begins, starts = packed(words, at, lengths)
-                scores = np.add.reduceat(log_probs(weights, inputs, targets, begins).astype(np.float64), starts) / np.log(10)
                 rest = np.flatnonzero(c == 0)
-                rare = words.hash[at[rest]].view(np.int64)
+                rare = words.look.hash[at[rest]].view(np.int64)
                 cuts = np.searchsorted(rest, bounds).astype(np.int32)
                 cols = [
                     pa.array(row + np.arange(e - a)), b.column(0).slice(a, e - a), b.column(1).slice(a, e - a), pa.array(lengths + 1), pa.array(np.diff(hits[bounds]) + (ends > 0)),
-                    pa.array(np.diff(sums[bounds]) + end_base), pa.array(scores), pa.ListArray.from_arrays(pa.array(cuts), pa.array(rare)),
+                    pa.array(np.diff(sums[bounds]) + end_base), pa.array(scores[a:e]), pa.ListArray.from_arrays(pa.array(cuts), pa.array(rare)),
                 ]
                 row += e - a
                 yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])
 
-    s = written(map_batches(t, run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>"), "scored")
-    rare = s.select("row", F.explode("rare").alias("h")).join(counts.where(F.col("n") < least), "h", "left")
+    s = written(map_batches(texts, run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<long>"), "scored")
+    rare = s.select("row", F.explode("rare").alias("key")).join(counts.where(F.col("n") < least), "key", "left")
     more = rare.groupBy("row").agg(F.count("n").alias("more"), F.sum(F.log10((F.coalesce("n", F.lit(0)) + 0.5) / floor)).alias("rare_base"))
     return s.join(more, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
@@ -534,7 +622,7 @@ def with_lm_scores(docs: DataFrame, held_out=None, tokenizer: str = TOKENIZER) -
     )
 
 
-def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op4_lm(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
     """All documents: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return with_lm_scores(docs, crc_mod(5) == 1)
+    return with_lm_scores(docs, crc_mod(5) == 1, tokenizer)

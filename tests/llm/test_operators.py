@@ -388,40 +388,6 @@ def test_media_retries_members_alone(spark, tmp_path):
         media.read_archives(spark, manifest).collect()
 
 
-def test_lm_gradients_are_those_of_the_loss():
-    rng = np.random.default_rng(0)
-    w = {k: v.astype(np.float64) for k, v in lm.new_weights(rng.integers(1, 50, lm.VOCABULARY)).items()}
-    n = 4
-    x, y = rng.integers(0, 60, n * lm.BLOCK), rng.integers(0, lm.VOCABULARY, n * lm.BLOCK)
-    begins = np.where(np.arange(len(x)) >= 40, 40, 0)
-    g, _ = lm.gradients(w, x, y, begins, 0, n)
-    spots = {"embed": (x[5], 1), "query": (x[50], 2), "key": (x[7], 0), "value": (x[3], 3), "near": (2,), "w1": (1, 2), "b1": (4,), "w2": (3, 1), "wc": (2, 2), "bc": (1,), "wu": (y[3] // lm.PER_CLASS, 1, 1), "bu": (y[3] // lm.PER_CLASS, y[3] % lm.PER_CLASS)}
-    for name, at in spots.items():
-        old = w[name][at]
-        w[name][at] = old + 1e-4
-        up = lm.gradients(w, x, y, begins, 0, n)[1]
-        w[name][at] = old - 1e-4
-        down = lm.gradients(w, x, y, begins, 0, n)[1]
-        w[name][at] = old
-        assert (up - down) / 2e-4 == pytest.approx(g[name][at], rel=1e-3, abs=1e-7)
-
-
-def test_lm_is_causal_and_adds_up_to_one():
-    rng = np.random.default_rng(1)
-    w = lm.new_weights(rng.integers(1, 50, lm.VOCABULARY))
-    n = 3 * lm.BLOCK
-    x, begins = rng.integers(0, lm.VOCABULARY, n), np.where(np.arange(n) >= 20, 20, 0)
-    for at in (0, 19, 20, 40, n - 1):
-        each = np.concatenate([lm.log_probs(w, x[: at + 1], np.concatenate([x[1 : at + 1], [t]]), begins[: at + 1])[-1:] for t in range(lm.VOCABULARY)])
-        assert np.exp(each.astype(np.float64)).sum() == pytest.approx(1, abs=1e-4)
-    y = rng.integers(0, lm.VOCABULARY, n)
-    whole = lm.log_probs(w, x, y, begins)
-    changed = x.copy()
-    changed[50:] = 0
-    changed[:20] = 1
-    assert np.allclose(whole[20:50], lm.log_probs(w, changed, y, begins)[20:50], atol=1e-5)
-
-
 def test_lm_scores(spark, docs, none):
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 1
     own = rows()
