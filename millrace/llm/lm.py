@@ -10,22 +10,21 @@ Words go to public subword ids; ids outside the model's vocabulary are spelt in
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, crc_mod, map_batches, written
+from .common import BLANK, as_bytes, crc_mod, map_batches, written
 
 #: One of the public vocabularies; a parameter of all that reads it.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK, CONTEXT, WIDTH, HEAD = 16, 16, 16, 8
+BLOCK, CONTEXT, WIDTH, HEAD = 16, 8, 16, 8
 CLASSES = PER_CLASS = 32
 #: PER_CLASS as a shift and a mask.
 _SHIFT, _LOW = 5, PER_CLASS - 1
@@ -33,25 +32,97 @@ VOCABULARY = CLASSES * PER_CLASS
 #: Id of the end of a text, which also begins it; ids of bytes follow it, then subwords.
 END, BYTES = 0, 1
 #: Blocks that are scored, and trained on, at a time.
-SCORE_BLOCKS, TRAIN_BLOCKS = 512, 256
+SCORE_BLOCKS = TRAIN_BLOCKS = 512
 #: The first weights come from about START_IDS ids, of training texts drawn by a hash. Then all training texts train the model: in
 #: ROUNDS rounds, each at its rate, in parts of about PART_IDS ids (of more where there would be over PARTS of them).
 START_IDS, START_RATE, RATES = 4_000_000, 2e-2, (1e-2, 5e-3)
 PART_IDS, PARTS = 8_000_000, 20_000
-#: Words whose counts are looked up in memory; counts of the others are joined. Distinct words that a worker remembers.
+#: Words whose counts are looked up in memory; counts of the others are joined. Distinct words whose ids a worker remembers.
 KNOWN_WORDS, CACHE = 1 << 20, 1 << 20
-#: Words, repeats included, whose texts are split at a time; ids that are scored or trained on at a time.
-CHUNK_WORDS, CHUNK_IDS = 1 << 18, 1 << 20
+#: Bytes that are split into words at a time, and of texts whose words are looked up at a time; ids that are scored or trained on at a time.
+SPLIT_BYTES, CHUNK_BYTES, CHUNK_IDS = 1 << 18, 1 << 22, 1 << 20
 #: Groups that trained weights are averaged in, first and then.
 SUM_GROUPS = (1024, 8)
 
 
-def lower_words(text: bytes) -> list[bytes]:
-    return text.lower().split()
-
-
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word)
+# Words -------------------------------------------------------------------------------------------------------------------
+
+_rng = np.random.default_rng(23)
+#: A number for each byte, the same for A-Z and a-z; blanks have none. A word's hash is the sum of its bytes' numbers, each times a power by its place.
+_numbers = _rng.integers(0, 2**64, 256, dtype=np.uint64)
+_numbers[65:91] = _numbers[97:123]
+_factor = np.uint64(0x9E3779B97F4A7C15)
+_inverse = np.uint64(pow(int(_factor), -1, 2**64))
+_is_blank = np.zeros(256, bool)
+_is_blank[list(BLANK)] = True
+_powers: dict[np.uint64, np.ndarray] = {}
+
+
+def _powers_of(base: np.uint64, n: int) -> np.ndarray:
+    if len(_powers.get(base, ())) < n:
+        own = np.full(n, base, np.uint64)
+        own[0] = 1
+        _powers[base] = np.multiply.accumulate(own)
+    return _powers[base][:n]
+
+
+def _split(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the words of bytes begin and end, and their hashes. cuts: places where a word ends whatever is there."""
+    n = len(data)
+    word = np.zeros(n + 2, bool)
+    word[1:-1] = ~_is_blank[data]
+    apart = np.zeros(n + 1, bool)
+    apart[cuts] = True
+    begin = np.flatnonzero(word[1:] & (~word[:-1] | apart))
+    end = np.flatnonzero(word[:-1] & (~word[1:] | apart))
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_numbers[data] * _powers_of(_factor, n), out=sums[1:])
+    h = (sums[end] - sums[begin]) * _powers_of(_inverse, n)[begin]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return begin, end, h ^ (h >> np.uint64(32))
+
+
+def word_groups(texts: pa.BinaryArray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first text, end, words' hashes, begins, ends, the texts' bytes, the texts' lengths in words) of about CHUNK_BYTES of texts at a time."""
+    if not len(texts):
+        return
+    where = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    every = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    first = 0
+    while first < len(texts):
+        last = max(first + 1, int(np.searchsorted(where, where[first] + CHUNK_BYTES, "right")) - 1)
+        data, bounds = every[where[first] : where[last]], where[first : last + 1] - where[first]
+        parts, at = [], 0
+        while at < len(data):
+            to = min(len(data), at + SPLIT_BYTES)
+            if to < len(data):  # back to a blank or the end of a text, or on to one
+                blanks = np.flatnonzero(_is_blank[data[at:to]])
+                text = int(bounds[np.searchsorted(bounds, to, "right") - 1])
+                if len(blanks) or text > at:
+                    to = max(at + int(blanks[-1]) + 1 if len(blanks) else 0, text)
+                else:
+                    text = int(bounds[np.searchsorted(bounds, to, "left")])
+                    more = _is_blank[data[to:text]]
+                    to = to + int(more.argmax()) if more.any() else text
+            cuts = bounds[np.searchsorted(bounds, at, "left") : np.searchsorted(bounds, to, "right")] - at
+            begin, end, h = _split(data[at:to], cuts)
+            parts.append((begin + at, end + at, h))
+            at = to
+        begin, end, h = (np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        yield first, last, h, begin, end, data, np.diff(np.searchsorted(begin, bounds))
+        first = last
+
+
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct hashes, where one of each is, and the number of each in the distinct ones."""
+    order = np.argsort(h)
+    s = h[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    back = np.empty(len(s), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return s[new], order[new], back
 
 
 # The model ---------------------------------------------------------------------------------------------------------------
@@ -225,7 +296,7 @@ def gradients(w: Weights, inputs: np.ndarray, targets: np.ndarray, real: np.ndar
     rows_of[CONTEXT:, WIDTH : WIDTH + HEAD] = (da @ _windows(k).transpose(0, 2, 1)).reshape(-1, HEAD)
     for d, to in ((dk, rows_of[:, WIDTH + HEAD : WIDTH + 2 * HEAD]), (dv, rows_of[:, WIDTH + 2 * HEAD :])):
         to[CONTEXT:] = d[:, CONTEXT:].reshape(size, -1)
-        to[:-BLOCK] += d[:, :CONTEXT].reshape(size, -1)
+        to[:size].reshape(n, BLOCK, -1)[:, :CONTEXT] += d[:, :CONTEXT]
     by = np.argsort(ext.astype(np.int16), kind="stable")
     s = ext[by]
     start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
@@ -271,76 +342,39 @@ class Trainer:
 # Texts to ids ------------------------------------------------------------------------------------------------------------
 
 
-class Words:
-    """What a worker knows of words that it has met, up to CACHE: a row each of what `look` gave for them."""
-
-    def __init__(self, look):
-        self.look = look
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.look.clear()
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.index]
-        if new:
-            self.look.add(new)
-            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new)), strict=True))
-
-    def runs(self, texts: Iterator[bytes], cleared=None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(first text, end, rows of their words, the texts' lengths in words), about CHUNK_WORDS words at a time. cleared is called before words are forgotten."""
-        words: list[bytes] = []
-        lengths: list[int] = []
-        first = 0
-
-        def settle() -> tuple[int, int, np.ndarray, np.ndarray]:
-            own = set(words)
-            if self.index and len(self.index) + len(own) > CACHE:
-                if cleared:
-                    cleared()
-                self.clear()
-            self.learn(own)
-            return first, first + len(lengths), np.fromiter(map(self.index.__getitem__, words), np.int64, len(words)), np.array(lengths, np.int64)
-
-        for t in texts:
-            own = lower_words(t)
-            if lengths and len(words) + len(own) > CHUNK_WORDS:
-                yield settle()
-                first += len(lengths)
-                words.clear()
-                lengths.clear()
-            words += own
-            lengths.append(len(own))
-        if lengths:
-            yield settle()
-
-
 def _grown(a: np.ndarray, n: int) -> np.ndarray:
     return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
 
 class Pieces:
-    """Words as the tokenizer's ids, one after another; times: how often each word was counted."""
+    """Distinct words, by hashes, as the tokenizer's ids, one after another; times: how often each word was counted."""
 
     def __init__(self, proto: bytes):
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
         self.clear()
 
     def clear(self) -> None:
-        self.n = self.end = 0
+        self.rows: dict[int, int] = {}
+        self.end = 0
         self.flat, self.size, self.start, self.times = np.zeros(1 << 16, np.uint16), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def add(self, words: list[bytes]) -> None:
-        own = self.sp.encode([w.decode("utf-8", "replace") for w in words], num_threads=1)
-        n, size = self.n + len(own), np.fromiter(map(len, own), np.int64, len(own))
-        end = self.end + int(size.sum())
-        self.flat, self.size, self.start, self.times = _grown(self.flat, end), _grown(self.size, n), _grown(self.start, n), _grown(self.times, n)
-        self.flat[self.end : end] = np.fromiter((p for x in own for p in x), np.uint16, end - self.end)
-        self.size[self.n : n] = size
-        self.start[self.n : n] = self.end + np.cumsum(size) - size
-        self.times[self.n : n] = 0
-        self.n, self.end = n, end
+    def learn(self, h: np.ndarray, words: Callable[[int], bytes]) -> np.ndarray:
+        """The rows of distinct hashes; those not met yet are read: words(i) is the i-th."""
+        own, get = h.tolist(), self.rows.get
+        rows = np.array([get(x, -1) for x in own], np.int64)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            n = len(self.rows)
+            ids = self.sp.encode([words(i).lower().decode("utf-8", "replace") for i in new.tolist()], num_threads=1)
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            end = self.end + int(size.sum())
+            self.flat, self.size, self.start, self.times = _grown(self.flat, end), _grown(self.size, n + len(new)), _grown(self.start, n + len(new)), _grown(self.times, n + len(new))
+            self.flat[self.end : end] = np.fromiter(chain.from_iterable(ids), np.uint16, end - self.end)
+            self.size[n : n + len(new)] = size
+            self.start[n : n + len(new)] = self.end + np.cumsum(size) - size
+            self.end, rows[new] = end, np.arange(n, n + len(new))
+            self.rows.update(zip(h[new].tolist(), range(n, n + len(new)), strict=True))
+        return rows
 
     def of(self, at: np.ndarray) -> np.ndarray:
         size = self.size[at]
@@ -362,25 +396,30 @@ def read_texts(t: DataFrame, tokenizer: str) -> DataFrame:
         return pa.RecordBatch.from_arrays(cols, names)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(proto)
-        words, total, out = Words(pieces), np.zeros(0, np.int64), []
+        pieces, total, out = Pieces(proto), np.zeros(0, np.int64), []
 
         def count() -> None:
             nonlocal total
-            n = pieces.times[: pieces.n]
+            known = len(pieces.rows)
+            n = pieces.times[:known]
             own = np.flatnonzero(n)
-            keys = np.fromiter((word_hash(w) for w in words.index), np.uint64, len(words.index))
+            keys = np.fromiter(pieces.rows, np.uint64, known)
             out.append(batch(1, len(own), key=pa.array(keys[own].view(np.int64)), n=pa.array(n[own])))
-            seen = np.bincount(pieces.flat[: pieces.end], np.repeat(n, pieces.size[: pieces.n])).astype(np.int64)
+            seen = np.bincount(pieces.flat[: pieces.end], np.repeat(n, pieces.size[:known])).astype(np.int64)
             total = np.pad(total, (0, max(0, len(seen) - len(total))))
             total[: len(seen)] += seen
-            pieces.times[: pieces.n] = 0
 
         for b in it:
             held = b.column(1).to_numpy(zero_copy_only=False)
-            for a, e, at, lengths in words.runs((x.as_py() for x in b.column(2)), count):
-                learnt = np.bincount(at[np.repeat(~held[a:e], lengths)], minlength=pieces.n)
-                pieces.times[: pieces.n] += learnt
+            for a, e, h, begin, end, data, lengths in word_groups(b.column(2)):
+                h, one, back = distinct(h)
+                if pieces.rows and len(pieces.rows) + len(h) > CACHE:
+                    count()
+                    pieces.clear()
+                raw, begin, end = data.tobytes(), begin[one], end[one]
+                rows = pieces.learn(h, lambda i, raw=raw, begin=begin, end=end: raw[begin[i] : end[i]])
+                pieces.times[rows] += np.bincount(back[np.repeat(~held[a:e], lengths)], minlength=len(rows))
+                at = rows[back]
                 ids = pieces.of(at)
                 ends = np.concatenate([[0], np.cumsum(pieces.size[at])])[np.concatenate([[0], np.cumsum(lengths)])]
                 binary = pa.Array.from_buffers(pa.binary(), e - a, [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(ids)])
@@ -513,37 +552,6 @@ def fit(texts: DataFrame, pieces: dict[int, int], tokenizer: str = TOKENIZER) ->
 # Scoring -----------------------------------------------------------------------------------------------------------------
 
 
-class Known:
-    """Counts of the most frequent words by sorted hashes, and of each word that was added: its hash and count (0: not among them)."""
-
-    def __init__(self, hashes: np.ndarray, times: np.ndarray):
-        self.hashes, self.times = hashes, times
-        self.clear()
-
-    def clear(self) -> None:
-        self.n, self.hash, self.count = 0, np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int64)
-
-    def add(self, words: list[bytes]) -> None:
-        n, h = self.n + len(words), np.fromiter(map(word_hash, words), np.uint64, len(words))
-        self.hash, self.count = _grown(self.hash, n), _grown(self.count, n)
-        self.hash[self.n : n] = h
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            self.count[self.n : n] = np.where(self.hashes[at] == h, self.times[at], 0)
-        self.n = n
-
-
-_kept: dict[str, Words] = {}
-
-
-def _known_words(key: str, hashes: np.ndarray, times: np.ndarray) -> Words:
-    """A worker's words of a key, for the next task too; of one key at a time."""
-    if key not in _kept:
-        _kept.clear()
-        _kept[key] = Words(Known(hashes, times))
-    return _kept[key]
-
-
 def most_frequent(counts: DataFrame, most: int) -> int:
     """The least count, of steps of an eighth of a power of two, that at most `most` rows (n) reach."""
     least, total = 1, 0
@@ -584,13 +592,11 @@ def with_lm_scores(docs: DataFrame, held_out=None, tokenizer: str = TOKENIZER) -
     pieces = {r["key"]: r["n"] for r in read.where("kind = 2").groupBy("key").agg(F.sum("n").alias("n")).collect()}
     w, subwords = fit(train, pieces, tokenizer)
     sent = spark.sparkContext.broadcast((hashes[order], top.column("n").to_numpy()[order], flat(w), subwords))
-    call = uuid.uuid4().hex
     end_base = float(np.log10((ends + 0.5) / floor))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, times, weights, own = sent.value
         weights, row = shaped(weights), TaskContext.get().partitionId() << 36
-        words = _known_words(call, known, times)
         for b in it:
             scores = np.empty(b.num_rows)
             at = 0
@@ -598,17 +604,19 @@ def with_lm_scores(docs: DataFrame, held_out=None, tokenizer: str = TOKENIZER) -
                 logs = log_probs(weights, inputs, targets, begins)
                 scores[at : at + len(starts)] = np.add.reduceat(logs * real, starts, dtype=np.float64) / np.log(10)
                 at += len(starts)
-            for a, e, at, lengths in words.runs(x.as_py() for x in b.column(2)):
+            for a, e, h, _, _, _, lengths in word_groups(b.column(2)):
+                h, _, back = distinct(h)
+                c = np.zeros(len(h), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    c = np.where(known[at] == h, times[at], 0)
                 bounds = np.concatenate([[0], np.cumsum(lengths)])
-                c = words.look.count[at]
-                sums = np.concatenate([[0.0], np.cumsum(np.where(c > 0, np.log10((c + 0.5) / floor), 0.0))])
-                hits = np.concatenate([[0], np.cumsum(c > 0)])
-                rest = np.flatnonzero(c == 0)
-                rare = words.look.hash[at[rest]].view(np.int64)
+                sums = np.concatenate([[0.0], np.cumsum(np.where(c > 0, np.log10((c + 0.5) / floor), 0.0)[back])])
+                rest = np.flatnonzero((c == 0)[back])
                 cuts = np.searchsorted(rest, bounds).astype(np.int32)
                 cols = [
-                    pa.array(row + np.arange(e - a)), b.column(0).slice(a, e - a), b.column(1).slice(a, e - a), pa.array(lengths + 1), pa.array(np.diff(hits[bounds]) + (ends > 0)),
-                    pa.array(np.diff(sums[bounds]) + end_base), pa.array(scores[a:e]), pa.ListArray.from_arrays(pa.array(cuts), pa.array(rare)),
+                    pa.array(row + np.arange(e - a)), b.column(0).slice(a, e - a), b.column(1).slice(a, e - a), pa.array(lengths + 1), pa.array(lengths - np.diff(cuts) + (ends > 0)),
+                    pa.array(np.diff(sums[bounds]) + end_base), pa.array(scores[a:e]), pa.ListArray.from_arrays(pa.array(cuts), pa.array(h[back[rest]].view(np.int64))),
                 ]
                 row += e - a
                 yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rare"])

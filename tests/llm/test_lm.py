@@ -1,5 +1,7 @@
 """Operator 4: the model against plain computations, and what it learns from."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -139,3 +141,33 @@ def test_most_frequent_counts_stay_below_the_bound(spark):
     counts = spark.createDataFrame([(i, n) for i, n in enumerate([1] * 50 + [3] * 20 + [2**40] * 30)], "key long, n long")
     for most in (10, 29, 30, 49, 50, 99, 100):
         assert counts.where(F.col("n") >= lm.most_frequent(counts, most)).count() == max(k for k in (0, 30, 50, 100) if k <= most)
+
+
+def test_words_are_split_at_blanks_and_texts(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts = ["", " ", "One two", "ÉTÉ é\u00a0x\ty\x0bz", "x" * 5000 + " yy", "a\nb " * 500] + ["".join(rng.choice(["aB", " ", "\t", "é", "Z"]) for _ in range(rng.randint(0, 90))) for _ in range(60)]
+    for split, chunk in ((1 << 18, 1 << 22), (64, 300), (7, 1)):
+        monkeypatch.setattr(lm, "SPLIT_BYTES", split)
+        monkeypatch.setattr(lm, "CHUNK_BYTES", chunk)
+        got, of = [], {}
+        for a, e, h, begin, end, data, lengths in lm.word_groups(pa.array(["skip", *(t.encode() for t in texts)], pa.binary()).slice(1)):
+            assert sum(lengths) == len(h) and len(lengths) == e - a
+            own = [data[b:c].tobytes().lower() for b, c in zip(begin, end, strict=True)]
+            got += own
+            for w, x in zip(own, h.tolist(), strict=True):
+                assert of.setdefault(w, x) == x
+        assert got == [w for t in texts for w in t.encode().lower().split()] and len(set(of.values())) == len(of)
+        values, one, back = lm.distinct(h)
+        assert np.array_equal(values[back], h) and np.array_equal(h[one], values)
+
+
+def test_forgotten_words_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CHUNK_BYTES", 40)
+    docs = corpus(spark, 100).select("doc_id", F.lit(False).alias("held_out"), F.encode("text", "UTF-8").alias("t")).coalesce(1)
+    count = lambda: sorted(map(tuple, lm.read_texts(docs, lm.TOKENIZER).where("kind > 0").groupBy("kind", "key").agg(F.sum("n")).collect()))
+    whole = count()
+    monkeypatch.setattr(lm, "CACHE", 10)
+    run = lm.read_texts.__globals__
+    assert run["CACHE"] == 10 and count() == whole
