@@ -184,3 +184,38 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     trap = spark.range(2).select(F.lit(-1).cast("long"), "id", F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(TRAP))
     return read_back(format_conversations(rows.union(trap)))
+
+
+#: Marks count once for each place where they begin: none is the beginning of another. The template is INSTRUCT, in the words of SQL.
+OP9_SQL = r"""
+with raw as (
+  select conv_id, turn, role, text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+turns as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, role nulls first, text nulls first) - 1 as n from raw
+),
+marks as (select unnest(['<<SYS>>', '<</SYS>>', '[INST]', '[/INST]', '<s>', '</s>', '[TOOL]', '[/TOOL]', '<|role|>', '<|end|>', '<|text|>']) as mark),
+named as (select unnest(['system', 'user', 'assistant', 'tool']) as role, unnest(['<<SYS>>', '[INST]', '<s>', '[TOOL]']) as opens, unnest(['<</SYS>>', '[/INST]', '</s>', '[/TOOL]']) as closes),
+allowed as (select unnest(['', '', 'system', 'user', 'assistant', 'assistant', 'tool', 'tool']) as before, unnest(['system', 'user', 'user', 'assistant', 'user', 'tool', 'assistant', 'tool']) as role),
+sized as (
+  select t.*, n.role is null as other, coalesce(lag(t.role) over (partition by conv_id order by t.n), '') as before,
+    case when n.role is null then length('<|role|><|text|><|end|>') + length(t.role) + length(t.role) - length(replace(t.role, '\', ''))
+      + (select coalesce(sum((length(t.role) - length(replace(t.role, mark, ''))) // length(mark)), 0) from marks) else length(opens) + length(closes) end
+    + length(t.text) + length(t.text) - length(replace(t.text, '\', '')) + (select coalesce(sum((length(t.text) - length(replace(t.text, mark, ''))) // length(mark)), 0) from marks) as chars
+  from turns t left join named n on t.role = n.role
+),
+judged as (
+  select s.*, case when a.role is null then 'turn ' || s.n || ': ' || case when s.role = '' then 'no role' else s.role end || ' after ' || case when s.before = '' then 'nothing' else s.before end end as wrong
+  from sized s left join allowed a on s.before = a.before and s.role = a.role
+),
+done as (
+  select conv_id, cast(count(*) as bigint) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by n)) as turns_sha256,
+    cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+    sha256(coalesce(string_agg(text, '' order by n) filter (role = 'assistant'), '')) as loss_sha256, cast(sum(chars) as bigint) as formatted_chars,
+    coalesce(arg_min(wrong, n) filter (wrong is not null), case when arg_max(role, n) <> 'assistant' then 'ends after ' || case when arg_max(role, n) = '' then 'nothing' else arg_max(role, n) end end) as error
+  from judged group by conv_id
+)
+select conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, error is null as valid, error from done
+"""

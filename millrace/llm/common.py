@@ -73,6 +73,24 @@ def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or one made from it, that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def sent_if_small(df: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """A written table, marked to be broadcast if it has `most` rows or fewer; otherwise Spark joins it by shuffling."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def text_key(c: str = "text") -> Column:
+    """A hash of a text; null: of the empty text."""
+    return F.xxhash64(as_bytes(c))
+
+
 def as_bytes(c: str | Column) -> Column:
     """UTF-8 of a text; null: empty."""
     return F.coalesce((F.col(c) if isinstance(c, str) else c).cast("binary"), F.lit(b""))

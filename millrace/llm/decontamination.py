@@ -1,187 +1,249 @@
 """Benchmark decontamination with spaced seeds.
 
-A seed is a fixed mask over SPAN words: it hashes the positions that it cares for and ignores the rest. The masks take
-each two of four blocks of the span, so whichever `SUBSTITUTIONS` (two) words of a span differ, some mask sees only equal
-ones: no overlap with so few substitutions in a span is lost. Hits are verified word by word along their diagonal.
+A seed is a fixed mask over a span of words: it hashes the positions that it cares for and ignores the rest. A span of twelve
+words has the masks of two out of four blocks, so whichever two words differ, some mask sees only equal ones: no overlap
+with so few substitutions in a span is lost. Seeds of test items and of documents meet in a join on their hashes, after a
+bit array of the test seeds has kept out nearly all others; what meets is verified word by word.
+
+Equal spans of one text are one: a text that repeats itself costs what its distinct spans cost.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import map_batches
+from .common import as_bytes, map_batches, text_key, written
 
-SPAN, BLOCKS, SUBSTITUTIONS = 12, 4, 2
-#: Items with fewer words are no evidence of a leak: they find nothing.
+#: Words of a span at most, and how many of so many words may differ.
+SPAN, SUBSTITUTIONS = 12, 2
+#: Items with fewer words are no evidence of a leak: they find nothing. A parameter of overlaps().
 LEAST_WORDS = 5
-#: Words of test items that are looked for in one pass over the documents.
-PASS_WORDS = 1 << 20
-#: Words of documents that are hashed at a time.
-CHUNK_WORDS = 1 << 20
+#: Words of documents that are hashed at a time; distinct words that a worker remembers.
+CHUNK_WORDS, CACHE = 1 << 20, 1 << 20
+#: Bits for each test seed, and log2 of the bits in all, at least and at most, and in a piece that a task makes.
+SEED_BITS, LEAST_BITS, MOST_BITS, PIECE_BITS = 16, 10, 30, 19
+#: Test seeds up to which their table is sent to the documents' tasks; a larger one is joined by shuffling what passed the bit array.
+SENT_SEEDS = 1 << 20
 
 #: Runs of letters, digits and underscores.
 _word = re.compile(r"\w+")
-_mul = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 2**64) for i in range(SPAN)], np.uint64)
+_mul = [np.uint64(pow(0x9E3779B97F4A7C15, 2 * i + 1, 2**64)) for i in range(SPAN)]
+_codes: dict[str, int] = {}
 
 
 def words(text: str) -> list[str]:
     return _word.findall(text.lower())
 
 
-def masks(n: int = SPAN) -> list[list[int]]:
-    """Positions that each mask cares for; an item shorter than the span has one mask, of all its words."""
-    if n < SPAN:
-        return [list(range(n))]
-    block = SPAN // BLOCKS
-    return [[i for b in keep for i in range(b * block, b * block + block)] for keep in combinations(range(BLOCKS), BLOCKS - SUBSTITUTIONS)]
+def substitutions(span: int) -> int:
+    """How many words of a span may differ: as many in proportion as of SPAN, rounded down."""
+    return span * SUBSTITUTIONS // SPAN
+
+
+def masks(span: int = SPAN) -> list[list[int]]:
+    """Positions that each mask cares for: half of twice as many blocks as words may differ, or all words if none may."""
+    n = substitutions(span)
+    if not n:
+        return [list(range(span))]
+    cuts = [span * i // (2 * n) for i in range(2 * n + 1)]
+    return [[p for b in keep for p in range(cuts[b], cuts[b + 1])] for keep in combinations(range(2 * n), n)]
 
 
-def _hash(ids: np.ndarray, mask: list[int], salt: int) -> np.ndarray:
-    """Of each start whose last cared-for position is there."""
-    n = max(0, len(ids) - mask[-1])
-    h = np.full(n, salt * 0x632BE59BD9B4E019 % 2**64, np.uint64)
+def word_codes(text: str) -> np.ndarray:
+    """A text's words as 64-bit hashes."""
+    own = words(text)
+    if len(_codes) > CACHE:
+        _codes.clear()
+    get = _codes.get
+    return np.array([get(w) or _codes.setdefault(w, xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace"))) for w in own], np.uint64)
+
+
+def seeds(codes: np.ndarray, span: int, number: int, mask: list[int]) -> np.ndarray:
+    """Hashes of the seeds that start at each word of a run: those whose span doesn't fit are wrong."""
+    n = max(0, len(codes) - span + 1)
+    h = np.full(n, (span * 64 + number + 1) * 0x632BE59BD9B4E019 % 2**64, np.uint64)
     for p in mask:
-        h += ids[p : p + n] * _mul[p % SPAN]
+        h += codes[p : p + n] * _mul[p]
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
     return h
 
 
-class Index:
-    """Test items by the hashes of their seeds: sorted arrays of hash, item and position."""
-
-    def __init__(self, items: list[tuple[int, list[str]]]):
-        self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for _, ws in items for w in ws}))}
-        self.items = [(k, np.array([self.vocabulary[w] for w in ws], np.uint64)) for k, ws in items]
-        self.seeds = {(min(len(ids), SPAN), tuple(m)) for _, ids in self.items for m in masks(len(ids))}
-        self.tables = []
-        for salt, (n, mask) in enumerate(sorted(self.seeds)):
-            h, at, pos = [], [], []
-            for i, (_, ids) in enumerate(self.items):
-                if min(len(ids), SPAN) == n:
-                    x = _hash(ids, list(mask), salt)[: len(ids) - n + 1]
-                    h.append(x)
-                    at.append(np.full(len(x), i))
-                    pos.append(np.arange(len(x)))
-            h = np.concatenate(h)
-            order = np.argsort(h, kind="stable")
-            shift = np.uint64(64 - max(10, min(24, (16 * len(h)).bit_length())))
-            seen = np.zeros(1 << int(64 - shift), bool)
-            seen[(h >> shift).astype(np.int64)] = True
-            self.tables.append((salt, n, list(mask), h[order], np.concatenate(at)[order], np.concatenate(pos)[order], seen, shift))
-
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(item, diagonal) of the seeds that a run of word ids shares with the items, without repeats."""
-        items, diagonals = [], []
-        for salt, _, mask, h, at, pos, seen, shift in self.tables:
-            x = _hash(ids, mask, salt)
-            p = np.flatnonzero(seen[(x >> shift).astype(np.int64)])
-            p = p[np.all([ids[p + o] > 0 for o in mask], axis=0)] if len(p) else p
-            lo, hi = np.searchsorted(h, x[p], "left"), np.searchsorted(h, x[p], "right")
-            n = hi - lo
-            if n.sum():
-                each = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                items.append(at[each])
-                diagonals.append(np.repeat(p, n) - pos[each])
-        if not items:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pairs = np.unique(np.stack([np.concatenate(items), np.concatenate(diagonals)]), axis=1)
-        return pairs[0], pairs[1]
-
-    def verify(self, ids: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int] | None:
-        """The overlap along a diagonal: first word, words, equal words, of all spans with at most SUBSTITUTIONS other words."""
-        own = self.items[item][1]
-        n = min(len(own), SPAN)
-        lo, hi = max(0, -diagonal), min(len(own), len(ids) - diagonal)
-        if hi - lo < n:
-            return None
-        same = own[lo:hi] == ids[lo + diagonal : hi + diagonal]
-        total = np.concatenate([[0], np.cumsum(same)])
-        good = np.flatnonzero(total[n:] - total[:-n] >= n - (SUBSTITUTIONS if len(own) >= SPAN else 0))
-        if not len(good):
-            return None
-        first, last = int(good[0]), int(good[-1]) + n
-        return lo + diagonal + first, last - first, int(total[last] - total[first])
-
-
-def overlaps(docs: DataFrame, tests: DataFrame, item_key: str = "item_id") -> DataFrame:
-    """A row for each overlap of a document with a test item: doc_id, item_id, first_word (of the document, from 0), n_words, n_equal, item_words.
-
-    Words are runs of letters, digits and underscores in lower case. An overlap has a span of SPAN words of the item (all of
-    an item with fewer) of which at most SUBSTITUTIONS (none) differ; it reaches from the first such span to the last on one
-    diagonal. Null and empty texts, and items of fewer than LEAST_WORDS words, have none. Rows with equal ids are looked
-    at one by one. Empty tables give an empty table; columns besides the id and the text are ignored.
-
-    The items are looked for in blocks of PASS_WORDS words, one pass over the documents for each, so what an executor
-    holds of them is bounded however many there are. Documents aren't shuffled.
+class BitArray:
+    """Which cells of hashes have a member: bits packed in bytes, the highest bits of a hash say which."""
+
+    def __init__(self, bits: int):
+        self.bits, self.bytes = bits, np.zeros(1 << (bits - 3), np.uint8)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        cell = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (self.bytes[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 != 0
+
+
+def _bit_array(table: DataFrame, bits: int) -> BitArray:
+    """Of the hashes (h) of a table. Tasks make pieces of it, so the driver gets its bytes, 2^MOST_BITS bits at most."""
+    out, low = BitArray(bits), max(0, bits - PIECE_BITS)
+
+    def piece(rows: pa.Table) -> pa.Table:
+        own = np.unique(rows.column("cell").to_numpy())
+        marks = np.zeros(1 << min(bits, PIECE_BITS), bool)
+        marks[own & (len(marks) - 1)] = True
+        return pa.table({"at": [int(own[0]) >> min(bits, PIECE_BITS)], "bytes": [np.packbits(marks, bitorder="little").tobytes()]})
+
+    cells = table.select(F.shiftrightunsigned("h", 64 - bits).alias("cell")).distinct()
+    size = 1 << (min(bits, PIECE_BITS) - 3)
+    for r in cells.groupBy(F.shiftright("cell", min(bits, PIECE_BITS)) if low else F.lit(0).alias("one")).applyInArrow(piece, "at long, bytes binary").toLocalIterator():
+        out.bytes[r["at"] * size : (r["at"] + 1) * size] = np.frombuffer(bytes(r["bytes"]), np.uint8)
+    return out
+
+
+def _distinct_spans(codes: np.ndarray, at: np.ndarray, span: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct spans (a row each) among those that start at `at`, and where each starts."""
+    rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(codes, span)[at])
+    own, back = np.unique(rows.view(f"V{8 * span}").ravel(), return_inverse=True)
+    by = np.argsort(back, kind="stable")
+    return own.view(np.uint64).reshape(-1, span), np.split(at[by], np.cumsum(np.bincount(back, minlength=len(own)))[:-1])
+
+
+def _seed_rows(docs: DataFrame, keys: Sequence[str], spans: Sequence[int], known) -> DataFrame:
+    """Of each row of docs (keys, t): its seeds that `known` (a broadcast bit array, or None: all) has, each distinct span once: (keys, h, span, own, at)."""
+    families = [(n, i, m) for n in spans for i, m in enumerate(masks(n))]
+    fields = [StructField("h", LongType()), StructField("span", IntegerType()), StructField("own", ArrayType(LongType())), StructField("at", ArrayType(IntegerType()))]
+    schema = StructType([*(docs.schema[k] for k in keys), *fields])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            row, h_, span_, own_, at_ = [], [], [], [], []
+
+            def look(chunk: list[tuple[int, np.ndarray]]) -> None:
+                """Hash texts side by side; spans that reach into the next text are left out."""
+                codes = np.concatenate([c for _, c in chunk])
+                starts = np.cumsum([0] + [len(c) for _, c in chunk])
+                ends = np.repeat(starts[1:], np.diff(starts))
+                for n, i, m in families:
+                    h = seeds(codes, n, i, m)
+                    hit = np.flatnonzero((known.value.has(h) if known else True) & (np.arange(len(h)) + n <= ends[: len(h)]))
+                    for k in np.unique(np.searchsorted(starts, hit, "right")) - 1:
+                        own = hit[np.searchsorted(hit, starts[k]) : np.searchsorted(hit, starts[k + 1])]
+                        for one, at in zip(*_distinct_spans(codes, own, n), strict=True):
+                            row.append(chunk[k][0])
+                            h_.append(h[at[0]])
+                            span_.append(n)
+                            own_.append(one.view(np.int64))
+                            at_.append((at - starts[k]).astype(np.int32))
+
+            chunk, size = [], 0
+            for i, t in enumerate(b.column(b.num_columns - 1)):
+                chunk.append((i, word_codes(t.as_py().decode("utf-8", "replace"))))
+                size += len(chunk[-1][1])
+                if size >= CHUNK_WORDS:
+                    look(chunk)
+                    chunk, size = [], 0
+            if chunk:
+                look(chunk)
+            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            values = (np.array(h_, np.uint64).view(np.int64), span_, own_, at_)
+            cols = [*(b.column(i).take(pa.array(row, pa.int64())) for i in range(len(keys))), *(pa.array(v, k) for v, k in zip(values, kinds, strict=True))]
+            yield pa.RecordBatch.from_arrays(cols, schema.names)
+
+    return map_batches(docs.select(*keys, "t"), run, schema)
+
+
+def overlaps(docs: DataFrame, tests: DataFrame, item_key: str = "item_id", keys: Sequence[str] = ("doc_id",), least_words: int = LEAST_WORDS) -> DataFrame:
+    """A row for each document and test item that overlap: the keys, text_hash, item_id, first_word, n_words, item_words.
+
+    Words are runs of letters, digits and underscores in lower case. A document overlaps an item if a span of SPAN words of
+    the item (all of an item with fewer) lies in it with at most substitutions() other words: 2 of 12, 1 of 6 to 11, none of
+    fewer. first_word: where the first such span begins in the document, from 0; n_words: words of the document in any.
+    Null and empty texts, and items of fewer than least_words words, have none. Items of equal words are one: of their ids the
+    smallest (null only if all are). Rows of equal keys with unlike texts are told apart by text_hash; equal rows are one. Empty
+    tables give an empty table; columns besides the keys and the text are ignored.
+
+    The documents are read once, however many items there are, and aren't shuffled. What the documents' tasks hold is the bit
+    array, and the test seeds themselves up to SENT_SEEDS of them.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    schema = "doc_id long, item_id long, first_word long, n_words long, n_equal long, item_words long"
-    out, block, size = [], [], 0
-
-    def search(items: list[tuple[int, list[str]]]) -> DataFrame:
-        index = spark.sparkContext.broadcast(Index(items))
-
-        def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = index.value
-            get = known.vocabulary.get
-
-            def look(chunk: list[tuple[int | None, np.ndarray]]) -> list[tuple]:
-                gap = np.zeros(SPAN, np.uint64)
-                ids = np.concatenate([x for _, w in chunk for x in (w, gap)])
-                starts = np.cumsum([0] + [len(w) + SPAN for _, w in chunk])
-                rows = []
-                for item, diagonal in zip(*known.hits(ids), strict=True):
-                    # the first word of the item may lie before the document, but some word of the hit lies in it
-                    for k in range(max(0, int(np.searchsorted(starts, diagonal, "right")) - 1), len(chunk)):
-                        if starts[k] > diagonal + len(known.items[item][1]):
-                            break
-                        doc, own = chunk[k]
-                        if found := known.verify(own, item, int(diagonal - starts[k])):
-                            rows.append((doc, known.items[item][0], *found, len(known.items[item][1])))
-                return rows
-
-            for b in it:
-                rows, chunk, n = [], [], 0
-                for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                    own = np.array([get(w, 0) for w in words(text.as_py())], np.uint64)
-                    chunk.append((doc, own))
-                    n += len(own) + SPAN
-                    if n >= CHUNK_WORDS:
-                        rows += look(chunk)
-                        chunk, n = [], 0
-                rows += look(chunk) if chunk else []
-                cols = list(zip(*rows, strict=True)) or [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "first_word", "n_words", "n_equal", "item_words"])
-
-        return map_batches(texts, run, schema)
-
-    for row in tests.select(F.col(item_key).cast("long"), "text").where("text is not null").orderBy(item_key, "text").toLocalIterator():
-        own = words(row[1])
-        if len(own) >= LEAST_WORDS:
-            block.append((row[0], own))
-            size += len(own)
-        if size >= PASS_WORDS:
-            out.append(search(block))
-            block, size = [], 0
-    if block:
-        out.append(search(block))
-    if not out:
-        return spark.createDataFrame([], schema)
-    found = out[0]
-    for df in out[1:]:
-        found = found.union(df)
-    return found.distinct()
+    items = tests.select(F.col(item_key).cast("long").alias("item_id"), as_bytes("text").alias("t"))
+
+    def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            own = [word_codes(t.as_py().decode("utf-8", "replace")) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.tobytes() for c in own], pa.binary()), pa.array([len(c) for c in own], pa.int32())], ["item_id", "codes", "item_words"])
+
+    coded = map_batches(items, read, "item_id long, codes binary, item_words int").where(F.col("item_words") >= least_words)
+    coded = written(coded.groupBy("codes", "item_words").agg(F.min("item_id").alias("item_id")), "items")
+    lengths = [r[0] for r in coded.select(F.least("item_words", F.lit(SPAN))).distinct().collect()]
+    names = [*keys, "text_hash", "item_id", "first_word", "n_words", "item_words"]
+
+    def spans(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            item, total, h_, other = [], [], [], []
+            for k, raw, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                codes = np.frombuffer(raw, np.uint64)
+                span = min(n, SPAN)
+                for i, m in enumerate(masks(span)):
+                    h = seeds(codes, span, i, m)
+                    for one, at in zip(*_distinct_spans(codes, np.arange(len(h)), span), strict=True):
+                        item.append(k)
+                        total.append(n)
+                        h_.append(h[at[0]])
+                        other.append(one.view(np.int64))
+            cols = [pa.array(item, pa.int64()), pa.array(total, pa.int32()), pa.array(np.array(h_, np.uint64).view(np.int64)), pa.array(other, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["item_id", "item_words", "h", "other"])
+
+    held = written(map_batches(coded.select("item_id", "codes", "item_words"), spans, "item_id long, item_words int, h long, other array<long>"), "testspans")
+    # a span that many items hold meets the documents once
+    classes = held.select("h", "other").distinct()
+    n = classes.count()
+    own = docs.select(*keys, text_key().alias("text_hash"), as_bytes("text").alias("t")).where("octet_length(t) > 0")
+    bits = min(MOST_BITS, max(LEAST_BITS, (SEED_BITS * n).bit_length()))
+    known = spark.sparkContext.broadcast(_bit_array(classes, bits))
+    met = _seed_rows(own, [*keys, "text_hash"], sorted(lengths), known)
+    met = met.join(F.broadcast(classes) if n <= SENT_SEEDS else classes, "h")
+    equal = F.aggregate(F.zip_with("own", "other", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda a, b: a + b)
+    allowed = sum((F.when(F.col("span") == s, substitutions(s)).otherwise(0) for s in lengths), F.lit(0))
+    good = met.where((F.size("own") == F.size("other")) & (F.col("span") - equal <= allowed)).select(*keys, "text_hash", "span", "at", "other").distinct()
+    members = held.select("other", "item_id", "item_words").distinct()
+    found = good.join(F.broadcast(members) if n <= SENT_SEEDS else members, "other")
+    whole = found.groupBy(*keys, "text_hash", "item_id", "item_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"), F.max("span").alias("span"))
+    steps = F.zip_with(F.slice("at", F.lit(2), F.greatest(F.size("at") - 1, F.lit(0))), F.slice("at", F.lit(1), F.greatest(F.size("at") - 1, F.lit(0))), lambda b, a: F.least(b - a, F.col("span")))
+    return whole.withColumn("n_words", (F.col("span") + F.aggregate(steps, F.lit(0), lambda a, b: a + b)).cast("long")).select(
+        *[F.col(c) for c in names[: len(keys) + 2]], F.element_at("at", 1).cast("long").alias("first_word"), "n_words", F.col("item_words").cast("long").alias("item_words")
+    )
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every overlap of documents with benchmark: doc_id, item_id, first_word, n_words, n_equal, item_words."""
-    return overlaps(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Every overlap of documents with benchmark: doc_id, item_id, first_word, n_words, item_words."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_hash")
+
+
+#: Blocks of four words instead of seeds: of the three in a span, two substitutions leave one. Items of fewer than SPAN words aren't
+#: looked for; the tables have none.
+OP3_SQL = r"""
+with docs as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w from documents where text is not null),
+items as (select min(item_id) as item_id, w from (select item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w from benchmark where text is not null) where len(w) >= 12 group by w),
+doc_blocks as (select doc_id, p, array_to_string(w[p + 1 : p + 4], ' ') as block from (select doc_id, w, unnest(range(len(w) - 3)) as p from docs where len(w) >= 12)),
+item_blocks as (select item_id, s, array_to_string(w[s + 1 : s + 4], ' ') as block from (select item_id, w, unnest(range(len(w) - 3)) as s from items)),
+pairs as (
+  select distinct doc_id, item_id, p - o as p, s - o as s
+  from doc_blocks join item_blocks using (block) cross join (select unnest([0, 4, 8]) as o)
+),
+good as (
+  select distinct doc_id, item_id, p, len(i.w) as item_words
+  from pairs join docs d using (doc_id) join items i using (item_id)
+  where p >= 0 and s >= 0 and p + 12 <= len(d.w) and s + 12 <= len(i.w)
+    and list_sum([cast(d.w[p + k] = i.w[s + k] as integer) for k in range(1, 13)]) >= 10
+),
+steps as (select *, least(12, coalesce(lead(p) over (partition by doc_id, item_id order by p) - p, 12)) as more from good)
+select doc_id, item_id, min(p) as first_word, cast(sum(more) as bigint) as n_words, cast(max(item_words) as bigint) as item_words from steps group by doc_id, item_id
+"""

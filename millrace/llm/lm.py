@@ -40,7 +40,7 @@ PART_IDS, PARTS = 8_000_000, 20_000
 #: Words whose counts are looked up in memory; counts of the others are joined. Distinct words whose ids a worker remembers.
 KNOWN_WORDS, CACHE = 1 << 20, 1 << 20
 #: Bytes that are split into words at a time, and of texts whose words are looked up at a time; ids that are scored or trained on at a time.
-SPLIT_BYTES, CHUNK_BYTES, CHUNK_IDS = 1 << 18, 1 << 22, 1 << 20
+SPLIT_BYTES, CHUNK_BYTES, CHUNK_IDS = 1 << 16, 1 << 21, 1 << 18
 #: Groups that trained weights are averaged in, first and then.
 SUM_GROUPS = (1024, 8)
 
@@ -55,6 +55,7 @@ _factor = np.uint64(0x9E3779B97F4A7C15)
 _inverse = np.uint64(pow(int(_factor), -1, 2**64))
 _is_blank = np.zeros(256, bool)
 _is_blank[list(BLANK)] = True
+_is_letter = ~_is_blank
 _powers: dict[np.uint64, np.ndarray] = {}
 
 
@@ -70,13 +71,15 @@ def _split(data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """Where the words of bytes begin and end, and their hashes. cuts: places where a word ends whatever is there."""
     n = len(data)
     word = np.zeros(n + 2, bool)
-    word[1:-1] = ~_is_blank[data]
+    _is_letter.take(data, out=word[1:-1], mode="clip")
     apart = np.zeros(n + 1, bool)
     apart[cuts] = True
     begin = np.flatnonzero(word[1:] & (~word[:-1] | apart))
     end = np.flatnonzero(word[:-1] & (~word[1:] | apart))
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_numbers[data] * _powers_of(_factor, n), out=sums[1:])
+    own = _numbers.take(data, mode="clip")
+    own *= _powers_of(_factor, n)
+    np.cumsum(own, out=sums[1:])
     h = (sums[end] - sums[begin]) * _powers_of(_inverse, n)[begin]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -291,7 +294,8 @@ def gradients(w: Weights, inputs: np.ndarray, targets: np.ndarray, real: np.ndar
     g["near"] = np.bincount(_near.ravel(), np.where(_after, 0, (np.ones(n, kind) @ da.reshape(n, -1)).reshape(_near.shape)).ravel(), minlength=BLOCK + CONTEXT).astype(kind)
     dk, dv = da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do[:, :, :WIDTH]
     # a row for each id of ext: what its embed, query, key and value get; as a key and value it is in its own block and the next
-    rows_of = np.zeros((len(ext), 2 * WIDTH + 2 * HEAD), kind)
+    rows_of = np.empty((len(ext), 2 * WIDTH + 2 * HEAD), kind)
+    rows_of[:CONTEXT] = 0
     rows_of[CONTEXT:, :WIDTH] = dh
     rows_of[CONTEXT:, WIDTH : WIDTH + HEAD] = (da @ _windows(k).transpose(0, 2, 1)).reshape(-1, HEAD)
     for d, to in ((dk, rows_of[:, WIDTH + HEAD : WIDTH + 2 * HEAD]), (dv, rows_of[:, WIDTH + 2 * HEAD :])):
@@ -447,22 +451,34 @@ class Subwords:
             return [BYTES + b for b in raw]
 
         every = [ids(p) for p in range(sp.get_piece_size())]
-        self.flat, self.size = np.array([i for x in every for i in x], np.int32), np.array([len(x) for x in every], np.int64)
+        self.flat, self.size = np.array([i for x in every for i in x], np.int32), np.array([len(x) for x in every], np.int32)
         self.start = np.cumsum(self.size) - self.size
+        self.first, self.more = self.flat[self.start], (self.size - 1).astype(np.uint8)
 
     def laid_out(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Inputs, targets and whether they are real of texts (tokenizer's ids), whether each block begins a text, and where each text begins."""
         p = np.frombuffer(b"".join(texts), np.uint16)
-        size = self.size[p]
-        ends = np.cumsum(size)
-        ids = self.flat[np.repeat(self.start[p] - (ends - size), size) + np.arange(size.sum())]
-        n = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(t) // 2 for t in texts])])])
+        more = self.more.take(p)
+        many = np.flatnonzero(more)
+        place = np.cumsum(more, dtype=np.int64)
+        ends = np.cumsum([0, *(len(t) // 2 for t in texts)])
+        n = np.diff(ends + np.concatenate([[0], place])[ends])
         room = (n + BLOCK) // BLOCK * BLOCK
         starts = np.cumsum(room) - room
-        inputs, targets, real = np.zeros(room.sum(), np.int32), np.zeros(room.sum(), np.int32), np.zeros(room.sum(), np.float32)
-        at = np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(len(ids))
-        inputs[at + 1] = targets[at] = ids
-        real[at] = real[starts + n] = 1
+        inputs, targets, real = np.zeros(room.sum(), np.int32), np.zeros(room.sum(), np.int32), np.ones(room.sum(), np.float32)
+        # where an id's first (mostly only) id of the model goes: after the ids before it, in its text's room
+        place += np.arange(len(p))
+        place -= more
+        place += np.repeat(starts - (np.cumsum(n) - n), np.diff(ends))
+        targets[place] = self.first.take(p)
+        if len(many):
+            k = more[many].astype(np.int64)
+            step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + 1
+            targets[np.repeat(place[many], k) + step] = self.flat[np.repeat(self.start[p[many]], k) + step]
+        inputs[1:] = targets[:-1]
+        pad = room - n - 1
+        real[np.repeat(starts + n + 1 - (np.cumsum(pad) - pad), pad) + np.arange(pad.sum())] = 0
+        inputs[starts] = END
         begins = np.zeros(len(inputs) // BLOCK, bool)
         begins[starts // BLOCK] = True
         return inputs, targets, real, begins, starts

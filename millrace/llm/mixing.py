@@ -14,9 +14,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, ship, written
+from .common import WORD, ship, text_key, written
 
-#: Words that the dynamic program fills at most; above that, whole documents in the order of their shares' remainders.
+#: Sums that the dynamic program tells apart: each number of words up to this budget, beyond it cells of equally many words.
 DP_WORDS = 1 << 20
 #: Documents that are put in order at a time, about.
 DRAW_ROWS = 100_000
@@ -86,8 +86,63 @@ def fill(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     return taken
 
 
+def fill_coarse(lengths: np.ndarray, counts: np.ndarray, budget: int, cells: int, slack: int = 0) -> list[np.ndarray]:
+    """Two selections for a large budget: the sum nearest to it that was found, and the largest that is not above it.
+
+    Sums fall into about `cells` cells up to the budget; of each cell the first sum found is kept, exactly, with the
+    documents that make it. So the work is that of the cells, and any length and budget can be met. It ends once a sum is
+    at most slack below the budget.
+    """
+    unit = -(-budget // cells)
+    end = 2 * budget // unit + 1
+    sums, item, times = np.full(end, -1, np.int64), np.zeros(end, np.int32), np.zeros(end, np.int64)
+    sums[0] = 0
+    for i in np.argsort(-lengths, kind="stable"):
+        x, most, k = int(lengths[i]), int(min(counts[i], 2 * budget // max(1, lengths[i]))), 1
+        while x > 0 and most > 0:
+            k = min(k, most)
+            new = sums[sums >= 0] + k * x
+            new = new[new < end * unit]
+            cell, one = np.unique(new // unit, return_index=True)
+            free = sums[cell] < 0
+            cell, new = cell[free], new[one][free]
+            sums[cell], item[cell], times[cell] = new, i, k
+            most -= k
+            k *= 2
+        if ((sums >= budget - slack) & (sums <= budget)).any():
+            break
+    reached = np.flatnonzero(sums >= 0)
+    below = reached[sums[reached] <= budget]
+    out = []
+    for at in (reached[np.abs(sums[reached] - budget).argmin()], below[sums[below].argmax()]):
+        taken = np.zeros(len(lengths), np.int64)
+        while at:
+            taken[item[at]] += times[at]
+            at = (sums[at] - times[at] * lengths[item[at]]) // unit
+        out.append(taken)
+    return out
+
+
+def _rest(lengths: np.ndarray, counts: np.ndarray, shares: np.ndarray, left: int) -> np.ndarray:
+    """How many of each length fill what is left: the largest shares first while it is much, then the dynamic program."""
+    taken = np.zeros(len(lengths), np.int64)
+    for i in np.argsort(-shares, kind="stable") if left > DP_WORDS else []:
+        if left - lengths[i] >= DP_WORDS // 2 and counts[i] > 0:
+            taken[i] += 1
+            left -= int(lengths[i])
+    for i in np.argsort(-lengths, kind="stable") if left > DP_WORDS else []:  # lengths that differ little
+        n = int(min(counts[i] - taken[i], max(0, left - DP_WORDS // 2) // max(1, lengths[i])))
+        taken[i] += n
+        left -= n * int(lengths[i])
+    return taken + fill(lengths, counts - taken, left) if left <= DP_WORDS else taken
+
+
 def plan_source(lengths: np.ndarray, counts: np.ndarray, target: float, most: int = 3) -> tuple[int, np.ndarray]:
-    """Whole passes over a source, and how many documents of each length the pass after them takes."""
+    """Whole passes over a source, and how many documents of each length the pass after them takes.
+
+    Documents of over half of DP_WORDS words are chosen first where the rest of the target is larger than DP_WORDS, by cells; then the
+    shorter ones fill what is left. So no length is out of reach.
+    """
     size, goal = int((lengths * counts).sum()), round(target)
     none = np.zeros(len(lengths), np.int64)
     if size == 0:
@@ -98,18 +153,18 @@ def plan_source(lengths: np.ndarray, counts: np.ndarray, target: float, most: in
         return passes, none
     exact = [int(c) * rest for c in counts]
     taken = np.array([e // size for e in exact], np.int64)
+    shares = np.array([e % size / size for e in exact])
     left = rest - int((lengths * taken).sum())
-    if left > DP_WORDS:
-        for i in sorted(range(len(lengths)), key=lambda j: (-(exact[j] % size), j)):
-            if left - lengths[i] >= DP_WORDS // 2 and taken[i] < counts[i]:
-                taken[i] += 1
-                left -= int(lengths[i])
-    if left > DP_WORDS:  # lengths that differ little: fill with the largest shares first
-        for i in np.argsort(-lengths, kind="stable"):
-            n = int(min(counts[i] - taken[i], max(0, left - DP_WORDS // 2) // max(1, lengths[i])))
-            taken[i] += n
-            left -= n * int(lengths[i])
-    return passes, taken + fill(lengths, counts - taken, min(left, DP_WORDS))
+    if left <= DP_WORDS:
+        return passes, taken + fill(lengths, counts - taken, left)
+    long, plans = lengths > DP_WORDS // 2, []
+    free = counts - taken
+    short, given = np.where(long, 0, free), np.where(long, 0, taken)
+    for first in fill_coarse(lengths, np.where(long, free, 0), left, DP_WORDS, min(DP_WORDS, int((lengths * short).sum()))):
+        over = left - int((lengths * first).sum())
+        more = first + _rest(lengths, short, shares, over) if over > 0 else first - _rest(lengths, given, 1 - shares, -over)
+        plans.append((abs(left - int((lengths * more).sum())), more))
+    return passes, taken + min(plans, key=lambda p: p[0])[1]
 
 
 def with_taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1), most: int = 3, seed: int = 17) -> DataFrame:
@@ -128,7 +183,7 @@ def with_taken(docs: DataFrame, key: str = "doc_id", text: str = "text", source:
     t = written(
         docs.select(
             F.col(key).alias("key"),
-            F.xxhash64(text).alias("text_hash"),
+            text_key(text).alias("text_hash"),
             F.when(F.col(source).isNull(), "n").otherwise(F.concat(F.lit("s"), F.col(source).cast("string"))).alias("src"),
             word_count(text).alias("size"),
         ).withColumn("h", F.xxhash64(F.lit(seed), "key", "text_hash")),

@@ -182,21 +182,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", where=None
     return fit([rows[i] for i in order], y[order])
 
 
-def with_scores(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
-    """docs with score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold, else 0).
+def with_scores(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold, else 0), under these names.
 
     Null and empty texts have no features; they get the score of the bias. Columns of docs with these names go.
     """
     spark = docs.sparkSession
-    own = docs.drop("score", "predicted")
+    own = docs.drop(*names)
     sent = spark.sparkContext.broadcast(model)
-    schema = StructType([*own.schema.fields, StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    schema = StructType([*own.schema.fields, StructField(names[0], DoubleType()), StructField(names[1], IntegerType())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             at = b.schema.get_field_index(text)
             s = sent.value.scores([(t or "").encode("utf-8", "replace") for t in b.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*b.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*b.schema.names, *names])
 
     return map_batches(own, run, schema)
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .chat import op9_chat
-from .decontamination import op3_decontamination
+from .chat import OP9_SQL, op9_chat
+from .decontamination import OP3_SQL, op3_decontamination
 from .langid import op7_langid
 from .linededup import OP1_SQL, op1_linededup
 from .lm import op4_lm
@@ -14,4 +14,4 @@ from .sharding import op6_sharding
 from .simhash import op8_simhash
 
 QUERIES = {f.__name__: f for f in (op1_linededup, op2_mixing, op3_decontamination, op4_lm, op5_quality, op6_sharding, op7_langid, op8_simhash, op9_chat, op10_media)}
-ORACLE_SQL = {"op1_linededup": OP1_SQL}
+ORACLE_SQL = {"op1_linededup": OP1_SQL, "op3_decontamination": OP3_SQL, "op9_chat": OP9_SQL}

@@ -24,6 +24,8 @@ from .components import connected
 POINTS = 1 << 20
 #: Fingerprints that a prefix stands for, about.
 PER_PREFIX = 512
+#: Parts that a component's fingerprints are dealt into where they meet their component's least id.
+SALTS = 32
 #: Shingles that are hashed at a time.
 SLICE = 1 << 16
 
@@ -174,14 +176,25 @@ def with_components(docs: DataFrame, width: int = 4, radius: int = 2) -> DataFra
     return components_of(written(fingerprints(docs, width), "simhash"), radius)
 
 
+def roots_of(nodes: DataFrame, radius: int = 2, more: DataFrame | None = None) -> DataFrame:
+    """(fp, root) of the fingerprints (column fp, distinct) that a link reaches; the others are alone. more: further links (a, b)."""
+    near = links(nodes.select("fp"), radius)
+    return connected(near if more is None else near.union(more)).select(F.col("node").alias("fp"), "root")
+
+
+def least_of(nodes: DataFrame, roots: DataFrame, least: str) -> DataFrame:
+    """nodes with `least` as the least of its component. A component's rows are dealt into SALTS parts by fingerprint, so a hub fills no task."""
+    salt = F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int").alias("salt")
+    linked = written(nodes.join(roots, "fp").select("fp", least, "root", salt), "rooted")
+    lowest = linked.groupBy("root").agg(F.min(least).alias("__least")).select("root", "__least", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    named = linked.join(lowest, ["root", "salt"]).select("fp", "__least")
+    return nodes.join(named, "fp", "left").withColumn(least, F.coalesce("__least", least)).drop("__least")
+
+
 def components_of(t: DataFrame, radius: int = 2, more: DataFrame | None = None) -> DataFrame:
     """As with_components, of rows (doc_id, fp). more: further links (a, b) between fingerprints."""
-    nodes = written(t.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    near = links(nodes.select("fp"), radius)
-    stars = connected(near if more is None else near.union(more))
-    rooted = nodes.join(stars, nodes.fp == stars.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    nodes = written(t.groupBy("fp").agg(F.min("doc_id").alias("component_id")), "nodes")
+    named = least_of(nodes, roots_of(nodes, radius, more), "component_id")
     return t.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -164,10 +164,13 @@ def test_words_are_split_at_blanks_and_texts(monkeypatch):
 
 
 def test_forgotten_words_are_counted(spark, monkeypatch):
-    monkeypatch.setattr(lm, "CHUNK_BYTES", 40)
     docs = corpus(spark, 100).select("doc_id", F.lit(False).alias("held_out"), F.encode("text", "UTF-8").alias("t")).coalesce(1)
     count = lambda: sorted(map(tuple, lm.read_texts(docs, lm.TOKENIZER).where("kind > 0").groupBy("kind", "key").agg(F.sum("n")).collect()))
-    whole = count()
+    whole, name = count(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    batch = spark.conf.get(name)
     monkeypatch.setattr(lm, "CACHE", 10)
-    run = lm.read_texts.__globals__
-    assert run["CACHE"] == 10 and count() == whole
+    try:
+        spark.conf.set(name, 7)
+        assert count() == whole
+    finally:
+        spark.conf.set(name, batch)

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from millrace.llm import chat, decontamination, langid, linededup, lm, media, mixing, quality, sharding, simhash
+from millrace.llm import chat, langid, linededup, lm, media, mixing, quality, sharding, simhash
 from millrace.llm.components import connected
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -107,8 +107,22 @@ def test_targets_and_fill():
             sums = {s + k * x for s in sums for k in range(n + 1)}
         taken = mixing.fill(lengths, counts, budget)
         assert (taken <= counts).all() and (taken * lengths).sum() == min(sums, key=lambda s: (abs(s - budget), s))
-    passes, taken = mixing.plan_source(np.array([3, 5_000_000]), np.array([7, 40]), 450_000_021.0)
-    assert passes == 2 and (taken <= [7, 40]).all()
+
+
+def test_budgets_beyond_the_dynamic_program_are_met():
+    def off(lengths, counts, target):
+        passes, taken = mixing.plan_source(np.array(lengths), np.array(counts), target)
+        assert (0 <= taken).all() and (taken <= counts).all()
+        return passes * sum(x * n for x, n in zip(lengths, counts, strict=True)) + int((taken * lengths).sum()) - round(target)
+
+    assert off([3, 5_000_000], [7, 40], 450_000_021.0) == 21  # the nearest sum there is
+    assert off([3_000_000], [2], 3_000_000.0) == off([1, 3_000_000], [900_000, 1], 3_300_000.0) == 0
+    assert off([2_100_000, 3_000_000], [1, 1], 5_000_000.0) == 100_000
+    rng = random.Random(12)
+    lengths = sorted({rng.randint(1, 20_000) for _ in range(500)} | {rng.randint(1, 10**7) for _ in range(30)})
+    counts = [rng.randint(1, 40) for _ in lengths]
+    size = sum(x * n for x, n in zip(lengths, counts, strict=True))
+    assert all(off(lengths, counts, round(size * share)) == 0 for share in (0.013, 0.4, 1.7, 2.2))
 
 
 def test_mixing(docs, none):
@@ -133,37 +147,6 @@ def test_mixing(docs, none):
     assert mixing.with_taken(none).count() == 0
 
 
-ITEMS = [(1, "the quick brown fox jumps over the lazy dog near a river bank today"), (2, "short item of six words here"), (3, None), (4, "two words"), (5, ""), (None, "null keyed item with a number of other words in it to be found")]
-
-
-def test_decontamination(spark, none):
-    text = ITEMS[0][1]
-    ws = text.split()
-    swapped = " ".join(w if i not in (3, 8) else "zzz" for i, w in enumerate(ws))
-    broken = " ".join(w if i not in (2, 6, 10) else "zzz" for i, w in enumerate(ws))
-    data = [(1, f"before {text.upper()} after"), (2, swapped), (3, broken), (4, "x, " * 3000 + text), (5, "Short item, of six WORDS here."), (6, "short item of six words"), (7, None), (8, ""), (9, "two words"), (10, " ".join(ws[1:])), (11, f"{text} {text}"), (None, text)]
-    d = spark.createDataFrame([(*r, 1, "x") for r in data], "doc_id long, text string, item_id int, n_words string").repartition(3)
-    items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = decontamination.overlaps(d, items)
-    assert table(got.where("item_id is not null").select("doc_id").distinct(), "doc_id") == [(1,), (2,), (4,), (5,), (10,), (11,), (None,)]
-    one = {(r["doc_id"], r["item_id"], r["first_word"], r["n_words"], r["n_equal"]) for r in got.collect()}
-    assert {(1, 1, 1, 14, 14), (2, 1, 0, 14, 12), (10, 1, 0, 13, 13), (5, 2, 0, 6, 6)} <= one
-    size = decontamination.PASS_WORDS
-    try:
-        decontamination.PASS_WORDS = 1
-        assert table(decontamination.overlaps(d, items), *got.columns) == table(got, *got.columns)
-    finally:
-        decontamination.PASS_WORDS = size
-    assert decontamination.overlaps(none, items).count() == decontamination.overlaps(d, items.limit(0)).count() == 0
-
-
-def test_masks_lose_no_two_substitutions():
-    from itertools import combinations
-
-    for out in combinations(range(decontamination.SPAN), decontamination.SUBSTITUTIONS):
-        assert any(not set(m) & set(out) for m in decontamination.masks())
-
-
 def test_quality(spark, docs, none):
     rng = random.Random(2)
     good, bad = [f"good{i}" for i in range(30)], ["BUY!!", "now$$", "***"]
@@ -334,6 +317,18 @@ def test_chat(spark):
     assert chat.read_back(chat.format_conversations(d.limit(0))).count() == 0
 
 
+def test_chat_sql(spark, tables, tmp_path):
+    cols = "conv_id long, turn long, role string, text string"
+    odd = [r for r in CHATS if r[0] is not None]
+    whole = spark.read.parquet(f"{tables}/conversations.parquet").select("conv_id", "turn", "role", "text").union(spark.createDataFrame([(10**6 + c, *r) for c, *r in odd], cols))
+    whole.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    c = duckdb.connect()
+    c.sql(f"create view conversations as from '{tmp_path}/conversations.parquet/*.parquet'")
+    got = chat.op9_chat(spark, str(tmp_path))
+    want = c.sql(chat.OP9_SQL)
+    assert table(got, *want.columns) == sorted(want.fetchall(), key=key) and got.count() > 4
+
+
 def test_chat_escapes_are_reversible():
     rng = random.Random(7)
     t = chat.INSTRUCT
