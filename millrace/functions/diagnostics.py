@@ -19,7 +19,7 @@ class Source:
         if isinstance(self.text, str):
             object.__setattr__(self, "text", self.text.encode())
         if self.tab_width < 1:
-            raise ValueError("tab_width must be at least 1")
+            raise ValueError(f"a tab of {self.tab_width} columns can't be drawn")
 
 
 @dataclass(frozen=True)
@@ -32,7 +32,7 @@ class SourceSpan:
 
     def __post_init__(self) -> None:
         if not 0 <= self.begin <= self.end <= len(self.source.text):
-            raise ValueError("source span must satisfy 0 <= begin <= end <= source size")
+            raise ValueError(f"bytes {self.begin} to {self.end} don't lie in a text of {len(self.source.text)}")
 
     def _ends_before(self) -> list[tuple[int, int]]:
         """Line ends that begin before the span, a CRLF that it splits counted as begun."""

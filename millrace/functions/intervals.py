@@ -1,7 +1,7 @@
 """Closed float intervals as STRUCT<lo DOUBLE, hi DOUBLE>; the empty interval is null.
 
-Arithmetic rounds outwards by one step of the double format on each side: a result always holds the true set, and is at most a
-step wider than need be.
+Arithmetic rounds outwards: a result always holds the true set. A bound that the double format holds exactly stays as it is;
+another is the nearest double on its outer side. Whether a bound is exact is told by the error of the rounded operation.
 """
 
 from __future__ import annotations
@@ -41,18 +41,71 @@ def _step(x: Column, towards: str) -> Column:
     return F.reflect(F.lit("java.lang.Math"), F.lit(towards), safe).cast("double")
 
 
-def _outward(a: Column, b: Column, lo: Column, hi: Column) -> Column:
-    down = F.when(F.isnan(lo), F.lit(float("-inf"))).otherwise(_step(lo, "nextDown"))
-    up = F.when(F.isnan(hi), F.lit(float("inf"))).otherwise(_step(hi, "nextUp"))
-    return F.when(a.isNotNull() & b.isNotNull(), F.struct(down.alias("lo"), up.alias("hi")))
+_INF = float("inf")
+
+
+def _finite(x: Column) -> Column:
+    return ~F.isnan(x) & (F.abs(x) < _INF)
+
+
+def _sum(x: Column, y: Column) -> tuple[Column, Column]:
+    """x + y rounded, and the rest that rounding left, exactly (Knuth's two-sum)."""
+    s = x + y
+    t = s - x
+    return s, (x - (s - t)) + (y - t)
+
+
+def _fma(x: Column, y: Column, z: Column) -> Column:
+    zero = F.lit(0.0)
+    return F.reflect(F.lit("java.lang.Math"), F.lit("fma"), F.coalesce(x, zero), F.coalesce(y, zero), F.coalesce(z, zero)).cast("double")
+
+
+#: Products whose error may be below the least double are stepped outwards whatever it seems to be.
+_TINY = 1e-290
+
+
+def _product(x: Column, y: Column) -> tuple[Column, Column, Column]:
+    """x * y rounded (0 times infinity is 0: a bound at infinity is never reached), the rest, and whether the rest can be told."""
+    p = F.when((x == 0) | (y == 0), F.lit(0.0)).otherwise(x * y)
+    return p, _fma(x, y, -p), (x == 0) | (y == 0) | (F.abs(p) > _TINY)
+
+
+def _quotient(x: Column, y: Column) -> tuple[Column, Column, Column]:
+    """x / y rounded, a number of the sign of what is left, and whether that can be told. y is not 0."""
+    own = F.when(y == 0, F.lit(None).cast("double")).otherwise(y)
+    q = F.when(x == 0, F.lit(0.0)).otherwise(x / own)
+    return q, -_fma(q, own, -x) * F.signum(own), (x == 0) | (F.abs(own) == _INF) | ((F.abs(q) > _TINY) & (F.abs(x) > _TINY))
+
+
+def _down(x: Column, rest: Column, told: Column) -> Column:
+    """The lower bound of a rounded x and the sign of what rounding left."""
+    overflow = F.when(x == _INF, F.lit(1.7976931348623157e308)).otherwise(x)
+    return F.when(F.isnan(x), F.lit(-_INF)).when(~_finite(x), overflow).when(~told | (rest < 0), _step(x, "nextDown")).otherwise(x)
+
+
+def _up(x: Column, rest: Column, told: Column) -> Column:
+    overflow = F.when(x == -_INF, F.lit(-1.7976931348623157e308)).otherwise(x)
+    return F.when(F.isnan(x), F.lit(_INF)).when(~_finite(x), overflow).when(~told | (rest > 0), _step(x, "nextUp")).otherwise(x)
+
+
+def _bounds(a: Column, b: Column, lo: Column, hi: Column) -> Column:
+    return F.when(a.isNotNull() & b.isNotNull(), F.struct((lo + 0.0).alias("lo"), (hi + 0.0).alias("hi")))
+
+
+def _add(a_lo: Column, b_lo: Column, a_hi: Column, b_hi: Column) -> tuple[Column, Column]:
+    told = F.lit(True)
+    infinite = lambda x, y: (F.abs(x) == _INF) | (F.abs(y) == _INF)
+    lo = F.when(infinite(a_lo, b_lo), a_lo + b_lo).otherwise(_down(*_sum(a_lo, b_lo), told))
+    hi = F.when(infinite(a_hi, b_hi), a_hi + b_hi).otherwise(_up(*_sum(a_hi, b_hi), told))
+    return lo, hi
 
 
 def add(a: Column, b: Column) -> Column:
-    return _outward(a, b, a["lo"] + b["lo"], a["hi"] + b["hi"])
+    return _bounds(a, b, *_add(a["lo"], b["lo"], a["hi"], b["hi"]))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return _outward(a, b, a["lo"] - b["hi"], a["hi"] - b["lo"])
+    return _bounds(a, b, *_add(a["lo"], -b["hi"], a["hi"], -b["lo"]))
 
 
 def negate(a: Column) -> Column:
@@ -60,40 +113,41 @@ def negate(a: Column) -> Column:
     return F.when(a.isNotNull(), F.struct((-a["hi"] + 0.0).alias("lo"), (-a["lo"] + 0.0).alias("hi")))
 
 
-def _products(a: Column, b: Column) -> list[Column]:
-    """Of the bounds; 0 times infinity is 0, as a bound at infinity is never reached."""
-    pairs = [(a[x], b[y]) for x in ("lo", "hi") for y in ("lo", "hi")]
-    return [F.when((x == 0) | (y == 0), F.lit(0.0)).otherwise(x * y) for x, y in pairs]
-
-
 def multiply(a: Column, b: Column) -> Column:
-    p = _products(a, b)
-    return _outward(a, b, F.least(*p), F.greatest(*p))
+    """0 times infinity is 0, as a bound at infinity is never reached."""
+    pairs = [(a[x], b[y]) for x in ("lo", "hi") for y in ("lo", "hi")]
+    infinite = lambda x, y: (F.abs(x) == _INF) | (F.abs(y) == _INF)
+    lows = [F.when(infinite(x, y), _product(x, y)[0]).otherwise(_down(*_product(x, y))) for x, y in pairs]
+    highs = [F.when(infinite(x, y), _product(x, y)[0]).otherwise(_up(*_product(x, y))) for x, y in pairs]
+    return _bounds(a, b, F.least(*lows), F.greatest(*highs))
 
 
 def divide(a: Column, b: Column) -> Column:
-    """Quotients by the members of b other than 0: none if b is [0, 0], a half-line if 0 is a bound of b, all if 0 lies inside.
+    """Quotients by the members of b other than 0: none if b is [0, 0]; a half-line if 0 is a bound of b and a is not negative, or all negative; all otherwise.
 
     Dividing [0, 0] gives [0, 0].
     """
-    whole = F.struct(F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"))
-    one = lambda x, y: F.when(x == 0, F.lit(0.0)).otherwise(x / F.when(y == 0, F.lit(None).cast("double")).otherwise(y))
-    q = [one(a[x], b[y]) for x in ("lo", "hi") for y in ("lo", "hi")]
-    plain = _outward(a, b, F.least(*q), F.greatest(*q))
+    line = F.struct(F.lit(-_INF).alias("lo"), F.lit(_INF).alias("hi"))
+    infinite = lambda x, y: F.abs(x) == _INF
+    low = lambda x, y: F.when(infinite(x, y), _quotient(x, y)[0]).otherwise(_down(*_quotient(x, y)))
+    high = lambda x, y: F.when(infinite(x, y), _quotient(x, y)[0]).otherwise(_up(*_quotient(x, y)))
+    pairs = [(a[x], b[y]) for x in ("lo", "hi") for y in ("lo", "hi")]
+    both_infinite = [F.when((F.abs(x) == _INF) & (F.abs(y) == _INF), F.lit(0.0)) for x, y in pairs]
+    lows = [F.coalesce(z, low(x, y)) for z, (x, y) in zip(both_infinite, pairs, strict=True)]
+    highs = [F.coalesce(z, high(x, y)) for z, (x, y) in zip(both_infinite, pairs, strict=True)]
+    plain = _bounds(a, b, F.least(*lows), F.greatest(*highs))
     zero = F.struct(F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"))
-    # b touches 0 from above, or from below with both signs turned
-    above = F.when(a["lo"] >= 0, F.struct(_step(one(a["lo"], b["hi"]), "nextDown").alias("lo"), F.lit(float("inf")).alias("hi"))).when(
-        a["hi"] <= 0, F.struct(F.lit(float("-inf")).alias("lo"), _step(one(a["hi"], b["hi"]), "nextUp").alias("hi"))
-    ).otherwise(whole)
-    below = F.when(a["lo"] >= 0, F.struct(F.lit(float("-inf")).alias("lo"), _step(one(a["lo"], b["lo"]), "nextUp").alias("hi"))).when(
-        a["hi"] <= 0, F.struct(_step(one(a["hi"], b["lo"]), "nextDown").alias("lo"), F.lit(float("inf")).alias("hi"))
-    ).otherwise(whole)
+    upward = lambda x: F.struct((x + 0.0).alias("lo"), F.lit(_INF).alias("hi"))
+    downward = lambda x: F.struct(F.lit(-_INF).alias("lo"), (x + 0.0).alias("hi"))
+    # b touches 0 from above, or from below with both signs turned; an a below 0 that reaches it gives all, as interval libraries have it
+    above = F.when(a["lo"] >= 0, upward(low(a["lo"], b["hi"]))).when(a["hi"] < 0, downward(high(a["hi"], b["hi"]))).otherwise(line)
+    below = F.when(a["lo"] >= 0, downward(high(a["lo"], b["lo"]))).when(a["hi"] < 0, upward(low(a["hi"], b["lo"]))).otherwise(line)
     return (
         F.when(a.isNull() | b.isNull() | ((b["lo"] == 0) & (b["hi"] == 0)), F.lit(None))
         .when((a["lo"] == 0) & (a["hi"] == 0), zero)
         .when(b["lo"] == 0, above)
         .when(b["hi"] == 0, below)
-        .when((b["lo"] < 0) & (b["hi"] > 0), whole)
+        .when((b["lo"] < 0) & (b["hi"] > 0), line)
         .otherwise(plain)
     )
 

@@ -8,6 +8,9 @@ from contextlib import contextmanager
 
 from .diagnostics import Diagnostic, DiagnosticNote, ParseError, Source, SourceSpan
 
+#: Messages that callers match.
+EXPECTING, EXPECTED_IN, STARTS_HERE, TRAILING = "Error! Expecting: {what} here:", "Expected {what} while parsing {name}", "{name} starts here", "Unexpected trailing input."
+
 #: White space, and comments from a semicolon to the end of the line.
 _skipped = re.compile(rb"(?:[ \t\n\x0b\x0c\r]|;[^\r\n]*)*")
 #: A symbol ends at parentheses, semicolons and white space.
@@ -65,7 +68,7 @@ class Parser:
             at = self.skip()
             if fail:
                 fail()
-            self.record_error(at, f"Error! Expecting: {what} here:")
+            self.record_error(at, EXPECTING.format(what=what))
             raise ParseError(self.error)  # type: ignore[arg-type]
         return found
 
@@ -87,7 +90,7 @@ class Parser:
         name, start = contexts[-1]
 
         def fail() -> None:
-            self.record_error(self.at, f"Expected {what} while parsing {name}", (DiagnosticNote(f"{name} starts here", self.span(start, start)),))
+            self.record_error(self.at, EXPECTED_IN.format(what=what, name=name), (DiagnosticNote(STARTS_HERE.format(name=name), self.span(start, start)),))
 
         return self.expect(found, what, fail)
 
@@ -97,7 +100,13 @@ class Parser:
         self.at = 0
         out = rule(self)
         if self.error is None and not self.done():
-            self.record_error(self.at, "Unexpected trailing input.")
+            self.record_error(self.at, TRAILING)
         if self.error is not None:
             raise ParseError(self.error)
         return out
+
+
+def format_error_at(source: Source, begin: int, message: str, end: int | None = None) -> str:
+    """A message with the place of a node's bytes begin .. end-1, or of the point begin, after white space and comments that it starts with."""
+    begin = _skipped.match(source.text, begin).end()  # type: ignore[union-attr]
+    return str(Diagnostic(message, SourceSpan(source, begin, begin if end is None else max(begin, end))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
 from typing import TextIO
 from weakref import WeakKeyDictionary
@@ -30,6 +30,19 @@ def optional_text(c: Column, absent: str = NO_VALUE) -> Column:
     return F.coalesce(c.cast("string"), F.lit(absent))
 
 
+def pointer_text(c: Column) -> Column:
+    """Text of what a pointer points to."""
+    return optional_text(c, NO_POINTEE)
+
+
+def variant_text(alternatives: Mapping[str, Column], which: Column) -> Column:
+    """Text of the alternative that `which` names; a null among them is the empty one, and a name that isn't there is invalid."""
+    out = F.lit(NO_ALTERNATIVE)
+    for name, c in alternatives.items():
+        out = F.when(which == name, optional_text(c, EMPTY_ALTERNATIVE)).otherwise(out)
+    return out
+
+
 def indent_up(out: TextIO) -> None:
     _levels[out] = _levels.get(out, 0) + 1
 

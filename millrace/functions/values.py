@@ -32,6 +32,8 @@ WHOLE_BITS = (32, 64, 32, 64, 32, 64, 1, 32)
 #: The bounds that float comparisons and canonicalisation use.
 ABSOLUTE_TOLERANCE = RELATIVE_TOLERANCE = 1e-12
 
+#: Fixed value: a message that callers match.
+NO_MATCH = "Value does not match the column type."
 NO_FIT = "the value does not fit the column's type."
 NO_CONVERSION = "the value does not convert to the column's type."
 
@@ -87,7 +89,7 @@ def type_of(value: bool | int | float) -> ColumnType:
         raise OverflowError("the value has more than 64 bits")
     if isinstance(value, float):
         return ColumnType.FLOAT64
-    raise TypeError("Value does not match the column type.")
+    raise TypeError(NO_MATCH)
 
 
 def _float_bits(value: float, kind: ColumnType) -> int:
@@ -144,7 +146,7 @@ def cast_value(value: object, type_id: int) -> bool | int | float:
     try:
         encode(value, kind)  # type: ignore[arg-type]
     except (ValueError, OverflowError):
-        raise TypeError("Value does not match the column type.") from None
+        raise TypeError(NO_MATCH) from None
     return float(value) if kind in (ColumnType.FLOAT32, ColumnType.FLOAT64) else value  # type: ignore[arg-type, return-value]
 
 
@@ -235,14 +237,24 @@ def canonical_float(c: Column) -> Column:
     return F.when(special, c).otherwise(F.round(c / F.lit(ABSOLUTE_TOLERANCE)) * F.lit(ABSOLUTE_TOLERANCE))
 
 
+def _whole_part(nanoseconds: Column, unit: int) -> Column:
+    """Whole units, towards zero, in whole numbers throughout."""
+    return F.call_function("div", nanoseconds.cast("long"), F.lit(unit).cast("long"))
+
+
 def microseconds(nanoseconds: Column) -> Column:
     """Whole microseconds, towards zero."""
-    return ((nanoseconds - nanoseconds % F.lit(1000)) / F.lit(1000)).cast("long")
+    return _whole_part(nanoseconds, 1000)
 
 
 def milliseconds(nanoseconds: Column) -> Column:
     """Whole milliseconds, towards zero."""
-    return ((nanoseconds - nanoseconds % F.lit(1_000_000)) / F.lit(1_000_000)).cast("long")
+    return _whole_part(nanoseconds, 1_000_000)
+
+
+def nanoseconds(c: Column, unit: str = "us") -> Column:
+    """Nanoseconds of a whole number of microseconds (us), milliseconds (ms) or nanoseconds (ns)."""
+    return c.cast("long") * F.lit({"ns": 1, "us": 1000, "ms": 1_000_000}[unit])
 
 
 def values_text(*columns: Column) -> Column:

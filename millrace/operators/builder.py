@@ -43,6 +43,14 @@ class RelationBuilder:
     def arity(self) -> int:
         return len(self.columns)
 
+    def widths(self) -> list[int]:
+        """Stored bits of each column."""
+        return [column_bits(t, self.object_bits) for t in types_of(self.columns)]
+
+    def memory_usage(self) -> int:
+        """Bytes that the plan of the rows is estimated at."""
+        return 0 if self.frame is None else int(str(self.frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
     @property
     def size(self) -> int:
         return self._n if self.columns else int(self._truth)
@@ -75,7 +83,7 @@ class RelationBuilder:
         seen = first_seen(self._checked(rows, order), self.labels, "__order")
         fresh = committed(missing(seen, self.frame, self.labels), "added")
         n = fresh.count()
-        placed = committed(dense_ids(fresh, "first_seen", self._n, "pos", count=n).drop("first_seen"), "placed")
+        placed = committed(dense_ids(fresh, "first_seen", self._n, "pos", count=n, ties=self.labels).drop("first_seen"), "placed")
         self.frame, self._n = self.frame.unionByName(placed), self._n + n
         return contained(self.frame, seen, self.labels)
 

@@ -1,6 +1,7 @@
 """Interning: each distinct record once, numbered densely in the order in which it first came.
 
-A DataFrame has no order of its own, so every operator that numbers takes the column that gives it.
+A DataFrame has no order of its own, so every operator that numbers takes the column that gives it. Nulls are values:
+a null equals a null, in identities and in lookups.
 """
 
 from __future__ import annotations
@@ -10,29 +11,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: New records that one task may number. Above, they are numbered in ranges of the order column.
+from ..sources.tables import committed
+
+#: New records that one task may number. Above, ranges of them are numbered side by side.
 ONE_TASK = 1 << 20
 
 
-def dense_ids(records: DataFrame, order: str, base: int = 0, id_name: str = "row_id", count: int | None = None, one_task: int = ONE_TASK) -> DataFrame:
-    """records with dense ids from base in the order of a numeric column without repeats.
+def dense_ids(records: DataFrame, order: str, base: int = 0, id_name: str = "row_id", count: int | None = None, one_task: int = ONE_TASK, ties: Sequence[str] = ()) -> DataFrame:
+    """records with dense ids from base in the order of a column; rows that tie in it go by the columns `ties`.
 
-    Up to one_task records are numbered in one task: its size is known. Above, ranges of the order column between its
-    percentiles are counted and each is numbered by itself, so no task gets more than about one_task records. count: the
-    number of records if it is known, which saves counting.
+    The records are computed once, and written unless their number is given (count) and small. Up to one_task of them are
+    numbered in one task: the number is known. Above, they are dealt into sorted ranges of about one_task rows and
+    written; a range's ids begin after what the ranges before it hold, so a row's id is a sum.
     """
-    n = records.count() if count is None else count
-    if n <= one_task:
-        return records.withColumn(id_name, (F.row_number().over(Window.orderBy(order)) - 1 + base).cast("long"))
-    ranges = -(-n // one_task) * 2
-    cuts = records.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 100_000)).first()[0]
-    cuts = F.array(*[F.lit(c) for c in sorted(set(cuts))])
-    part = F.size(F.filter(cuts, lambda c: c < F.col(order)))
-    dealt = records.withColumn("__part", part)
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [order, *(c for c in ties if c != order)]
+    if count is None:
+        records = committed(records, "records")
+        count = records.count()
+    if count <= one_task:
+        return records.withColumn(id_name, (F.row_number().over(Window.orderBy(*keys)) - 1 + base).cast("long"))
+    dealt = records.repartitionByRange(-(-count // one_task), *keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
+    dealt = committed(dealt, "ranges").withColumn("__part", F.shiftright("__at", 33))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
     starts = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    place = Window.partitionBy("__part").orderBy(order)
-    return dealt.join(starts, "__part").withColumn(id_name, (F.col("__start") + F.row_number().over(place) - 1 + base).cast("long")).drop("__part", "__start")
+    place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.join(starts, "__part").withColumn(id_name, (F.col("__start") + place + base).cast("long")).drop("__part", "__start", "__at")
 
 
 def first_seen(records: DataFrame, identity: Sequence[str], order: str) -> DataFrame:
@@ -41,8 +44,8 @@ def first_seen(records: DataFrame, identity: Sequence[str], order: str) -> DataF
 
 
 def intern(records: DataFrame, identity: Sequence[str], order: str, base: int = 0, id_name: str = "row_id") -> DataFrame:
-    """Each distinct record with its dense id, from base in first-seen order; also its first_seen."""
-    return dense_ids(first_seen(records, identity, order), "first_seen", base, id_name)
+    """Each distinct record with its dense id, from base in first-seen order (ties by the identity); also its first_seen."""
+    return dense_ids(first_seen(records, identity, order), "first_seen", base, id_name, ties=identity)
 
 
 def with_created(records: DataFrame, identity: Sequence[str], order: Sequence[str], name: str = "created") -> DataFrame:
@@ -58,11 +61,11 @@ def with_created(records: DataFrame, identity: Sequence[str], order: Sequence[st
 
 
 def _match(a: DataFrame, b: DataFrame, on: Sequence[str]) -> list[Column]:
-    return [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on]
+    return [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in on]
 
 
 def find(records: DataFrame, table: DataFrame, on: Sequence[str], id_name: str = "row_id") -> DataFrame:
-    """records with the id that the table gives them, null if it has none. NaN finds NaN."""
+    """records with the id that the table gives them, null if it has none. NaN finds NaN, and null finds null."""
     ids = table.select(*on, id_name)
     return records.alias("a").join(ids.alias("b"), _match(records, ids, on), "left").select("a.*", f"b.{id_name}")
 

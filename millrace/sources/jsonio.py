@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 from ..functions.values import to_uint
 
 
+#: Messages that callers match, of a member's place.
+REQUIRED, MUST_BE, BAD_JSON, BAD_FILE = "{} is required.", "{} must be {}.", "Could not parse JSON file: {}: {}", "Could not open file: {}"
+AN_OBJECT, AN_ARRAY, A_STRING, A_BOOLEAN, A_SIZE, A_NUMBER = "an object", "an array", "a string", "a boolean", "a non-negative integer", "a number"
+
+
 def load_json_file(path: str | Path) -> object:
     try:
         return json.loads(Path(path).read_text(encoding="utf-8"))
     except (OSError, ValueError) as e:
-        raise ValueError(f"Could not parse JSON file: {path}: {e}") from e
+        raise ValueError(BAD_JSON.format(path, e)) from e
 
 
 def member_context(context: str, key: str) -> str:
@@ -29,25 +34,25 @@ def find_member(record: Mapping, key: str) -> object | None:
 
 def require_member(record: Mapping, key: str, context: str = "") -> object:
     if key not in record:
-        raise ValueError(f"{member_context(context, key)} is required.")
+        raise ValueError(REQUIRED.format(member_context(context, key)))
     return record[key]
 
 
 def _strict(test: Callable[[object], bool], what: str) -> Callable[[object, str], object]:
     def check(value: object, context: str) -> object:
         if not test(value):
-            raise ValueError(f"{context} must be {what}.")
+            raise ValueError(MUST_BE.format(context, what))
         return value
 
     return check
 
 
 _whole = lambda v: isinstance(v, int) and not isinstance(v, bool)
-as_object = _strict(lambda v: isinstance(v, dict), "an object")
-as_array = _strict(lambda v: isinstance(v, list), "an array")
-as_string = _strict(lambda v: isinstance(v, str), "a string")
-as_bool = _strict(lambda v: isinstance(v, bool), "a boolean")
-as_size = _strict(lambda v: _whole(v) and 0 <= v < 2**64, "a non-negative integer")  # type: ignore[operator]
+as_object = _strict(lambda v: isinstance(v, dict), AN_OBJECT)
+as_array = _strict(lambda v: isinstance(v, list), AN_ARRAY)
+as_string = _strict(lambda v: isinstance(v, str), A_STRING)
+as_bool = _strict(lambda v: isinstance(v, bool), A_BOOLEAN)
+as_size = _strict(lambda v: _whole(v) and 0 <= v < 2**64, A_SIZE)  # type: ignore[operator]
 
 
 def as_uint(value: object, context: str) -> int:
@@ -55,7 +60,7 @@ def as_uint(value: object, context: str) -> int:
     try:
         return to_uint(size)  # type: ignore[arg-type]
     except OverflowError:
-        raise ValueError(f"{context} must fit 32 bits.") from None
+        raise ValueError(MUST_BE.format(context, "below 2^32")) from None
 
 
 def as_double(value: object, context: str) -> float:
@@ -63,7 +68,7 @@ def as_double(value: object, context: str) -> float:
     if value == "NaN":
         return float("nan")
     if isinstance(value, bool) or not isinstance(value, (int, float)):
-        raise ValueError(f"{context} must be a number.")
+        raise ValueError(MUST_BE.format(context, A_NUMBER))
     return float(value)
 
 
@@ -78,7 +83,7 @@ def member(c: Column, key: str) -> Column:
 
 
 def required_member(c: Column, key: str, context: str = "") -> Column:
-    return F.coalesce(member(c, key), F.raise_error(F.lit(f"{member_context(context, key)} is required.")).cast("string"))
+    return F.coalesce(member(c, key), F.raise_error(F.lit(REQUIRED.format(member_context(context, key)))).cast("string"))
 
 
 def double_member(c: Column, key: str) -> Column:
@@ -95,7 +100,7 @@ def read_file(path: str | Path) -> bytes:
     try:
         return Path(path).read_bytes()
     except OSError as e:
-        raise OSError(f"Could not open file: {path}") from e
+        raise OSError(BAD_FILE.format(path)) from e
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -107,6 +112,19 @@ def resolve_path(root: str | Path, *parts: str) -> Path:
     return Path(root).joinpath(*parts)
 
 
+def root_path(*parts: str) -> Path:
+    """A path below the folder that holds this package."""
+    return resolve_path(Path(__file__).resolve().parents[2], *parts)
+
+
+def data_path(*parts: str) -> Path:
+    return root_path("data", *parts)
+
+
+def benchmarks_path(*parts: str) -> Path:
+    return root_path("benchmarks", *parts)
+
+
 def suite_path(suite: Mapping, root: str | Path, key: str) -> Path:
     """A suite's member path below its optional prefix."""
     prefix = find_as(suite, "prefix", as_string) or ""

@@ -9,16 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a folder of our own."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir; where it is unset and all runs on this machine, as in tests, a folder of our own."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
         at = tempfile.mkdtemp(prefix="millrace-tables-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def committed(df: DataFrame, label: str) -> DataFrame:
-    """df as a written table: its lineage is cut, and a lost executor loses nothing of it."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/millrace/{label}-{uuid.uuid4().hex}"
+    """df as a written table: its lineage is cut, and a lost executor loses nothing of it. It goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/millrace/{label}-{uuid.uuid4().hex}"
+    p, fs = _hadoop(spark, path)
+    fs.deleteOnExit(p)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

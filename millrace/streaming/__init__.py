@@ -1 +1 @@
-"""The relation engine has no stream operators; this package is where they would be."""
+"""Streams into layers."""

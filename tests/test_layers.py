@@ -88,8 +88,9 @@ def test_pools_check_before_they_store(spark):
     with pytest.raises(ValueError):
         Layer(spark, num_objects=2**32)
     layer.clear_all()
-    layer.declare("schema/0", [T.INT32])
-    assert layer.types("schema/0") == (T.INT32,)
+    with pytest.raises(IndexError):
+        layer.types("schema/0")
+    assert layer.schema([("x", T.INT32)]) == (0, True) and layer.types("schema/0") == (T.INT32,)
 
 
 def test_symbols_that_key_pools(spark):
@@ -120,7 +121,7 @@ def test_relations(spark):
     r = layer.relation(0)
     assert got(r.rows(), "id", "x") == [(0, 10), (2, 30)] and r.size() == 2 and r.arity == 1
     assert got(r.row(1), "x") == [(30,)]
-    with pytest.raises(IndexError, match="row index out of range"):
+    with pytest.raises(IndexError, match="no row 2"):
         r.row(2)
     assert got(r.contains(spark.createDataFrame([(10,), (20,), (99,)], "a long"), ["a"]), "a", "held") == [(10, True), (20, False), (99, False)]
     assert r == layer.relation(0) and r != layer.relation(1)
@@ -175,5 +176,149 @@ def test_rows_are_read_by_position(spark):
         with pytest.raises(error):
             bad()
     assert df.select(R.all_bits(types)).first()[0] == [1, 2**32 - 1, 5]
-    objects = spark.createDataFrame([(1, "one")], "id long, name string")
-    assert [r["o0"] and r["o0"]["name"] for r in R.with_objects(df, types, objects).orderBy("c0").collect()] == ["one", None]
+    objects = spark.createDataFrame([(1, "one"), (9, "nine")], "id long, name string")
+    assert [r["o0"]["name"] for r in R.with_objects(df, types, objects).orderBy("c0").collect()] == ["one", "nine"]
+    with pytest.raises(Exception, match="no object has the index 9"):
+        R.with_objects(df, types, objects.where("id = 1")).collect()
+
+
+def test_nulls_are_values(spark):
+    layer = Layer(spark)
+    rows = spark.createDataFrame([(None, "a", 0), (None, "a", 1), (None, None, 2)], "x int, y string, o long")
+    assert layer.insert("e", rows, ["x", "y"], "o").count() == 2
+    assert got(layer.insert("e", rows, ["x", "y"], "o"), "id", "created") == [(0, False), (1, False)] and layer.size("e") == 2
+    assert got(layer.find("e", rows.select("x", "y", "o")), "o", "id") == [(0, 0), (1, 0), (2, 1)]
+
+
+def test_ties_go_by_the_identity(spark):
+    df = spark.createDataFrame([(x, 1) for x in ("d", "b", "a", "c")], "v string, o long")
+    for parts in (1, 3):
+        assert got(intern(df.repartition(parts), ["v"], "o"), "row_id", "v") == [(0, "a"), (1, "b"), (2, "c"), (3, "d")]
+    assert [r[1] for r in got(dense_ids(df, "o", ties=["v"], one_task=2), "row_id", "v")] == ["a", "b", "c", "d"]
+
+
+def test_other_key_types_are_refused_before_anything_is_stored(spark):
+    layer = Layer(spark)
+    layer.insert("f", frame(spark, [1], "v int"), ["v"], "o", key_types=[T.OBJECT])
+    for identity, kinds in ((["v"], [T.INT32]), (["v", "o"], None)):
+        with pytest.raises(ValueError):
+            layer.insert("f", frame(spark, [2], "v int"), identity, "o", key_types=kinds)
+    assert layer.size("f") == 1
+    layer.insert("e", frame(spark, [1], "v int"), ["v"], "o")
+    with pytest.raises(ValueError):
+        layer.insert("e", frame(spark, [2], "v int"), ["v"], "o", key_types=[T.OBJECT])
+
+
+def test_a_record_says_what_columns_its_pool_has(spark):
+    layer = Layer(spark, num_objects=4)
+    arity = lambda record: [T.OBJECT] * record["v"]
+    layer.insert("f", frame(spark, [2, 0, 1], "v int"), ["v"], "o", key_types=arity)
+    child = Layer(spark, layer)
+    assert [child.types(f"f/{i}") for i in range(3)] == [(T.OBJECT, T.OBJECT), (), (T.OBJECT,)]
+    for bad in ("f/3", "f/x", "g/0"):
+        with pytest.raises(IndexError):
+            child.types(bad)
+    child.insert_rows("f/0", frame(spark, [(0, 3)], "a long, b long"), ["a", "b"], "o")
+    child.insert_rows("f/2", frame(spark, [3], "a long"), ["a"], "o")
+    with pytest.raises(ValueError):
+        child.insert_rows("f/2", frame(spark, [(0, 3)], "a long, b long"), ["a", "b"], "o")
+    with pytest.raises(IndexError):
+        child.insert_rows("f/2", frame(spark, [4], "a long"), ["a"], "o")
+    assert [child.pool_size(f"f/{i}") for i in range(3)] == [1, 0, 1] and layer.pool_size("f/0") == 0
+    for name in ("f/9", "schema/4"):
+        with pytest.raises(ValueError):
+            child.declare(name, [T.INT32])
+    child.clear_rows()
+    assert child.pool_size("f/0") == 0
+
+
+def test_schemas_are_read_by_index(spark):
+    root = Layer(spark)
+    root.schema([T.INT32])
+    layer = Layer(spark, root)
+    assert layer.schema([("a", T.BOOL), ("b", T.FLOAT32)]) == (1, True) and layer.schema([T.INT32]) == (0, False)
+    assert layer.schema_types(1) == (T.BOOL, T.FLOAT32) and layer.contains_schema(1) and not root.contains_schema(1) and not layer.contains_schema(-1)
+    layer.declare("free", [T.INT32])
+    layer.declare("other", [T.INT64])
+    assert (layer.schema_of("schema/1"), layer.schema_of("free"), layer.schema_of("other"), layer.schema_of("none")) == (1, 0, None, None)
+    with pytest.raises(IndexError):
+        root.schema_types(1)
+
+
+def test_threads_insert_side_by_side(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    layer = Layer(spark)
+    layer.declare("p", [T.INT64])
+    with ThreadPoolExecutor(6) as pool:
+        tasks = [pool.submit(lambda n=n: layer.insert("e", frame(spark, list(range(n % 3, n % 3 + 5)), "v int"), ["v"], "o").collect()) for n in range(6)]
+        more = [pool.submit(lambda: layer.insert_rows("p", frame(spark, [1, 2, 3], "a long"), ["a"], "o").collect()) for _ in range(3)]
+        wrong = pool.submit(lambda: layer.insert_rows("p", frame(spark, [(1, 2)], "a long, b long"), ["a", "b"], "o"))
+        results, rows = [t.result() for t in tasks], [t.result() for t in more]
+        assert isinstance(wrong.exception(), ValueError)
+    ids = {}
+    for r in (r for out in results for r in out):
+        assert ids.setdefault(r["v"], r["id"]) == r["id"]
+    assert sorted(ids) == list(range(7)) and sorted(ids.values()) == list(range(7)) and layer.size("e") == 7
+    assert sum(r["created"] for out in results for r in out) == 7 and got(layer.records("e"), "v", "id") == sorted(ids.items())
+    assert layer.pool_size("p") == 3 and sum(r["created"] for out in rows for r in out) == 3
+
+
+def test_relations_in_bulk(spark):
+    root = Layer(spark)
+    root.declare("p", [T.INT64])
+    root.insert_rows("p", frame(spark, [10, 20, 30], "a long"), ["a"], "o")
+    rows = spark.createDataFrame([("k1", 2), ("k1", 0), ("k2", 1), ("k3", 0), ("k3", 2), ("k3", 2), ("k0", None)], "k string, id long")
+    made = lambda layer: got(layer.insert_relations("p", [("x", T.INT64)], rows, "k"), "k", "relation", "created")
+    assert made(root) == [("k0", 0, True), ("k1", 1, True), ("k2", 2, True), ("k3", 1, False)]
+    child = Layer(spark, root)
+    assert made(child) == [("k0", 0, False), ("k1", 1, False), ("k2", 2, False), ("k3", 1, False)] and len(child) == 3
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id long")
+    assert child.insert_relation("p", [("x", T.INT64)], ids(1, 2)) == (3, True) and child.insert_relation("p", [("x", T.INT64)], ids()) == (0, False)
+    assert (len(root), len(child)) == (3, 4) and child.relation(1) == root.relation(1) and child.relation(0).size() == 0
+    other = Layer(spark)
+    other.declare("q", [T.INT64])
+    other.insert_rows("q", frame(spark, [99, 30], "a long"), ["a"], "o")
+    assert got(child.relation(3).contains_rows(other, "q", spark.createDataFrame([(0, 0), (1, 1)], "pos long, id long")), "c0", "held") == [(30, True), (99, False)]
+    with pytest.raises(IndexError):
+        child.insert_relations("p", [("x", T.INT64)], spark.createDataFrame([("k", 3)], "k string, id long"), "k")
+
+
+def test_equal_digests_are_compared_id_by_id(spark, monkeypatch):
+    layer = Layer(spark)
+    layer.declare("p", [T.INT64])
+    layer.insert_rows("p", frame(spark, list(range(6)), "a long"), ["a"], "o")
+    monkeypatch.setattr(F, "xxhash64", lambda *c: F.lit(1).cast("long"))
+    rows = spark.createDataFrame([(1, 0), (1, 3), (2, 1), (2, 2), (3, 0), (3, 3), (4, 1), (4, 2)], "k long, id long")  # sums and numbers are equal
+    for created in (True, False):
+        assert got(layer.insert_relations("p", [("x", T.INT64)], rows, "k"), "k", "relation", "created") == [(1, 0, created), (2, 1, created), (3, 0, False), (4, 1, False)]
+
+
+def test_outside_views_and_row_keys(spark):
+    layer = Layer(spark)
+    layer.declare("p", [T.INT64])
+    layer.insert_rows("p", frame(spark, [10, 20], "a long"), ["a"], "o")
+    layer.insert("e", frame(spark, [7], "v int"), ["v"], "o")
+    assert got(layer.view(spark.createDataFrame([(7,), (8,)], "v int")).find("e"), "v", "id") == [(7, 0), (8, None)] and layer.size("e") == 1
+    b = layer.builder([("x", T.INT64)])
+    b.insert(frame(spark, [20, 5], "x long"), "o")
+    assert got(layer.view(b).find_rows("p"), "x", "id") == [(5, None), (20, 1)] and b.widths() == [64] and b.memory_usage() > 0
+    held = spark.createDataFrame([("a", 1), ("b", None)], "k string, row long")
+    assert sorted((r["k"], r["row_row"] and r["row_row"]["c0"]) for r in layer.resolve_rows(held, "p", "row").collect()) == [("a", 20), ("b", None)]
+    with pytest.raises(Exception, match="no row with the id 5"):
+        layer.resolve_rows(spark.createDataFrame([("a", 5)], "k string, row long"), "p", "row").collect()
+
+
+def test_streams_are_interned(spark, tmp_path):
+    from millrace.streaming.inserts import insert_row_stream, insert_stream
+
+    path, layer, seen = str(tmp_path / "in"), Layer(spark), []
+    layer.declare("p", [T.INT32])
+    frame(spark, [3, 1], "v int").coalesce(1).write.mode("append").parquet(path)
+    stream = lambda: spark.readStream.schema("v int, o long").parquet(path)
+    run = lambda: insert_stream(stream(), layer, "e", ["v"], "o", str(tmp_path / "c"), lambda df, n: seen.append((n, df.where("created").count()))).awaitTermination(60)
+    assert run()
+    frame(spark, [1, 9], "v int").coalesce(1).write.mode("append").parquet(path)
+    assert run() and seen == [(0, 2), (1, 1)] and got(layer.records("e"), "v", "id") == [(1, 1), (3, 0), (9, 2)]
+    insert_row_stream(stream(), layer, "p", ["v"], "o", str(tmp_path / "d")).awaitTermination(60)
+    assert layer.pool_size("p") == 3

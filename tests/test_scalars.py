@@ -20,6 +20,44 @@ def pairs(spark):
     return df.select("i", "j", I.interval(F.col("a0"), F.col("a1")).alias("a"), I.interval(F.col("b0"), F.col("b1")).alias("b"))
 
 
+def tight(bound, exact, side):
+    """The bound is the nearest double to the exact value on its outer side."""
+    return Fraction(bound) == exact or (Fraction(bound) - exact) * side > 0 and (Fraction(math.nextafter(bound, -side * math.inf)) - exact) * side < 0
+
+
+def test_exact_bounds_stay(spark):
+    cases = {("add", (1.0, 3.0), (2.0, 4.0)): (3.0, 7.0), ("multiply", (0.0, 0.0), (0.1, 0.3)): (0.0, 0.0), ("divide", (1.0, 3.0), (2.0, 4.0)): (0.25, 1.5), ("subtract", (0.5, 0.5), (0.25, 1.0)): (-0.5, 0.25)}
+    cases |= {("divide", (-1.0, 0.0), (0.0, 2.0)): (-math.inf, math.inf), ("divide", (1.0, 2.0), (0.0, 2.0)): (0.5, math.inf), ("divide", (-2.0, -1.0), (0.0, 2.0)): (-math.inf, -0.5), ("divide", (-2.0, -1.0), (-4.0, 0.0)): (0.25, math.inf)}
+    cases |= {("add", (1e308, 1e308), (1e308, math.inf)): (1.7976931348623157e308, math.inf), ("multiply", (0.0, 1.0), (1.0, math.inf)): (0.0, math.inf), ("divide", (1.0, 2.0), (1.0, math.inf)): (0.0, 2.0)}
+    for (name, x, y), want in cases.items():
+        i = [I.interval(F.lit(a), F.lit(b)) for a, b in (x, y)]
+        got = tuple(spark.range(1).select(getattr(I, name)(*i).alias("r")).first()["r"])
+        assert got == want, (name, x, y, got)
+
+
+def test_quotients_are_tight(pairs):
+    a, b = F.col("a"), F.col("b")
+    for r in pairs.where("b.lo > 0 or b.hi < 0").select("i", "j", I.divide(a, b).alias("q")).collect():
+        if r["q"] is not None:
+            every = [Fraction(u) / Fraction(v) for u in BOUNDS[r["i"]] for v in BOUNDS[r["j"]]]
+            assert tight(r["q"]["lo"], min(every), -1) and tight(r["q"]["hi"], max(every), 1)
+
+
+def test_durations_are_whole(spark):
+    from millrace.functions import values as V
+
+    data = [(n,) for n in (1_700_000_000_123_456_789, -1_700_000_000_123_456_789, 2**62 + 1, 999, -999, 0, 1000, -1001)]
+    trunc = lambda n, u: abs(n) // u * (1 if n >= 0 else -1)
+    for r in spark.createDataFrame(data, "n long").select("n", V.microseconds(F.col("n")).alias("u"), V.milliseconds(F.col("n")).alias("m"), V.nanoseconds(F.lit(3), "ms").alias("k")).collect():
+        assert (r["u"], r["m"], r["k"]) == (trunc(r["n"], 1000), trunc(r["n"], 10**6), 3_000_000)
+
+
+def test_texts_of_alternatives(spark):
+    df = spark.createDataFrame([("i", 5, None), ("s", None, "x"), ("s", None, None), ("?", 1, "x")], "kind string, i int, s string")
+    assert [r[0] for r in df.select(text.variant_text({"i": F.col("i"), "s": F.col("s")}, F.col("kind"))).collect()] == ["5", "x", "monostate", "<invalid>"]
+    assert [r[0] for r in df.select(text.pointer_text(F.col("i"))).collect()] == ["5", "<nullptr>", "<nullptr>", "1"]
+
+
 def test_arithmetic_is_sound(pairs):
     a, b = F.col("a"), F.col("b")
     for r in pairs.select("i", "j", I.add(a, b).alias("add"), I.subtract(a, b).alias("sub"), I.multiply(a, b).alias("mul"), I.divide(a, b).alias("div"), I.negate(a).alias("neg")).collect():
@@ -31,7 +69,7 @@ def test_arithmetic_is_sound(pairs):
         for name, values in (("add", [u + v for u in p for v in q]), ("sub", [u - v for u in p for v in q]), ("mul", [u * v for u in p for v in q])):
             lo, hi = r[name]
             assert Fraction(lo) <= min(values) and max(values) <= Fraction(hi), (name, x, y)
-            assert float(min(values)) - lo <= 2 * math.ulp(lo) and hi - float(max(values)) <= 2 * math.ulp(hi)
+            assert tight(lo, min(values), -1) and tight(hi, max(values), 1), (name, x, y)
         inside = [v for v in (*q, (q[0] + q[1]) / 2) if v != 0]
         if not inside:
             assert r["div"] is None
