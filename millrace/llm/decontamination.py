@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from .common import as_bytes, map_batches, text_key, written
 
@@ -28,10 +28,10 @@ SPAN, SUBSTITUTIONS = 12, 2
 #: Items with fewer words are no evidence of a leak: they find nothing. A parameter of overlaps().
 LEAST_WORDS = 5
 #: Words of documents that are hashed at a time; distinct words that a worker remembers.
-CHUNK_WORDS, CACHE = 1 << 20, 1 << 20
-#: Bits for each test seed, and log2 of the bits in all, at least and at most, and in a piece that a task makes.
-SEED_BITS, LEAST_BITS, MOST_BITS, PIECE_BITS = 16, 10, 30, 19
-#: Test seeds up to which their table is sent to the documents' tasks; a larger one is joined by shuffling what passed the bit array.
+CHUNK_WORDS, CACHE = 1 << 19, 1 << 20
+#: Bits for each test seed, and log2 of the bits in all, at least and at most, and in a piece that a task makes. A seed sets three of them.
+SEED_BITS, LEAST_BITS, MOST_BITS, PIECE_BITS = 32, 10, 30, 19
+#: Test seeds up to which their hashes and their table are sent to the documents' tasks; a larger table is joined by shuffling what passed the bit array.
 SENT_SEEDS = 1 << 20
 
 #: Runs of letters, digits and underscores.
@@ -78,31 +78,45 @@ def seeds(codes: np.ndarray, span: int, number: int, mask: list[int]) -> np.ndar
     return h
 
 
-class BitArray:
-    """Which cells of hashes have a member: bits packed in bytes, the highest bits of a hash say which."""
+class KnownSeeds:
+    """Which hashes may be of test seeds: a bit array in which a hash has three places, and the sorted hashes themselves if they are few."""
 
     def __init__(self, bits: int):
         self.bits, self.bytes = bits, np.zeros(1 << (bits - 3), np.uint8)
-
-    def has(self, h: np.ndarray) -> np.ndarray:
-        cell = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        return (self.bytes[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 != 0
-
-
-def _bit_array(table: DataFrame, bits: int) -> BitArray:
-    """Of the hashes (h) of a table. Tasks make pieces of it, so the driver gets its bytes, 2^MOST_BITS bits at most."""
-    out, low = BitArray(bits), max(0, bits - PIECE_BITS)
+        self.hashes: np.ndarray | None = None
+
+    def which(self, h: np.ndarray) -> np.ndarray:
+        """Where in h there is one."""
+        found, low = None, np.uint64((1 << self.bits) - 1)
+        for cell in (lambda x: x >> np.uint64(64 - self.bits), lambda x: x & low, lambda x: (x >> np.uint64(17)) & low):
+            at = cell(h if found is None else h[found]).astype(np.int64)
+            own = np.flatnonzero((self.bytes[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+            found = own if found is None else found[own]
+        if self.hashes is not None and len(found):
+            at = np.minimum(np.searchsorted(self.hashes, h[found]), len(self.hashes) - 1)
+            found = found[self.hashes[at] == h[found]] if len(self.hashes) else found[:0]
+        return found
+
+
+def _known_seeds(table: DataFrame, n: int) -> KnownSeeds:
+    """Of the n hashes (h) of a table. Tasks make pieces of the bit array, so the driver gets its bytes, 2^MOST_BITS bits at most."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (SEED_BITS * n).bit_length()))
+    out, piece_bits = KnownSeeds(bits), min(bits, PIECE_BITS)
 
     def piece(rows: pa.Table) -> pa.Table:
-        own = np.unique(rows.column("cell").to_numpy())
-        marks = np.zeros(1 << min(bits, PIECE_BITS), bool)
+        own = rows.column("cell").to_numpy()
+        marks = np.zeros(1 << piece_bits, bool)
         marks[own & (len(marks) - 1)] = True
-        return pa.table({"at": [int(own[0]) >> min(bits, PIECE_BITS)], "bytes": [np.packbits(marks, bitorder="little").tobytes()]})
+        return pa.table({"at": [int(own[0]) >> piece_bits], "bytes": [np.packbits(marks, bitorder="little").tobytes()]})
 
-    cells = table.select(F.shiftrightunsigned("h", 64 - bits).alias("cell")).distinct()
-    size = 1 << (min(bits, PIECE_BITS) - 3)
-    for r in cells.groupBy(F.shiftright("cell", min(bits, PIECE_BITS)) if low else F.lit(0).alias("one")).applyInArrow(piece, "at long, bytes binary").toLocalIterator():
+    low = F.lit((1 << bits) - 1)
+    cells = F.array(F.shiftrightunsigned("h", 64 - bits), F.col("h").bitwiseAND(low), F.shiftrightunsigned("h", 17).bitwiseAND(low))
+    cells = table.select(F.explode(cells).alias("cell")).distinct()
+    size = 1 << (piece_bits - 3)
+    for r in cells.groupBy(F.shiftright("cell", piece_bits).alias("part")).applyInArrow(piece, "at long, bytes binary").toLocalIterator():
         out.bytes[r["at"] * size : (r["at"] + 1) * size] = np.frombuffer(bytes(r["bytes"]), np.uint8)
+    if n <= SENT_SEEDS:
+        out.hashes = np.unique(table.select("h").toArrow().column("h").to_numpy().view(np.uint64))
     return out
 
 
@@ -114,46 +128,58 @@ def _distinct_spans(codes: np.ndarray, at: np.ndarray, span: int) -> tuple[np.nd
     return own.view(np.uint64).reshape(-1, span), np.split(at[by], np.cumsum(np.bincount(back, minlength=len(own)))[:-1])
 
 
+def _joined(parts: list[np.ndarray], kind: type) -> np.ndarray:
+    return np.concatenate(parts).astype(kind, copy=False) if parts else np.zeros(0, kind)
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+
+
 def _seed_rows(docs: DataFrame, keys: Sequence[str], spans: Sequence[int], known) -> DataFrame:
-    """Of each row of docs (keys, t): its seeds that `known` (a broadcast bit array, or None: all) has, each distinct span once: (keys, h, span, own, at)."""
+    """Of each row of docs (keys, t) its seeds that `known`, a broadcast KnownSeeds, may have, each distinct span once: (keys, h, span, own, at)."""
     families = [(n, i, m) for n in spans for i, m in enumerate(masks(n))]
     fields = [StructField("h", LongType()), StructField("span", IntegerType()), StructField("own", ArrayType(LongType())), StructField("at", ArrayType(IntegerType()))]
     schema = StructType([*(docs.schema[k] for k in keys), *fields])
 
+    def look(chunk: list[tuple[int, np.ndarray]]) -> Iterator[tuple[np.ndarray, ...]]:
+        """Hash texts side by side; spans that reach into the next text are left out. Row, h, span, own, at and numbers of at, of each distinct span."""
+        codes = np.concatenate([c for _, c in chunk])
+        texts = np.array([i for i, _ in chunk])
+        starts = np.cumsum([0] + [len(c) for _, c in chunk])
+        for n, i, m in families:
+            h = seeds(codes, n, i, m)
+            hit = known.value.which(h)
+            doc = np.searchsorted(starts, hit, "right") - 1
+            fits = hit + n <= starts[doc + 1]
+            hit, doc = hit[fits], doc[fits]
+            if not len(hit):
+                continue
+            rows = np.lib.stride_tricks.sliding_window_view(codes, n)[hit]
+            whole = np.zeros(len(hit), np.uint64)
+            for p in range(n):
+                whole = (whole ^ (whole >> np.uint64(31)) ^ rows[:, p]) * _mul[p]
+            order = np.lexsort((hit, whole, doc))
+            hit, doc, rows = hit[order], doc[order], rows[order]
+            new = np.ones(len(hit), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (rows[1:] != rows[:-1]).any(axis=1)
+            first = np.flatnonzero(new)
+            yield texts[doc[first]], h[hit[first]].view(np.int64), np.full(len(first), n), rows[first].ravel().view(np.int64), hit - starts[doc], np.diff(np.append(first, len(hit)))
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            row, h_, span_, own_, at_ = [], [], [], [], []
-
-            def look(chunk: list[tuple[int, np.ndarray]]) -> None:
-                """Hash texts side by side; spans that reach into the next text are left out."""
-                codes = np.concatenate([c for _, c in chunk])
-                starts = np.cumsum([0] + [len(c) for _, c in chunk])
-                ends = np.repeat(starts[1:], np.diff(starts))
-                for n, i, m in families:
-                    h = seeds(codes, n, i, m)
-                    hit = np.flatnonzero((known.value.has(h) if known else True) & (np.arange(len(h)) + n <= ends[: len(h)]))
-                    for k in np.unique(np.searchsorted(starts, hit, "right")) - 1:
-                        own = hit[np.searchsorted(hit, starts[k]) : np.searchsorted(hit, starts[k + 1])]
-                        for one, at in zip(*_distinct_spans(codes, own, n), strict=True):
-                            row.append(chunk[k][0])
-                            h_.append(h[at[0]])
-                            span_.append(n)
-                            own_.append(one.view(np.int64))
-                            at_.append((at - starts[k]).astype(np.int32))
-
-            chunk, size = [], 0
+            chunk, size, last = [], 0, b.num_rows - 1
             for i, t in enumerate(b.column(b.num_columns - 1)):
                 chunk.append((i, word_codes(t.as_py().decode("utf-8", "replace"))))
                 size += len(chunk[-1][1])
-                if size >= CHUNK_WORDS:
-                    look(chunk)
-                    chunk, size = [], 0
-            if chunk:
-                look(chunk)
-            kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            values = (np.array(h_, np.uint64).view(np.int64), span_, own_, at_)
-            cols = [*(b.column(i).take(pa.array(row, pa.int64())) for i in range(len(keys))), *(pa.array(v, k) for v, k in zip(values, kinds, strict=True))]
-            yield pa.RecordBatch.from_arrays(cols, schema.names)
+                if size < CHUNK_WORDS and i < last:
+                    continue
+                row, h, span, own, at, times = [list(c) for c in zip(*look(chunk), strict=True)] or [[]] * 6
+                chunk, size = [], 0
+                row, span = _joined(row, np.int64), _joined(span, np.int32)
+                cols = [pa.array(_joined(h, np.int64)), pa.array(span), _lists(_joined(own, np.int64), span), _lists(_joined(at, np.int32), _joined(times, np.int64))]
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(row)) for k in range(len(keys))), *cols], schema.names)
+        _codes.clear()  # the worker goes on to other stages
 
     return map_batches(docs.select(*keys, "t"), run, schema)
 
@@ -205,8 +231,7 @@ def overlaps(docs: DataFrame, tests: DataFrame, item_key: str = "item_id", keys:
     classes = held.select("h", "other").distinct()
     n = classes.count()
     own = docs.select(*keys, text_key().alias("text_hash"), as_bytes("text").alias("t")).where("octet_length(t) > 0")
-    bits = min(MOST_BITS, max(LEAST_BITS, (SEED_BITS * n).bit_length()))
-    known = spark.sparkContext.broadcast(_bit_array(classes, bits))
+    known = spark.sparkContext.broadcast(_known_seeds(classes, n))
     met = _seed_rows(own, [*keys, "text_hash"], sorted(lengths), known)
     met = met.join(F.broadcast(classes) if n <= SENT_SEEDS else classes, "h")
     equal = F.aggregate(F.zip_with("own", "other", lambda a, b: F.when(a == b, 1).otherwise(0)), F.lit(0), lambda a, b: a + b)

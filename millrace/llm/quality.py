@@ -8,7 +8,7 @@ probability by a logistic curve fitted to margins of folds that the model had no
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -115,16 +115,17 @@ class Model:
     a: float
     b: float
 
-    def margins(self, texts: list[bytes]) -> np.ndarray:
-        out = np.empty(len(texts))
+    def margins(self, texts: Iterable[bytes], n: int | None = None) -> np.ndarray:
+        """Of n texts; n may be left out for a list."""
+        out = np.empty(len(texts) if n is None else n)  # type: ignore[arg-type]
         for i, t in enumerate(texts):
             f = document_features(t)
             r = self.ratios[f]
             out[i] = (self.weights[f] * r).sum() / np.sqrt((r * r).sum() + 1e-12) + self.bias
         return out
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.a * self.margins(texts) + self.b, -30, 30)))
+    def scores(self, texts: Iterable[bytes], n: int | None = None) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.a * self.margins(texts, n) + self.b, -30, 30)))
 
 
 def _fit_margin(rows: list[np.ndarray], y: np.ndarray, c: float) -> tuple[np.ndarray, np.ndarray, float]:
@@ -195,8 +196,9 @@ def with_scores(docs: DataFrame, model: Model, threshold: float = 0.7, text: str
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             at = b.schema.get_field_index(text)
-            s = sent.value.scores([(t or "").encode("utf-8", "replace") for t in b.column(at).to_pylist()])
+            s = sent.value.scores(((t.as_py() or "").encode("utf-8", "replace") for t in b.column(at)), b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*b.schema.names, *names])
+        _codes.clear()  # the worker goes on to other stages
 
     return map_batches(own, run, schema)
 
