@@ -3,6 +3,8 @@
 Runs hold a row a key: in how many documents a batch had it, and, in the run that saw the key first, who holds it. Each new
 batch is merge-anti-joined with the runs to find its new keys and then adds a run of its own; a full level is compacted
 into one run of the next. Batches go by falling document id, so who holds a key first is the largest id that holds it.
+
+Texts are not shuffled where the keys that lose lines are few enough to be sent to them.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import BLANK, as_bytes, discard, id_key, map_batches, scratch, written
 
 
+#: Keys that lose lines, up to which they are sent to the texts (20 bytes each); more of them are joined by document.
+SENT_KEYS = 1 << 20
 #: A key with more than one in HOT of all pairs of key and document is treated as hot.
 HOT = 1024
 
@@ -100,11 +105,42 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     t = docs.select(id_key().alias("doc"), as_bytes("text").alias("t"))
     cuts = t.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)])).first()[0] or [] if batches > 1 else []
     number = sum((F.when(F.col("doc") < c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0)).cast("int")
-    table = written(map_batches(t.select(number.alias("batch"), "doc", "t"), lines, "batch int, doc long, h1 long, h2 long"), "lines")
+    table = written(map_batches(t.select(number.alias("batch"), "doc", "t"), lines, "batch int, doc long, h1 long, h2 long").select("doc", "h1", "h2", "batch"), "lines", by="batch")
     runs = LineRuns(spark, fanout)
     for n in range(len(set(cuts)) + 1):
         runs.add(table.where(F.col("batch") == n).groupBy("h1", "h2").agg(F.count_distinct("doc").alias("docs"), F.max("doc").alias("holder")))
     frequent = written(runs.totals().where(F.col("docs") >= min_docs), "frequent")
+    schema, names = "doc_id long, n_lines long, n_dropped long, kept binary", ["doc_id", "n_lines", "n_dropped", "kept"]
+
+    def kept_rows(ids: pa.Array, total: list[int], dropped: list[int], kept: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, pa.array(total, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary())], names)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), id_key().alias("doc"), as_bytes("text").alias("t"))
+    if frequent.count() <= SENT_KEYS:
+        known = frequent.select("h1", "h2", "holder").orderBy("h1").toArrow()
+        arrays = [known[c].to_numpy() for c in ("h1", "h2", "holder")]
+        if (arrays[0][1:] != arrays[0][:-1]).all():
+            sent = spark.sparkContext.broadcast(arrays)
+
+            def keep_known(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                h1s, h2s, holders = sent.value
+                for b in it:
+                    total, dropped, kept = [], [], []
+                    for doc, t in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+                        text = t.as_py()
+                        lines = text.split(b"\n")
+                        total.append(len(lines))
+                        own = [(i, *h) for i, x in enumerate(lines) if (h := line_hash(x, min_chars))]
+                        gone: set[int] = set()
+                        if own and len(h1s):
+                            place, h1, h2 = (np.array(c, np.int64) for c in zip(*own, strict=True))
+                            at = np.minimum(np.searchsorted(h1s, h1), len(h1s) - 1)
+                            gone = set(place[(h1s[at] == h1) & (h2s[at] == h2) & (holders[at] != doc)].tolist())
+                        dropped.append(len(gone))
+                        kept.append(b"\n".join([x for i, x in enumerate(lines) if i not in gone]) if gone else text)
+                    yield kept_rows(b.column(0), total, dropped, kept)
+
+            return map_batches(texts, keep_known, schema).select(*names[:3], F.col("kept").cast("string").alias("kept_text"))
     # keys with over 1/HOT of all pairs of key and document: fewer than HOT of them, so they are broadcast and none fills a task
     hot = F.col("docs") * HOT > (table.count() or 1)
     heavy = frequent.where(hot).select("h1", "h2", F.col("holder").alias("hot_holder"))
@@ -125,10 +161,9 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
                     t = b"\n".join(lines)
                 dropped.append(total[-1] - len(lines))
                 kept.append(t)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(dropped, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_lines", "n_dropped", "kept"])
+            yield kept_rows(b.column(0), total, dropped, kept)
 
-    whole = docs.select("doc_id", id_key().alias("doc"), as_bytes("text").alias("t")).join(drops, "doc", "left").select(F.col("doc_id").cast("long"), "t", "drop")
-    return map_batches(whole, keep, "doc_id long, n_lines long, n_dropped long, kept binary").select("doc_id", "n_lines", "n_dropped", F.col("kept").cast("string").alias("kept_text"))
+    return map_batches(texts.join(drops, "doc", "left").select("doc_id", "t", "drop"), keep, schema).select(*names[:3], F.col("kept").cast("string").alias("kept_text"))
 
 
 def op1_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:

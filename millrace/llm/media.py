@@ -1,7 +1,8 @@
 """Media columns: payloads as images in archives, read by a data source that plans byte ranges.
 
-Archives are ZIP files whose directories list the members. A partition is a byte range of an archive and reads the members
-that begin in it, found in the directory; each member is read by its offset, checked, and tried again alone if that fails.
+Archives are ZIP files whose directories list the members. A partition is byte ranges of archives that lie next to each other
+and reads the members that begin in them, found in the directories; each member is read by its offset, checked, and tried
+again alone if that fails. Ranges grow with the archives, so that there are PARTITIONS partitions at most.
 """
 
 from __future__ import annotations
@@ -28,7 +29,8 @@ from .common import as_bytes, map_batches, scratch, ship
 WIDTH = 64
 #: Bytes of an archive, of a partition and of an Arrow batch, about; a member is whole in each.
 ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES = 32 << 20, 8 << 20, 8 << 20
-TRIES = 4
+#: Partitions that are planned at most; members are tried so often.
+PARTITIONS, TRIES = 50_000, 4
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -127,11 +129,28 @@ def write_archives(docs: DataFrame, to: str) -> DataFrame:
     return map_batches(docs.select(F.col("doc_id").cast("long"), as_bytes("text").alias("t")), run, "path string, n_members long, bytes long")
 
 
-class Range(InputPartition):
-    """The members of an archive that begin from byte `first` up to, not including, byte `end`."""
+class Ranges(InputPartition):
+    """Members of archives that begin from byte `first` up to, not including, byte `end`: a list of (path, first, end)."""
 
-    def __init__(self, path: str, first: int, end: int):
-        self.path, self.first, self.end = path, first, end
+    def __init__(self, pieces: list[tuple[str, int, int]]):
+        self.pieces = pieces
+
+
+def planned(archives: list[tuple[str, int]], range_bytes: int, most: int) -> list[list[tuple[str, int, int]]]:
+    """Archives (path, bytes) dealt in order into ranges of range_bytes, or more where there would be over `most` of them."""
+    size = max(range_bytes, -(-sum(n for _, n in archives) // most))
+    out: list[list[tuple[str, int, int]]] = []
+    room = 0
+    for path, n in archives:
+        at = 0
+        while at < n:
+            if not room:
+                out.append([])
+                room = size
+            end = min(n, at + room)
+            out[-1].append((path, at, end))
+            room, at = room - (end - at), end
+    return out
 
 
 def read_member(open_again, info: zipfile.ZipInfo, f) -> bytes:
@@ -160,16 +179,16 @@ class ArchiveReader(DataSourceReader):
         self.manifest, self.keep_errors = options["manifest"], options.get("errors", "raise") == "keep"
         self.range_bytes = int(options.get("range_bytes", RANGE_BYTES))
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         store, base = _open(self.manifest)
-        out = []
+        archives: list[tuple[str, int]] = []
         for x in sorted(store.get_file_info(fs.FileSelector(base)), key=lambda x: x.path):
             if x.path.endswith(".parquet"):
-                t = pq.read_table(store.open_input_file(x.path), columns=["path", "bytes"]).to_pylist()
-                out += [Range(r["path"], at, min(r["bytes"], at + self.range_bytes)) for r in t for at in range(0, r["bytes"], self.range_bytes)]
-        return out or [Range("", 0, 0)]
+                t = pq.read_table(store.open_input_file(x.path), columns=["path", "bytes"])
+                archives += zip(t["path"].to_pylist(), t["bytes"].to_pylist(), strict=True)
+        return [Ranges(p) for p in planned(archives, self.range_bytes, PARTITIONS)] or [Ranges([])]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
 
         def batch() -> pa.RecordBatch:
@@ -178,12 +197,13 @@ class ArchiveReader(DataSourceReader):
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "archive", "offset", "media", "error"])
 
-        if partition.path:
-            store, path = _open(partition.path)
-            again = lambda: store.open_input_file(path)
-            f, size = again(), 0
+        size = 0
+        for archive, first, end in partition.pieces:
+            store, path = _open(archive)
+            again = lambda store=store, path=path: store.open_input_file(path)
+            f = again()
             for info in zipfile.ZipFile(f).infolist():
-                if not partition.first <= info.header_offset < partition.end:
+                if not first <= info.header_offset < end:
                     continue
                 key = info.filename.split(".")[1]
                 try:
@@ -192,7 +212,7 @@ class ArchiveReader(DataSourceReader):
                     if not self.keep_errors:
                         raise
                     media, error = None, str(e)
-                rows.append((int(key) if key else None, partition.path, info.header_offset, media, error))
+                rows.append((int(key) if key else None, archive, info.header_offset, media, error))
                 size += len(media or b"")
                 if size >= BATCH_BYTES:
                     yield batch()

@@ -160,7 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", where=None
 
     The sample is the first SAMPLE_DOCS labelled ids in the order of a hash of the id, less what goes beyond SAMPLE_FEATURES features. It is
     chosen by ids alone; then its texts are found in one pass, beside which nothing is shuffled, and only their
-    features come to the driver. Null labels and ids are no labels; of an id's labels the largest counts.
+    features come to the driver. Null labels and ids are no labels; of an id's labels the largest counts. Rows of an id with
+    the same features count once.
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,8 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", where=None
     marks = labels.where(F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     ids = own.select("doc_id").distinct().join(marks, "doc_id").withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(SAMPLE_DOCS)
     sample = own.select("doc_id", as_bytes("text").alias("t")).join(F.broadcast(ids), "doc_id").select("t", "y", "h")
-    found = written(map_batches(sample, run, "f array<int>, y int, h long"), "sample")
-    sizes = sorted((r[0], r[1]) for r in found.groupBy("h").agg(F.sum(F.size("f"))).collect())
+    found = written(map_batches(sample, run, "f array<int>, y int, h long").dropDuplicates(["h", "f"]), "sample")
+    sizes = sorted((r[0], r[1]) for r in found.groupBy("h").agg(F.sum(F.size("f") + 1)).collect())
     total = np.cumsum([n for _, n in sizes])
     last = sizes[min(int(np.searchsorted(total, SAMPLE_FEATURES)), len(sizes) - 1)][0] if sizes else 0
     kept = found.where(F.col("h") <= last).toArrow()

@@ -58,7 +58,7 @@ def table(df, *cols):
     return sorted((tuple(r) for r in df.select(*cols).collect()), key=key)
 
 
-def test_line_dedup(spark, docs, none):
+def test_line_dedup(spark, docs, none, monkeypatch):
     holders, own = {}, rows()
     strip = lambda x: lower(x.strip(" \t\n\x0b\x0c\r"))
     rank = lambda d: -1 if d is None else d
@@ -71,7 +71,8 @@ def test_line_dedup(spark, docs, none):
         lines = (t or "").split("\n")
         kept = [x for x in lines if not (len(h := holders.get(strip(x), ())) >= 3 and max(h) != rank(d))]
         want.append((d, len(lines), len(lines) - len(kept), "\n".join(kept)))
-    for batches, fanout in ((1, 2), (4, 2), (7, 3)):
+    for batches, fanout, sent in ((1, 2, 1 << 20), (4, 2, 1 << 20), (4, 2, 0), (7, 3, 0)):
+        monkeypatch.setattr(linededup, "SENT_KEYS", sent)
         got = linededup.dedup_lines(docs, batches=batches, fanout=fanout)
         assert table(got, "doc_id", "n_lines", "n_dropped", "kept_text") == sorted(want, key=key)
     assert any(w[2] for w in want) and linededup.dedup_lines(none).count() == 0
@@ -339,6 +340,17 @@ def test_media(spark, docs, none):
         media.decode_png(b"GIF89a")
 
 
+def test_media_ranges_grow_with_the_archives():
+    archives = [("a", 100), ("b", 7), ("c", 0), ("d", 250)]
+    for size, most in ((10, 1000), (10, 3), (1000, 5), (64, 7)):
+        plan = media.planned(archives, size, most)
+        assert len(plan) <= most and all(plan)
+        for name, n in archives:
+            own = [(a, b) for p in plan for x, a, b in p if x == name]
+            assert sum(b - a for a, b in own) == n and all(b == c for (_, b), (c, _) in zip(own, own[1:], strict=False))
+    assert media.planned([], 10, 3) == []
+
+
 def test_media_retries_members_alone(spark, tmp_path):
     import io
     import zipfile
