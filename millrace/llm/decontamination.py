@@ -28,7 +28,7 @@ SPAN, SUBSTITUTIONS = 12, 2
 #: Items with fewer words are no evidence of a leak: they find nothing. A parameter of overlaps().
 LEAST_WORDS = 5
 #: Words of documents that are hashed at a time; distinct words that a worker remembers.
-CHUNK_WORDS, CACHE = 1 << 19, 1 << 20
+CHUNK_WORDS, CACHE = 1 << 18, 1 << 18
 #: Bits for each test seed, and log2 of the bits in all, at least and at most, and in a piece that a task makes. A seed sets three of them.
 SEED_BITS, LEAST_BITS, MOST_BITS, PIECE_BITS = 32, 10, 30, 19
 #: Test seeds up to which their hashes and their table are sent to the documents' tasks; a larger table is joined by shuffling what passed the bit array.

@@ -27,7 +27,7 @@ SAMPLE_DOCS, SAMPLE_FEATURES = 6000, 6_000_000
 #: Tokens whose features are sorted at a time.
 CHUNK_TOKENS = 1 << 19
 #: Distinct tokens that a worker remembers.
-CACHE = 1 << 20
+CACHE = 1 << 18
 
 #: Runs of ASCII punctuation, or of other bytes that aren't blank.
 _token = re.compile(rb"[!-/:-@\[-`{-~]+|[^\x00-\x20!-/:-@\[-`{-~]+")

@@ -21,7 +21,7 @@ from .common import as_bytes, map_batches, ship, written
 from .components import connected
 
 #: Points of balls that a task has in memory at a time.
-POINTS = 1 << 20
+POINTS = 1 << 19
 #: Fingerprints that a prefix stands for, about.
 PER_PREFIX = 512
 #: Parts that a component's fingerprints are dealt into where they meet their component's least id.
