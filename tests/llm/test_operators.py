@@ -190,6 +190,20 @@ def test_sharding(docs, none):
     assert sharding.with_shards(none).count() == 0
 
 
+def test_shards_are_those_of_a_plain_draw(docs):
+    def shard(key, shards):
+        def draw(s):
+            h = 42
+            for part in ([] if key is None else [key.to_bytes(8, "little", signed=True)]) + [s.to_bytes(4, "little"), bytes(4)]:
+                h = xxhash.xxh64_intdigest(part, h)
+            return -(h % 2**62), s
+
+        return min(map(draw, range(shards)))[1]
+
+    for r in sharding.with_shards(docs, 7).select("doc_id", "shard", "grown_shard").collect():
+        assert (r["shard"], r["grown_shard"]) == (shard(r["doc_id"], 7), shard(r["doc_id"], 8))
+
+
 def test_rendezvous(spark):
     t = spark.range(20000)
     shares = dict(t.groupBy(sharding.rendezvous([F.col("id")], 4, [1, 1, 2, 4]).alias("s")).count().collect())
@@ -340,6 +354,37 @@ def test_media(spark, docs, none):
         media.decode_png(b"GIF89a")
 
 
+def test_media_are_plain_pngs_with_plain_features():
+    rng = random.Random(11)
+    for n in (0, 1, 63, 64, 65, 1000, 5000):
+        text = bytes(rng.randrange(256) for _ in range(n))
+        payload = media.to_payload(text)
+        png, at, data = media.encode_png(payload, n), 8, b""
+        assert payload[:n] == text and not any(payload[n:]) and len(payload) % 64 == 0 and len(payload) > 0 and png[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+        while at < len(png):
+            size, kind = int.from_bytes(png[at : at + 4], "big"), png[at + 4 : at + 8]
+            body = png[at + 8 : at + 8 + size]
+            assert int.from_bytes(png[at + 8 + size : at + 12 + size], "big") == zlib.crc32(kind + body)
+            if kind == b"IHDR":
+                assert (int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big"), body[8:]) == (64, len(payload) // 64, bytes([8, 0, 0, 0, 0]))
+            data += body if kind == b"IDAT" else b""
+            at += 12 + size
+        lines = zlib.decompress(data)
+        rows = [lines[i + 1 : i + 65] for i in range(0, len(lines), 65)]
+        assert b"".join(rows) == payload and not any(lines[::65])
+        cuts = [len(rows) * i // 8 for i in range(9)]
+        means = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            own = rows[min(a, len(rows) - 1) : max(min(a, len(rows) - 1) + 1, b)]
+            means += [sum(x for r in own for x in r[c : c + 8]) / (8 * len(own)) for c in range(0, 64, 8)]
+        middle = (sorted(means)[31] + sorted(means)[32]) / 2
+        bits = int("".join("1" if m > middle else "0" for m in means), 2)
+        counts = Counter(payload)
+        entropy = -sum(c / len(payload) * math.log2(c / len(payload)) for c in counts.values())
+        got = media.features(np.frombuffer(payload, np.uint8).reshape(-1, 64)).split(":")
+        assert got[0] == f"{bits:016x}" and float(got[1]) == pytest.approx(sum(payload) / len(payload), abs=6e-4) and float(got[2]) == pytest.approx(entropy, abs=6e-4)
+
+
 def test_media_ranges_grow_with_the_archives():
     archives = [("a", 100), ("b", 7), ("c", 0), ("d", 250)]
     for size, most in ((10, 1000), (10, 3), (1000, 5), (64, 7)):
