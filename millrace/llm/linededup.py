@@ -4,12 +4,15 @@ Runs hold a row a key: in how many documents a batch had it, and, in the run tha
 batch is merge-anti-joined with the runs to find its new keys and then adds a run of its own; a full level is compacted
 into one run of the next. Batches go by falling document id, so who holds a key first is the largest id that holds it.
 
-Texts are not shuffled where the keys that lose lines are few enough to be sent to them.
+All runs have the same buckets of a key's hash, each sorted, and Spark knows it: a batch's keys are dealt into these buckets once,
+and then joins, compactions and totals read the runs bucket by bucket, without a shuffle. Texts are not shuffled
+either where the keys that lose lines are few enough to be sent to them.
 """
 
 from __future__ import annotations
 
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import BLANK, as_bytes, discard, id_key, map_batches, scratch, written
 
 
+#: Pairs of key and document for a bucket of the runs, about.
+BUCKET_PAIRS = 1 << 20
 #: Keys that lose lines, up to which they are sent to the texts (20 bytes each); more of them are joined by document.
 SENT_KEYS = 1 << 20
 #: A key with more than one in HOT of all pairs of key and document is treated as hot.
@@ -41,28 +46,46 @@ def line_hash(line: bytes, min_chars: int) -> tuple[int, int] | None:
 
 
 class LineRuns:
-    """Levels of sorted runs (h1, h2, docs, holder) in the shared folder. holder is null but in the run that saw the key first."""
-
-    def __init__(self, spark: SparkSession, fanout: int = 2):
-        self.spark, self.fanout, self.levels = spark, fanout, [[]]
-        self.schema = "h1 long, h2 long, docs long, holder long"
-
-    def frame(self) -> DataFrame:
-        paths = [p for level in self.levels for p in level]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+    """Levels of sorted runs (h1, h2, docs, holder) in the shared folder, as bucketed tables. holder is null but in the run that saw the key first."""
+
+    def __init__(self, spark: SparkSession, fanout: int = 2, buckets: int = 8):
+        self.spark, self.fanout, self.buckets = spark, fanout, buckets
+        self.levels: list[list[tuple[str, str]]] = [[]]
+
+    def runs(self) -> list[tuple[str, str]]:
+        return [r for level in self.levels for r in level]
+
+    def merged(self, runs: list[tuple[str, str]]) -> DataFrame:
+        """Runs as one, a row a key: merged in pairs by joins, whose sides have the same buckets."""
+        out = None
+        for name, _ in runs:
+            own = self.spark.table(name)
+            if out is None:
+                out = own
+                continue
+            more = own.withColumnsRenamed({"docs": "__docs", "holder": "__holder"}).hint("merge")
+            docs, both = F.coalesce("docs", F.lit(0)) + F.coalesce("__docs", F.lit(0)), out.join(more, ["h1", "h2"], "full")
+            out = both.select("h1", "h2", docs.alias("docs"), F.greatest("holder", "__holder").alias("holder"))
+        return self.spark.createDataFrame([], "h1 long, h2 long, docs long, holder long") if out is None else out
 
     def _write(self, rows: DataFrame, level: int) -> None:
-        path = scratch(self.spark, f"run{level}")
-        rows.select("h1", "h2", "docs", "holder").sortWithinPartitions("h1", "h2").write.parquet(path)
+        name, path = f"millrace_run_{uuid.uuid4().hex}", scratch(self.spark, f"run{level}")
+        rows.select("h1", "h2", "docs", "holder").write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", path).saveAsTable(name)
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(path)
+        self.levels[level].append((name, path))
+
+    def _drop(self, runs: list[tuple[str, str]]) -> None:
+        for name, path in runs:
+            self.spark.sql(f"drop table if exists {name}")
+            discard(self.spark, path)
 
     def add(self, keys: DataFrame) -> None:
         """A batch's (h1, h2, docs, holder), a row a key: known keys add to the counts, new keys also set the holder."""
-        if any(self.levels):
-            seen = self.frame().where("holder is not null").select("h1", "h2", F.lit(True).alias("seen"))
-            keys = keys.join(seen.hint("merge"), ["h1", "h2"], "left").withColumn("holder", F.when(F.col("seen").isNull(), F.col("holder")))
+        keys = keys.repartition(self.buckets, "h1", "h2")
+        for i, (name, _) in enumerate(self.runs()):
+            seen = self.spark.table(name).where("holder is not null").select("h1", "h2", F.lit(True).alias(f"seen{i}"))
+            keys = keys.join(seen.hint("merge"), ["h1", "h2"], "left").withColumn("holder", F.when(F.col(f"seen{i}").isNull(), F.col("holder"))).drop(f"seen{i}")
         self._write(keys, 0)
         for n in range(len(self.levels)):
             if len(self.levels[n]) >= self.fanout:
@@ -70,15 +93,17 @@ class LineRuns:
 
     def compact(self, n: int) -> None:
         """Merge the runs of a level into one of the next."""
-        old = self.levels[n]
-        rows = self.spark.read.schema(self.schema).parquet(*old).groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("holder").alias("holder"))
-        self._write(rows, n + 1)
-        self.levels[n] = []
-        for path in old:
-            discard(self.spark, path)
+        old, self.levels[n] = self.levels[n], []
+        self._write(self.merged(old), n + 1)
+        self._drop(old)
 
     def totals(self) -> DataFrame:
-        return self.frame().groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("holder").alias("holder"))
+        return self.merged(self.runs())
+
+    def close(self) -> None:
+        """Drop all runs."""
+        self._drop(self.runs())
+        self.levels = [[]]
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 2) -> DataFrame:
@@ -106,10 +131,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
     cuts = t.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)])).first()[0] or [] if batches > 1 else []
     number = sum((F.when(F.col("doc") < c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0)).cast("int")
     table = written(map_batches(t.select(number.alias("batch"), "doc", "t"), lines, "batch int, doc long, h1 long, h2 long").select("doc", "h1", "h2", "batch"), "lines", by="batch")
-    runs = LineRuns(spark, fanout)
+    pairs = table.count()
+    runs = LineRuns(spark, fanout, max(8, min(8192, pairs // BUCKET_PAIRS)))
     for n in range(len(set(cuts)) + 1):
         runs.add(table.where(F.col("batch") == n).groupBy("h1", "h2").agg(F.count_distinct("doc").alias("docs"), F.max("doc").alias("holder")))
     frequent = written(runs.totals().where(F.col("docs") >= min_docs), "frequent")
+    runs.close()
     schema, names = "doc_id long, n_lines long, n_dropped long, kept binary", ["doc_id", "n_lines", "n_dropped", "kept"]
 
     def kept_rows(ids: pa.Array, total: list[int], dropped: list[int], kept: list[bytes]) -> pa.RecordBatch:
@@ -142,7 +169,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, batches
 
             return map_batches(texts, keep_known, schema).select(*names[:3], F.col("kept").cast("string").alias("kept_text"))
     # keys with over 1/HOT of all pairs of key and document: fewer than HOT of them, so they are broadcast and none fills a task
-    hot = F.col("docs") * HOT > (table.count() or 1)
+    hot = F.col("docs") * HOT > max(1, pairs)
     heavy = frequent.where(hot).select("h1", "h2", F.col("holder").alias("hot_holder"))
     seen = table.drop("batch").join(F.broadcast(heavy), ["h1", "h2"], "left")
     rest = seen.where("hot_holder is null").join(frequent.where(~hot).select("h1", "h2", "holder"), ["h1", "h2"]).where("doc <> holder")

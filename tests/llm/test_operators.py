@@ -92,6 +92,10 @@ def test_runs_compact(spark):
         runs.add(batch)
     assert table(runs.totals(), "h1", "docs", "holder") == [(1, 4, 90), (2, 1, 80), (3, 5, 60)]
     assert [len(x) for x in runs.levels] == [1, 1]
+    plan = runs.totals()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Bucketed: true" in plan
+    runs.close()
+    assert runs.totals().count() == 0
 
 
 def test_targets_and_fill():
