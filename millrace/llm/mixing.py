@@ -18,6 +18,8 @@ from .common import WORD, ship, text_key, written
 
 #: Sums that the dynamic program tells apart: each number of words up to this budget, beyond it cells of equally many words.
 DP_WORDS = 1 << 20
+#: Words that whole documents leave to the dynamic program where they are short enough: so many sums it can still meet to the word.
+FILL_WORDS = 1 << 18
 #: Documents that are put in order at a time, about.
 DRAW_ROWS = 100_000
 
@@ -97,7 +99,7 @@ def fill_coarse(lengths: np.ndarray, counts: np.ndarray, budget: int, cells: int
     end = 2 * budget // unit + 1
     sums, item, times = np.full(end, -1, np.int64), np.zeros(end, np.int32), np.zeros(end, np.int64)
     sums[0] = 0
-    for i in np.argsort(-lengths, kind="stable"):
+    for i in [i for i in np.argsort(-lengths, kind="stable") if counts[i] > 0]:
         x, most, k = int(lengths[i]), int(min(counts[i], 2 * budget // max(1, lengths[i]))), 1
         while x > 0 and most > 0:
             k = min(k, most)
@@ -126,12 +128,12 @@ def fill_coarse(lengths: np.ndarray, counts: np.ndarray, budget: int, cells: int
 def _rest(lengths: np.ndarray, counts: np.ndarray, shares: np.ndarray, left: int) -> np.ndarray:
     """How many of each length fill what is left: the largest shares first while it is much, then the dynamic program."""
     taken = np.zeros(len(lengths), np.int64)
-    for i in np.argsort(-shares, kind="stable") if left > DP_WORDS else []:
-        if left - lengths[i] >= DP_WORDS // 2 and counts[i] > 0:
+    for i in np.argsort(-shares, kind="stable") if left > FILL_WORDS else []:
+        if left - lengths[i] >= FILL_WORDS // 2 and counts[i] > 0:
             taken[i] += 1
             left -= int(lengths[i])
-    for i in np.argsort(-lengths, kind="stable") if left > DP_WORDS else []:  # lengths that differ little
-        n = int(min(counts[i] - taken[i], max(0, left - DP_WORDS // 2) // max(1, lengths[i])))
+    for i in np.argsort(-lengths, kind="stable") if left > FILL_WORDS else []:  # lengths that differ little
+        n = int(min(counts[i] - taken[i], max(0, left - FILL_WORDS // 2) // max(1, lengths[i])))
         taken[i] += n
         left -= n * int(lengths[i])
     return taken + fill(lengths, counts - taken, left) if left <= DP_WORDS else taken
@@ -156,11 +158,12 @@ def plan_source(lengths: np.ndarray, counts: np.ndarray, target: float, most: in
     shares = np.array([e % size / size for e in exact])
     left = rest - int((lengths * taken).sum())
     if left <= DP_WORDS:
-        return passes, taken + fill(lengths, counts - taken, left)
+        return passes, taken + _rest(lengths, counts - taken, shares, left)
     long, plans = lengths > DP_WORDS // 2, []
     free = counts - taken
     short, given = np.where(long, 0, free), np.where(long, 0, taken)
-    for first in fill_coarse(lengths, np.where(long, free, 0), left, DP_WORDS, min(DP_WORDS, int((lengths * short).sum()))):
+    nearest, below = fill_coarse(lengths, np.where(long, free, 0), left, DP_WORDS, min(DP_WORDS, int((lengths * short).sum())))
+    for first in [nearest] if (nearest == below).all() else [nearest, below]:
         over = left - int((lengths * first).sum())
         more = first + _rest(lengths, short, shares, over) if over > 0 else first - _rest(lengths, given, 1 - shares, -over)
         plans.append((abs(left - int((lengths * more).sum())), more))
