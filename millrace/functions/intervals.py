@@ -7,6 +7,7 @@ another is the nearest double on its outer side. Whether a bound is exact is tol
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,9 +37,16 @@ def equal(a: Column, b: Column) -> Column:
     return a.eqNullSafe(b)
 
 
+#: Succ of 2^-53: a double of normal size plus that part of itself rounds to the next double (Rump, Zimmermann, Boldo, Melquiond 2009).
+_NEXT = 2.0**-53 * (1 + 2.0**-51)
+#: Sizes between which steps and the rests of products and quotients are plain arithmetic; outside, Java's own functions are called.
+_SMALL, _LARGE = 1e-140, 1e140
+
+
 def _step(x: Column, towards: str) -> Column:
-    safe = F.coalesce(x, F.lit(0.0))
-    return F.reflect(F.lit("java.lang.Math"), F.lit(towards), safe).cast("double")
+    near = x + F.abs(x) * F.lit(_NEXT if towards == "nextUp" else -_NEXT)
+    far = F.reflect(F.lit("java.lang.Math"), F.lit(towards), F.coalesce(x, F.lit(0.0))).cast("double")
+    return F.when(F.abs(x).between(_SMALL, _LARGE), near).otherwise(far)
 
 
 _INF = float("inf")
@@ -48,33 +56,30 @@ def _finite(x: Column) -> Column:
     return ~F.isnan(x) & (F.abs(x) < _INF)
 
 
-def _sum(x: Column, y: Column) -> tuple[Column, Column]:
-    """x + y rounded, and the rest that rounding left, exactly (Knuth's two-sum)."""
-    s = x + y
-    t = s - x
-    return s, (x - (s - t)) + (y - t)
-
-
 def _fma(x: Column, y: Column, z: Column) -> Column:
     zero = F.lit(0.0)
     return F.reflect(F.lit("java.lang.Math"), F.lit("fma"), F.coalesce(x, zero), F.coalesce(y, zero), F.coalesce(z, zero)).cast("double")
 
 
-#: Products whose error may be below the least double are stepped outwards whatever it seems to be.
-_TINY = 1e-290
+def _of_size(x: Column) -> Column:
+    return F.abs(x).between(_SMALL, _LARGE)
+
 
+def _high(x: Column) -> Column:
+    """The upper 26 bits of a double's digits (Veltkamp)."""
+    c = x * F.lit(134217729.0)
+    return c - (c - x)
 
-def _product(x: Column, y: Column) -> tuple[Column, Column, Column]:
-    """x * y rounded (0 times infinity is 0: a bound at infinity is never reached), the rest, and whether the rest can be told."""
-    p = F.when((x == 0) | (y == 0), F.lit(0.0)).otherwise(x * y)
-    return p, _fma(x, y, -p), (x == 0) | (y == 0) | (F.abs(p) > _TINY)
 
+def _product_rest(x: Column, y: Column, p: Column) -> Column:
+    """x * y - p, exactly, for p = x * y rounded (Dekker); by a fused operation for very large and very small factors."""
+    xh, yh = _high(x), _high(y)
+    rest = (((xh * yh - p) + xh * (y - yh)) + (x - xh) * yh) + (x - xh) * (y - yh)
+    return F.when(_of_size(x) & _of_size(y), rest).otherwise(_fma(x, y, -p))
 
-def _quotient(x: Column, y: Column) -> tuple[Column, Column, Column]:
-    """x / y rounded, a number of the sign of what is left, and whether that can be told. y is not 0."""
-    own = F.when(y == 0, F.lit(None).cast("double")).otherwise(y)
-    q = F.when(x == 0, F.lit(0.0)).otherwise(x / own)
-    return q, -_fma(q, own, -x) * F.signum(own), (x == 0) | (F.abs(own) == _INF) | ((F.abs(q) > _TINY) & (F.abs(x) > _TINY))
+
+#: Products whose error may be below the least double are stepped outwards whatever it seems to be.
+_TINY = 1e-290
 
 
 def _down(x: Column, rest: Column, told: Column) -> Column:
@@ -88,24 +93,47 @@ def _up(x: Column, rest: Column, told: Column) -> Column:
     return F.when(F.isnan(x), F.lit(_INF)).when(~_finite(x), overflow).when(~told | (rest > 0), _step(x, "nextUp")).otherwise(x)
 
 
-def _bounds(a: Column, b: Column, lo: Column, hi: Column) -> Column:
-    return F.when(a.isNotNull() & b.isNotNull(), F.struct((lo + 0.0).alias("lo"), (hi + 0.0).alias("hi")))
+def _each(pairs: list[tuple[Column, Column]], *steps: Callable[[Column], Column]) -> Column:
+    """An array with what the steps, one after another, make of each pair: each is computed once, whatever the next makes of it."""
+    out = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in pairs])
+    for step in steps:
+        out = F.transform(out, step)
+    return out
+
+
+def _rounded(t: Column) -> Column:
+    """lo and hi around a rounded value v, of what is known of its rest; a value made of infinite bounds stays (kept)."""
+    lo = F.when(t["kept"], t["v"]).otherwise(_down(t["v"], t["rest"], t["told"]))
+    hi = F.when(t["kept"], t["v"]).otherwise(_up(t["v"], t["rest"], t["told"]))
+    return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+
+def _widest(a: Column, b: Column, each: Column) -> Column:
+    """The interval from the least lo to the largest hi of an array; empty if a or b is."""
+    none = F.struct(F.lit(_INF).alias("lo"), F.lit(-_INF).alias("hi"))
+    merge = lambda s, t: F.struct(F.least(s["lo"], t["lo"]).alias("lo"), F.greatest(s["hi"], t["hi"]).alias("hi"))
+    end = lambda s: F.struct((s["lo"] + 0.0).alias("lo"), (s["hi"] + 0.0).alias("hi"))
+    return F.when(a.isNotNull() & b.isNotNull(), F.aggregate(each, none, merge, end))
 
 
-def _add(a_lo: Column, b_lo: Column, a_hi: Column, b_hi: Column) -> tuple[Column, Column]:
-    told = F.lit(True)
-    infinite = lambda x, y: (F.abs(x) == _INF) | (F.abs(y) == _INF)
-    lo = F.when(infinite(a_lo, b_lo), a_lo + b_lo).otherwise(_down(*_sum(a_lo, b_lo), told))
-    hi = F.when(infinite(a_hi, b_hi), a_hi + b_hi).otherwise(_up(*_sum(a_hi, b_hi), told))
-    return lo, hi
+def _infinite(x: Column) -> Column:
+    return F.abs(x) == _INF
+
+
+def _sums(pairs: list[tuple[Column, Column]]) -> Column:
+    """x + y, and the rest that rounding left, exactly (Knuth's two-sum)."""
+    first = lambda t: F.struct(t["x"].alias("x"), t["y"].alias("y"), (t["x"] + t["y"]).alias("v"), (t["x"] + t["y"] - t["x"]).alias("t"))
+    rest = lambda t: (t["x"] - (t["v"] - t["t"])) + (t["y"] - t["t"])
+    second = lambda t: F.struct(t["v"].alias("v"), rest(t).alias("rest"), F.lit(True).alias("told"), (_infinite(t["x"]) | _infinite(t["y"])).alias("kept"))
+    return _each(pairs, first, second, _rounded)
 
 
 def add(a: Column, b: Column) -> Column:
-    return _bounds(a, b, *_add(a["lo"], b["lo"], a["hi"], b["hi"]))
+    return _widest(a, b, _sums([(a["lo"], b["lo"]), (a["hi"], b["hi"])]))
 
 
 def subtract(a: Column, b: Column) -> Column:
-    return _bounds(a, b, *_add(a["lo"], -b["hi"], a["hi"], -b["lo"]))
+    return _widest(a, b, _sums([(a["lo"], -b["hi"]), (a["hi"], -b["lo"])]))
 
 
 def negate(a: Column) -> Column:
@@ -113,13 +141,42 @@ def negate(a: Column) -> Column:
     return F.when(a.isNotNull(), F.struct((-a["hi"] + 0.0).alias("lo"), (-a["lo"] + 0.0).alias("hi")))
 
 
+def _pairs(a: Column, b: Column) -> list[tuple[Column, Column]]:
+    return [(a[x], b[y]) for x in ("lo", "hi") for y in ("lo", "hi")]
+
+
 def multiply(a: Column, b: Column) -> Column:
     """0 times infinity is 0, as a bound at infinity is never reached."""
-    pairs = [(a[x], b[y]) for x in ("lo", "hi") for y in ("lo", "hi")]
-    infinite = lambda x, y: (F.abs(x) == _INF) | (F.abs(y) == _INF)
-    lows = [F.when(infinite(x, y), _product(x, y)[0]).otherwise(_down(*_product(x, y))) for x, y in pairs]
-    highs = [F.when(infinite(x, y), _product(x, y)[0]).otherwise(_up(*_product(x, y))) for x, y in pairs]
-    return _bounds(a, b, F.least(*lows), F.greatest(*highs))
+
+    def first(t: Column) -> Column:
+        none = (t["x"] == 0) | (t["y"] == 0)
+        return F.struct(t["x"].alias("x"), t["y"].alias("y"), none.alias("none"), F.when(none, F.lit(0.0)).otherwise(t["x"] * t["y"]).alias("v"))
+
+    def second(t: Column) -> Column:
+        rest = F.when(t["none"], F.lit(0.0)).otherwise(_product_rest(t["x"], t["y"], t["v"]))
+        return F.struct(t["v"].alias("v"), rest.alias("rest"), (t["none"] | (F.abs(t["v"]) > _TINY)).alias("told"), (_infinite(t["x"]) | _infinite(t["y"])).alias("kept"))
+
+    return _widest(a, b, _each(_pairs(a, b), first, second, _rounded))
+
+
+def _quotients(a: Column, b: Column) -> Column:
+    """Of the bounds, in the order of _pairs(); null where the divisor is 0. A quotient of two infinities adds nothing but 0."""
+
+    def first(t: Column) -> Column:
+        y = F.when(t["y"] == 0, F.lit(None).cast("double")).otherwise(t["y"])
+        both = _infinite(t["x"]) & _infinite(t["y"])
+        return F.struct(t["x"].alias("x"), y.alias("y"), F.when((t["x"] == 0) | both, F.lit(0.0)).otherwise(t["x"] / y).alias("v"))
+
+    def second(t: Column) -> Column:
+        return F.struct(t["x"].alias("x"), t["y"].alias("y"), t["v"].alias("v"), (t["v"] * t["y"]).alias("p"))
+
+    def third(t: Column) -> Column:
+        plain = (t["x"] - t["p"]) - _product_rest(t["v"], t["y"], t["p"])
+        rest = F.when(t["x"] == 0, F.lit(0.0)).when(_of_size(t["v"]) & _of_size(t["y"]), plain).otherwise(-_fma(t["v"], t["y"], -t["x"]))
+        told = (t["x"] == 0) | _infinite(t["y"]) | ((F.abs(t["v"]) > _TINY) & (F.abs(t["x"]) > _TINY))
+        return F.struct(t["v"].alias("v"), (rest * F.signum(t["y"])).alias("rest"), told.alias("told"), _infinite(t["x"]).alias("kept"))
+
+    return _each(_pairs(a, b), first, second, third, _rounded)
 
 
 def divide(a: Column, b: Column) -> Column:
@@ -128,27 +185,20 @@ def divide(a: Column, b: Column) -> Column:
     Dividing [0, 0] gives [0, 0].
     """
     line = F.struct(F.lit(-_INF).alias("lo"), F.lit(_INF).alias("hi"))
-    infinite = lambda x, y: F.abs(x) == _INF
-    low = lambda x, y: F.when(infinite(x, y), _quotient(x, y)[0]).otherwise(_down(*_quotient(x, y)))
-    high = lambda x, y: F.when(infinite(x, y), _quotient(x, y)[0]).otherwise(_up(*_quotient(x, y)))
-    pairs = [(a[x], b[y]) for x in ("lo", "hi") for y in ("lo", "hi")]
-    both_infinite = [F.when((F.abs(x) == _INF) & (F.abs(y) == _INF), F.lit(0.0)) for x, y in pairs]
-    lows = [F.coalesce(z, low(x, y)) for z, (x, y) in zip(both_infinite, pairs, strict=True)]
-    highs = [F.coalesce(z, high(x, y)) for z, (x, y) in zip(both_infinite, pairs, strict=True)]
-    plain = _bounds(a, b, F.least(*lows), F.greatest(*highs))
     zero = F.struct(F.lit(0.0).alias("lo"), F.lit(0.0).alias("hi"))
-    upward = lambda x: F.struct((x + 0.0).alias("lo"), F.lit(_INF).alias("hi"))
-    downward = lambda x: F.struct(F.lit(-_INF).alias("lo"), (x + 0.0).alias("hi"))
+    each = _quotients(a, b)
+    upward = lambda i: F.struct((F.element_at(each, i)["lo"] + 0.0).alias("lo"), F.lit(_INF).alias("hi"))
+    downward = lambda i: F.struct(F.lit(-_INF).alias("lo"), (F.element_at(each, i)["hi"] + 0.0).alias("hi"))
     # b touches 0 from above, or from below with both signs turned; an a below 0 that reaches it gives all, as interval libraries have it
-    above = F.when(a["lo"] >= 0, upward(low(a["lo"], b["hi"]))).when(a["hi"] < 0, downward(high(a["hi"], b["hi"]))).otherwise(line)
-    below = F.when(a["lo"] >= 0, downward(high(a["lo"], b["lo"]))).when(a["hi"] < 0, upward(low(a["hi"], b["lo"]))).otherwise(line)
+    above = F.when(a["lo"] >= 0, upward(2)).when(a["hi"] < 0, downward(4)).otherwise(line)
+    below = F.when(a["lo"] >= 0, downward(1)).when(a["hi"] < 0, upward(3)).otherwise(line)
     return (
         F.when(a.isNull() | b.isNull() | ((b["lo"] == 0) & (b["hi"] == 0)), F.lit(None))
         .when((a["lo"] == 0) & (a["hi"] == 0), zero)
         .when(b["lo"] == 0, above)
         .when(b["hi"] == 0, below)
         .when((b["lo"] < 0) & (b["hi"] > 0), line)
-        .otherwise(plain)
+        .otherwise(_widest(a, b, each))
     )
 
 

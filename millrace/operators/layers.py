@@ -341,7 +341,7 @@ class Layer:
             left, placed = heads.join(found, "key", "left_anti"), found.withColumn("created", F.lit(False))
             while True:  # a digest's least key stands for it; keys of that digest with other ids, if hashes ever collide, wait for a turn of their own
                 left = committed(left, "left")
-                first = left.groupBy(*same).agg(F.min("key").alias("stands"))
+                first = committed(left.groupBy(*same).agg(F.min("key").alias("stands")), "first")
                 n = first.count()
                 if not n:
                     break
@@ -356,7 +356,10 @@ class Layer:
                 heads_new = committed(numbered.select("id", F.lit(pool).alias("pool"), F.lit(labels).alias("columns"), text.alias("layout"), *same), "heads")
                 self._tables.setdefault(_HEADS, _Table(None, base, base)).add(heads_new, n)
                 self._tables.setdefault(_ROWS, _Table(None, 0, 0)).add(body, 0)
-                base, left = base + n, left.join(equal, "key", "left_anti")
+                base += n
+                if equal.count() == left.count():
+                    break
+                left = left.join(equal, "key", "left_anti")
         return placed.select(F.col("key").alias(key), "relation", "created")
 
     def relations(self) -> DataFrame | None:

@@ -271,7 +271,7 @@ def interval_arithmetic(spark: SparkSession, d: str) -> DataFrame:
     a, b = F.col("a"), F.col("b")
     above = intervals.interval(b["lo"] + 1.0, b["hi"] + 1.0)
     results = {"sum": intervals.add(a, b), "diff": intervals.subtract(a, b), "prod": intervals.multiply(a, b), "quot": intervals.divide(a, above), "neg": intervals.negate(a)}
-    return _ranges(spark, d).select("l_orderkey", *[i[x].alias(f"{n}_{x}") for n, i in results.items() for x in ("lo", "hi")])
+    return _ranges(spark, d).select("l_orderkey", *[i.alias(n) for n, i in results.items()]).select("l_orderkey", *[F.col(n)[x].alias(f"{n}_{x}") for n in results for x in ("lo", "hi")])
 
 
 def dict_refs(spark: SparkSession, d: str) -> DataFrame:
