@@ -26,6 +26,8 @@ POINTS = 1 << 19
 PER_PREFIX = 512
 #: Parts that a component's fingerprints are dealt into where they meet their component's least id.
 SALTS = 32
+#: A fingerprint of more than one in HOT of all rows is treated as hot.
+HOT = 1024
 #: Shingles that are hashed at a time.
 SLICE = 1 << 16
 
@@ -193,9 +195,13 @@ def least_of(nodes: DataFrame, roots: DataFrame, least: str) -> DataFrame:
 
 def components_of(t: DataFrame, radius: int = 2, more: DataFrame | None = None) -> DataFrame:
     """As with_components, of rows (doc_id, fp). more: further links (a, b) between fingerprints."""
-    nodes = written(t.groupBy("fp").agg(F.min("doc_id").alias("component_id")), "nodes")
-    named = least_of(nodes, roots_of(nodes, radius, more), "component_id")
-    return t.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    nodes = written(t.groupBy("fp").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "nodes")
+    named = written(least_of(nodes, roots_of(nodes, radius, more), "component_id"), "named")
+    # fingerprints of over 1/HOT of all rows: fewer than HOT of them, so they are broadcast and none fills a task
+    hot = F.col("n") * HOT > max(1, t.count())
+    large = F.broadcast(named.where(hot))
+    both = t.join(large, "fp").unionByName(t.join(large, "fp", "left_anti").join(named.where(~hot), "fp"))
+    return both.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
