@@ -2,8 +2,13 @@
 
 Candidates share a band of MinHash values; their sets are then compared exactly. Sets of up to LARGE shingles meet by a
 function for each value; larger ones by the least hash in each of as many ranges of the hashes, which costs a lookup a
-range. Sets near the border have both, so similar sets always have one in common. Buckets of more than CHUNK texts are dealt
-into chunks, in each band by another hash, so that no task holds a large group and texts of one group still meet in most bands.
+range. Sets near the border have both. Buckets of more than CHUNK texts are dealt into chunks, in each band by another hash,
+so that no task holds a large group and texts of one group still meet in most bands.
+
+Bands and chunks leave some similar sets apart, so an exact search follows between what they have not joined. In any one order
+of all shingles, two similar sets of sizes m and n share one of the first m // 5 + 1 and n // 5 + 1. The order is that of the
+hashes, but shingles in which many unjoined sets meet come last. Every unjoined pair that shares such a shingle is counted,
+and compared unless its count shows that it can't be similar.
 """
 
 from __future__ import annotations
@@ -17,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, map_batches, sent_if_small, text_key, written
+from .components import connected
 from .simhash import digests, fingerprint
 
 WIDTH, LEAST = 5, 0.8
@@ -26,6 +32,8 @@ BANDS, ROWS = 24, 5
 LARGE = 480
 #: Texts that are compared with one another at most; shingles that meet the hash functions at a time.
 CHUNK, STEP = 64, 1 << 10
+#: How often shingles are put last, how many at most, and for how many pairs a row; rows of one shingle in a part of a join.
+ROUNDS, LAST, MEET, DEALT = 4, 1 << 20, 8, 1 << 10
 
 _rng = np.random.default_rng(17)
 _factors = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,26 +80,41 @@ def bands(own: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int64)
 
 
+def first(own: np.ndarray, last: np.ndarray | None = None) -> np.ndarray:
+    """Of a set, the hashes of which a similar set's first ones have one: the least, those in last (sorted) after all others."""
+    n = len(own) // 5 + 1
+    if last is None or not len(last):
+        return own[:n]
+    late = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own
+    return np.concatenate([own[~late], own[late]])[:n]
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / max(1, len(a) + len(b) - both)
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (operator 8's fingerprint), h (a hash of the text) and keys (of the bands) for each row."""
+    """doc_id, fp (operator 8's fingerprint), h (a hash of the text), keys (of the bands), size and first (of the set) for each row."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            fps, keys = [], []
+            fps, keys, sizes, firsts = [], [], [], []
             for t in b.column(2):
                 own = t.as_py()
                 fps.append(int.from_bytes(fingerprint(own), "big", signed=True))
-                keys.append(bands(shingles(own)))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), b.column(1), lists], ["doc_id", "fp", "h", "keys"])
+                own = shingles(own)
+                keys.append(bands(own))
+                sizes.append(len(own))
+                firsts.append(first(own).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), b.column(1), _lists(keys), pa.array(sizes, pa.int32()), _lists(firsts)], ["doc_id", "fp", "h", "keys", "size", "first"])
 
     own = docs.select(F.col("doc_id").cast("long"), text_key().alias("h"), as_bytes("text").alias("t"))
-    return map_batches(own, run, "doc_id long, fp long, h long, keys array<long>")
+    return map_batches(own, run, "doc_id long, fp long, h long, keys array<long>, size int, first array<long>")
 
 
 def forest(sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]]:
@@ -113,12 +136,23 @@ def forest(sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]
     return kept
 
 
-def similar_links(sketched: DataFrame, docs: DataFrame) -> DataFrame:
-    """Links (a, b) between fingerprints of texts of docs whose sets of shingles are similar. sketched: sketches(docs), written.
+def _texts_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(h, t) of the rows of docs whose texts' hashes (h) are asked, written."""
+    return docs.select(text_key().alias("h"), as_bytes("text").alias("t")).join(sent_if_small(asked), "h", "left_semi")
 
-    Only keys and hashes are shuffled to find the candidates; texts and sets of candidates alone follow.
-    """
-    members = written(sketched.dropDuplicates(["h"]).select("h", "fp", "keys"), "members")
+
+def _sets_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(h, own) of the texts asked: the set of shingles as bytes."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["h", "own"])
+
+    return map_batches(_texts_of(docs, asked).dropDuplicates(["h"]), run, "h long, own binary")
+
+
+def _by_bands(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between fingerprints of similar sets that share a band's bucket, or a chunk of a large one."""
     each = members.select("h", "fp", F.explode("keys").alias("key"))
     buckets = each.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("n"), F.min("h").alias("lo"), F.bit_xor("h").alias("x"), F.min("fp").alias("f0"), F.max("fp").alias("f1"))
     # buckets of one fingerprint need no link; small buckets of the same texts are compared once
@@ -126,14 +160,7 @@ def similar_links(sketched: DataFrame, docs: DataFrame) -> DataFrame:
     buckets = written(buckets.groupBy("n", "lo", "x", "own").agg(F.min("key").alias("key")).select("key", "n"), "buckets")
     chunk = F.pmod(F.xxhash64("h", "key"), F.ceil(F.col("n") / CHUNK)).cast("int").alias("chunk")
     dealt = written(each.join(sent_if_small(buckets), "key").select("h", "fp", "key", chunk), "candidates")
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["h", "own"])
-
-    asked = written(dealt.select("h").distinct(), "asked")
-    texts = docs.select(text_key().alias("h"), as_bytes("text").alias("t")).join(sent_if_small(asked), "h", "left_semi").dropDuplicates(["h"])
-    sets = map_batches(texts, run, "h long, own binary")
+    sets = _sets_of(docs, written(dealt.select("h").distinct(), "asked"))
 
     def verify(rows: pd.DataFrame) -> pd.DataFrame:
         pairs = np.array(forest([np.frombuffer(x, np.uint64) for x in rows["own"]]), np.int64).reshape(-1, 2)
@@ -141,3 +168,82 @@ def similar_links(sketched: DataFrame, docs: DataFrame) -> DataFrame:
         return pd.DataFrame({"a": fps[pairs[:, 0]], "b": fps[pairs[:, 1]]})
 
     return dealt.join(sets, "h").select("key", "chunk", "fp", "own").groupBy("key", "chunk").applyInPandas(verify, "a long, b long")
+
+
+def _tokens(rooted: DataFrame) -> DataFrame:
+    return rooted.select("h", "root", "size", F.explode("first").alias("key"))
+
+
+def _meeting(rows: DataFrame) -> DataFrame:
+    """(key, n, pairs) of the keys that rows of several roots share: their rows, and pairs of unlike roots."""
+    counts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    return counts.select("key", "n", ((F.col("n") * F.col("n") - F.col("own")) / 2).cast("long").alias("pairs")).where("pairs > 0")
+
+
+def _shared(rooted: DataFrame) -> DataFrame:
+    """Rows (key, h, root, size) of first shingles that several sets share, written."""
+    each = _tokens(rooted)
+    keys = written(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
+    return written(each.join(sent_if_small(keys), "key").select("key", "h", "root", "size"), "sharing")
+
+
+def _left_apart(members: DataFrame, docs: DataFrame, links: DataFrame) -> DataFrame:
+    """Links (a, b) between roots of links' components: of all similar sets that links don't join, none is left out."""
+    spark = members.sparkSession
+    roots = connected(links).select(F.col("node").alias("fp"), "root")
+    rooted = members.where("size > 0").join(sent_if_small(roots), "fp", "left").select("h", F.coalesce("root", "fp").alias("root"), "size", "first")
+    now, rows = rooted, _shared(rooted)
+    seen = rows
+    # shingles in which more than MEET pairs a row meet come last in the order; any order finds all, so how many do is free
+    last = np.zeros(0, np.int64)
+    updates = None
+    for _ in range(ROUNDS):
+        known = spark.createDataFrame(pa.table({"key": last}))
+        many = _meeting(seen).where(F.col("pairs") > F.col("n") * MEET).join(F.broadcast(known), "key", "left_anti")
+        new = many.orderBy(F.desc("pairs"), "key").limit(LAST - len(last)).select("key").toArrow()["key"].to_numpy()
+        if not len(new):
+            break
+        last = np.union1d(last, new)
+        asked = written(_tokens(now).join(F.broadcast(spark.createDataFrame(pa.table({"key": new}))), "key", "left_semi").select("h").distinct(), "asked")
+        sent = spark.sparkContext.broadcast(np.sort(last.view(np.uint64)))
+
+        def again(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in it:
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists([first(shingles(t.as_py()), sent.value).view(np.int64) for t in b.column(1)])], ["h", "first"])
+
+        fresh = map_batches(_texts_of(docs, asked), again, "h long, first array<long>").dropDuplicates(["h"])
+        fresh = written(rooted.select("h", "root", "size").join(fresh, "h"), "first")
+        updates = fresh if updates is None else written(updates.join(sent_if_small(asked), "h", "left_anti").unionByName(fresh), "first")
+        now = rooted.join(sent_if_small(updates.select("h")), "h", "left_anti").unionByName(updates)
+        # what has come into the first shingles is all in fresh sets; their keys alone are counted again
+        seen = _tokens(fresh)
+    if updates is not None:
+        rows = _shared(now)
+    parts = F.ceil(F.col("n") / DEALT).cast("int")
+    keyed = written(rows.join(sent_if_small(written(_meeting(rows), "meeting")), "key"), "keyed")
+    left = keyed.select("key", F.pmod(F.xxhash64("h"), parts).cast("int").alias("part"), F.col("h").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"))
+    right = keyed.select("key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("h").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"))
+    met = left.join(right, ["key", "part"]).where("a < b and ra <> rb and 5 * least(sa, sb) >= 4 * greatest(sa, sb)")
+    # what the first shingles share, and all that follow the first ones of one set, are the most that both can have
+    need = F.expr("(4 * (sa + sb) + 8) div 9 + 1 - greatest(sa - sa div 5, sb - sb div 5)").alias("need")
+    pairs = written(met.select("a", "b", need).groupBy("a", "b", "need").agg(F.count(F.lit(1)).alias("both")).where("both >= need").select("a", "b"), "pairs")
+    asked = written(pairs.select(F.col("a").alias("h")).union(pairs.select("b")).distinct(), "asked")
+    sets = written(_sets_of(docs, asked).join(rooted.select("h", "root"), "h"), "sets")
+    both = pairs.join(sets.withColumnsRenamed({"h": "a", "root": "ra", "own": "x"}), "a").join(sets.withColumnsRenamed({"h": "b", "root": "rb", "own": "y"}), "b").select("ra", "rb", "x", "y")
+
+    def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            similar = [jaccard(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) >= LEAST for x, y in zip(b.column(2), b.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(similar, pa.bool_()))
+
+    return map_batches(both, verify, "a long, b long")
+
+
+def similar_links(sketched: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between fingerprints of texts of docs whose closure is that of all similar sets of shingles. sketched: sketches(docs), written.
+
+    Only keys and hashes are shuffled to find the candidates; texts and sets of candidates alone follow.
+    """
+    members = written(sketched.dropDuplicates(["h"]).select("h", "fp", "keys", "size", "first"), "members")
+    links = written(_by_bands(members, docs).where("a <> b").distinct(), "links")
+    return links.unionByName(_left_apart(members, docs, links))

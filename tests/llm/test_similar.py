@@ -80,3 +80,47 @@ def test_large_sets_and_those_near_the_border_meet():
             pairs += 1
             lost += not set(similar.bands(own).tolist()) & set(similar.bands(other).tolist())
     assert lost <= pairs * 0.003
+
+
+def apart(seed):
+    """Two texts whose sets have a similarity of exactly 0.8."""
+    rng = random.Random(seed)
+    w = [f"w{rng.randrange(3000)}" for _ in range(13)]
+    return [" ".join(w), " ".join([*w[:-1], "x"])]
+
+
+def test_similar_sets_that_share_no_band_are_linked(spark, tables):
+    texts = [t for seed in (22799, 78596, 88822) for t in apart(seed)]
+    for a, b in zip(texts[::2], texts[1::2], strict=True):
+        own, other = similar.shingles(a.encode()), similar.shingles(b.encode())
+        assert similar.jaccard(own, other) == 0.8 and not set(similar.bands(own).tolist()) & set(similar.bands(other).tolist())
+    by_bits, by_both = expected(texts)
+    assert len(by_bits) == 6 and len(by_both) == 3
+    got = sorted(r[0] for r in P.near_dedup(spark, docs_of(spark, texts), tables).select("doc_id").collect())
+    assert got == by_both
+
+
+def test_similar_sets_among_many_with_a_common_passage_are_linked(spark, tables, monkeypatch):
+    monkeypatch.setattr(similar, "CHUNK", 2)
+    monkeypatch.setattr(similar, "MEET", 1)
+    monkeypatch.setattr(similar, "DEALT", 5)
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [f"{passage} {' '.join(f'w{rng.randrange(3000)}' for _ in range(rng.randrange(30, 50)))}" for _ in range(40)]
+    texts += [f"{t} {t.split()[-1]}x y" for t in texts[:20]] + [t for seed in (22799, 78596) for t in apart(seed)] + [passage, f"{passage} x"]
+    got = sorted(r[0] for r in P.near_dedup(spark, docs_of(spark, texts), tables).select("doc_id").collect())
+    assert got == expected(texts)[1]
+
+
+def test_similar_sets_share_a_first_shingle_in_any_order():
+    rng = np.random.default_rng(4)
+    for n in [*range(1, 40), 333, 1000]:
+        for extra in range(n // 4 + 1):
+            own = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            gone = rng.integers(0, (n - 4 * extra) // 5 + 1) if n >= 4 * extra else 0
+            other = np.unique(np.concatenate([rng.permutation(own)[: n - gone], rng.integers(0, 2**64, extra, dtype=np.uint64)]))
+            if similar.jaccard(own, other) < 0.8:
+                continue
+            last = np.unique(rng.permutation(np.union1d(own, other))[: rng.integers(0, n + 1)])
+            assert set(similar.first(own, last).tolist()) & set(similar.first(other, last).tolist())
+            assert np.array_equal(similar.first(own), own[: n // 5 + 1])
