@@ -105,19 +105,6 @@ def crc_mod(n: int, c: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def hashed_sample(df: DataFrame, n: int, key: Column) -> DataFrame:
-    """About n rows of df with distinct hashes of the key, or all if there are fewer: those whose hash falls in n shares of all rows.
-
-    Rows are not sorted and don't meet; only those chosen are shuffled, to drop repeats.
-    """
-    total = df.count()
-    if total <= n:
-        share = F.lit(True)
-    else:
-        share = F.pmod(F.xxhash64(key, F.lit(29)), F.lit(1 << 30)) < int(n / total * (1 << 30))
-    return df.withColumn("__sample", F.xxhash64(key)).where(share).dropDuplicates(["__sample"]).drop("__sample")
-
-
 def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """df through f in Arrow batches; the code is shipped first."""
     ship(df.sparkSession)

@@ -18,15 +18,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from .common import crc_mod, fresh, hashed_sample, map_batches, written
+from .common import crc_mod, fresh, map_batches, written
 
 ORDER = 5
-#: About how many documents the rejection thresholds are set on, and the share of each language's that they let pass.
-CALIBRATION_DOCS, PASS_SHARE = 4000, 0.999
+#: The share of each language's training texts that the rejection thresholds are set to let pass (5 % above), and bins by which it is found.
+PASS_SHARE, BINS = 0.999, 1 << 12
 #: Distinct runs that a worker remembers; distinct runs that are counted before they are sent on.
 CACHE, FLUSH = 1 << 20, 1 << 19
 #: Runs that are scored at a time.
@@ -316,11 +316,47 @@ def _nats(texts: DataFrame, models: Trained, keep: str) -> DataFrame:
     return out.groupBy(keep).agg(*sums, F.max("chars").alias("chars")).select(keep, F.array(*[f"n{i}" for i in range(len(sums))]).alias("nats"), "chars")
 
 
-def train(docs: DataFrame, where: Column | None = None) -> Trained:
+def _nats_beside(docs: DataFrame, models: Trained) -> DataFrame:
+    """Of each row of docs: row (a struct of its columns but text, and a number), nats by language, chars; written. Models of more than one part: docs are written first."""
+    others = [c for c in docs.columns if c != "text"]
+    own = docs.select(F.struct(*others, F.monotonically_increasing_id().alias(fresh(docs, "k"))).alias("row"), "text")
+    return written(_nats(written(own, "texts") if len(models.parts) > 1 else own, models, "row"), "nats")
+
+
+def quantiles(values: DataFrame, share: float) -> dict[str, float]:
+    """By lang, the quantile of x over all rows of values (lang, x), interpolated as numpy's: each turn keeps the bin that holds the rank."""
+    spark, found, schema = values.sparkSession, {}, "lang string, side int, rank long, lo double, hi double"
+    now, between = [], {}
+    for r in values.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect():
+        at = (r["n"] - 1) * share
+        between[r["lang"]] = at - int(at)
+        now += [(r["lang"], side, min(int(at) + side, r["n"] - 1), r["lo"], r["hi"]) for side in (0, 1)]
+    while now:
+        found |= {(lang, side): lo for lang, side, _, lo, hi in now if lo == hi}
+        if not (now := [t for t in now if t[3] < t[4]]):
+            break
+        kept = values.join(F.broadcast(spark.createDataFrame(now, schema)), "lang").where("x between lo and hi")
+        spot = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1)).alias("bin")
+        bins = kept.groupBy("lang", "side", "rank", spot).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        upto = bins.withColumn("upto", F.sum("n").over(Window.partitionBy("lang", "side").orderBy("bin")))
+        left = upto.where("rank < upto and rank >= upto - n").select("lang", "side", F.expr("rank - upto + n"), "lo", "hi")
+        now = [tuple(r) for r in left.collect()]
+    return {lang: found[lang, 0] + (found[lang, 1] - found[lang, 0]) * t for lang, t in between.items()}
+
+
+def calibrate(models: Trained, nats: DataFrame) -> None:
+    """Set the models' limits from nats (row with lang, nats, chars) of all training texts."""
+    x = F.get("nats", F.array_position(F.array(*map(F.lit, models.langs)), F.col("row.lang").cast("string")).cast("int") - 1) / F.col("chars")
+    values = nats.where("chars > 0").select(F.col("row.lang").cast("string").alias("lang"), x.alias("x")).where("x is not null")
+    models.limits |= {k: v * 1.05 for k, v in quantiles(values, PASS_SHARE).items()}
+
+
+def train(docs: DataFrame, where: Column | None = None, calibrated: bool = True) -> Trained:
     """Models of the languages (column lang, null: no label) of the texts that `where` keeps.
 
-    n-gram counts are of all these texts, and the models hold every n-gram. They stay in a table; the driver reads one part
-    of PART_ENTRIES at a time, to send it.
+    n-gram counts and limits are of all these texts, and the models hold every n-gram. They stay in a table; the driver reads
+    one part of PART_ENTRIES at a time, to send it. calibrated: score these texts for the limits; if not, none is rejected
+    until calibrate() is called.
     """
     own = (docs if where is None else docs.where(where)).where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text")
     counts = map_batches(own, _count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -353,17 +389,25 @@ def train(docs: DataFrame, where: Column | None = None) -> Trained:
             parts[-1].append((lang, k))
             room -= n
     out = Trained(langs, table, parts, unseen)
-    if not langs:
-        return out
-    sample = hashed_sample(own, CALIBRATION_DOCS, F.col("text")).withColumn("k", F.monotonically_increasing_id())
-    sample = written(sample, "calibration")
-    seen = defaultdict(list)
-    for r in _nats(sample, out, "k").join(sample.select("k", "lang"), "k").where("chars > 0").select("lang", "nats", "chars").collect():
-        seen[r["lang"]].append(r["nats"][langs.index(r["lang"])] / r["chars"])
-    out.limits |= {k: float(np.quantile(v, PASS_SHARE)) * 1.05 for k, v in seen.items()}
+    if langs and calibrated:
+        calibrate(out, _nats_beside(own, out))
     return out
 
 
+def _decided(rows: DataFrame, models: Trained, schema: StructType) -> DataFrame:
+    """rows, whose last columns are nats and chars, with lang_pred, score and rejected in their place."""
+    decider = Models(models.langs, {})
+    decider.limits = models.limits
+
+    def decide(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            h = np.array(b.column(b.num_columns - 2).to_pylist(), float).reshape(b.num_rows, len(decider.langs))
+            found = decider.decide(h, b.column(b.num_columns - 1).to_numpy())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *map(pa.array, found)], schema.names)
+
+    return map_batches(rows, decide, schema)
+
+
 def with_language(docs: DataFrame, models: Trained, text: str = "text") -> DataFrame:
     """docs with lang_pred (the language of the least cross-entropy), score (0 to 1) and rejected.
 
@@ -380,15 +424,7 @@ def with_language(docs: DataFrame, models: Trained, text: str = "text") -> DataF
         k = fresh(own, "__row")
         rows = written(own.withColumn(k, F.monotonically_increasing_id()), "texts")
         nats = _nats(rows.select(k, F.col(text).alias("text")), models, k).withColumnsRenamed({"nats": fresh(rows, "__nats"), "chars": fresh(rows, "__chars")})
-        both = rows.join(nats, k).drop(k)
-
-        def decide(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in it:
-                h = np.array(b.column(b.num_columns - 2).to_pylist(), float).reshape(b.num_rows, len(decider.langs))
-                found = decider.decide(h, b.column(b.num_columns - 1).to_numpy())
-                yield pa.RecordBatch.from_arrays([*b.columns[:-2], *map(pa.array, found)], names)
-
-        return map_batches(both, decide, schema)
+        return _decided(rows.join(nats, k).drop(k), models, schema)
     sent = docs.sparkSession.sparkContext.broadcast(models.part(0) if models.parts else decider)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,5 +439,11 @@ def with_language(docs: DataFrame, models: Trained, text: str = "text") -> DataF
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: doc_id, held_out, lang_pred, score, rejected."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    models = train(docs, crc_mod(4) != 2)
-    return with_language(docs.select("doc_id", "text"), models).select("doc_id", (crc_mod(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+    models, held_out = train(docs, crc_mod(4) != 2, calibrated=False), (crc_mod(4) == 2).alias("held_out")
+    if not models.langs:
+        return with_language(docs.select("doc_id", "text"), models).select("doc_id", held_out, "lang_pred", "score", "rejected")
+    # the training texts are scored anyhow, so one pass over all gives the limits and the results
+    nats = _nats_beside(docs.select("doc_id", "lang", held_out, "text"), models)
+    calibrate(models, nats.where("not row.held_out"))
+    schema = StructType([docs.schema["doc_id"], StructField("held_out", BooleanType()), StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("rejected", BooleanType())])
+    return _decided(nats.select("row.doc_id", "row.held_out", "nats", "chars"), models, schema)

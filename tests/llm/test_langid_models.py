@@ -45,3 +45,38 @@ def test_parts_add_up_to_the_whole(spark, monkeypatch):
     assert table(parts) == want
     sizes = [sum(len(m.h) + len(m.ctx) for m in parts.part(k).models if m) for k in range(len(parts.parts))]
     assert max(sizes) < sum(len(m.h) + len(m.ctx) for m in whole.part(0).models)
+
+
+def test_limits_come_from_all_training_texts(spark):
+    rng = random.Random(2)
+    data = [(" ".join(rng.choices(["kala", "mala", "zrut", "lak", "q" * rng.randrange(1, 5)], k=rng.randrange(1, 6))), "aa" if i % 9 else "bb") for i in range(9000)]
+    models = langid.train(spark.createDataFrame([*data, ("123", "aa"), (None, "aa")], "text string, lang string").repartition(5))
+    for k, lang in enumerate(models.langs):
+        h, _ = models.part(0).entropies([t for t, x in data if x == lang])
+        assert models.limits[lang] == pytest.approx(np.quantile(h[:, k], langid.PASS_SHARE) * 1.05, rel=1e-9)
+
+
+def test_op7_rejects_by_limits_of_all_training_texts(spark, tmp_path, monkeypatch):
+    rng = random.Random(2)
+    words = ["kala", "mala", "zrut", "lak"]
+    data = [(i, " ".join([*rng.choices(words, k=rng.randrange(1, 4)), "".join(rng.choices("kalzrut", k=4))]), ("aa", "bb")[i % 2]) for i in range(6000)]
+    spark.createDataFrame([*data, (6000, None, "aa"), (6000, "12", None), (None, "kala", None)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    rows = lambda d: sorted((str(r["doc_id"]), r["lang_pred"], r["rejected"], r["score"]) for r in d.collect())
+    want = rows(langid.with_language(docs, langid.train(docs, langid.crc_mod(4) != 2)))
+    assert len(want) == 6003
+    for entries in (langid.PART_ENTRIES, 2000):
+        monkeypatch.setattr(langid, "PART_ENTRIES", entries)
+        got = rows(langid.op7_langid(spark, str(tmp_path)))
+        assert [r[:3] for r in got] == [r[:3] for r in want]
+        assert [r[3] for r in got] == pytest.approx([r[3] for r in want], abs=1e-4)
+
+
+def test_quantiles_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(langid, "BINS", 3)
+    rng = np.random.default_rng(1)
+    own = {"a": rng.normal(size=500), "b": np.repeat([1.0, 2.0, np.nextafter(2.0, 3)], 7), "c": np.array([-0.5]), "d": rng.integers(0, 4, 300) * 1e-300}
+    frame = spark.createDataFrame([(k, float(x)) for k, v in own.items() for x in v], "lang string, x double")
+    for share in (0.0, 0.37, 0.999, 1.0):
+        got = langid.quantiles(frame, share)
+        assert got.keys() == own.keys() and all(got[k] == pytest.approx(np.quantile(v, share), rel=1e-12) for k, v in own.items())
