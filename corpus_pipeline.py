@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), where docs is what the stage before it kept, and its decisions take effect: rows go
 or are repeated. All but the last return the columns of documents. A stage's result is written to the shared folder and
-read again for the next.
+read again for the next; tables that a stage writes on its way go as soon as its decisions are written.
 
 Decisions are of rows, told apart by id and text: rows of equal ids, or without one, are documents of their own if their
 texts differ, and copies if not. They are made on ids and hashes; texts are shuffled only where rows are counted
@@ -15,12 +15,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fresh, id_key, sent_if_small, text_key, written
+from millrace.llm.common import fresh, id_key, passing, sent_if_small, text_key, written
 from millrace.llm.decontamination import overlaps
 from millrace.llm.mixing import with_taken
 from millrace.llm.quality import train, with_scores
 from millrace.llm.sharding import with_shards
-from millrace.llm.similar import similar_links, sketches
+from millrace.llm.similar import similar_links, sketched
 from millrace.llm.simhash import least_of, roots_of
 
 #: Documents whose probability of label 1 is below this go. Half: a document goes if label 0 is likelier.
@@ -47,21 +47,24 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Near copies have a Jaccard similarity of 0.8 or more of their 5-word shingles, or fingerprints within 4 bits. Of equal
     rows (id and text) of that document one stays.
     """
-    t = written(sketches(docs), "sketches")
-    rank = F.struct(F.col("doc_id").isNull().alias("last"), id_key().alias("id"), F.col("h").alias("h"))
-    nodes = written(t.groupBy("fp").agg(F.min(rank).alias("first")), "nodes")
-    first = least_of(nodes, roots_of(nodes, more=similar_links(t, docs)), "first").select(F.col("first.id").alias("id"), F.col("first.h").alias("h")).distinct()
-    rows = t.groupBy(id_key().alias("id"), "h").agg(F.count(F.lit(1)).alias("n")).join(first.withColumn("stays", F.lit(True)), ["id", "h"], "left")
-    decided = rows.where("stays is null or n > 1").select("id", "h", F.coalesce("stays", F.lit(False)).alias("what"))
-    own, what = _keyed(docs, sent_if_small(written(decided, "decided")))
+    with passing(spark):
+        t, members = sketched(docs)
+        rank = F.struct(F.col("doc_id").isNull().alias("last"), id_key().alias("id"), F.col("h").alias("h"))
+        nodes = written(t.groupBy("fp").agg(F.min(rank).alias("first")), "nodes")
+        first = least_of(nodes, roots_of(nodes, more=similar_links(members, docs)), "first").select(F.col("first.id").alias("id"), F.col("first.h").alias("h")).distinct()
+        rows = t.groupBy(id_key().alias("id"), "h").agg(F.count(F.lit(1)).alias("n")).join(first.withColumn("stays", F.lit(True)), ["id", "h"], "left")
+        decided = rows.where("stays is null or n > 1").select("id", "h", F.coalesce("stays", F.lit(False)).alias("what"))
+        decided = written(decided, "decided", lasting=True)
+    own, what = _keyed(docs, sent_if_small(decided))
     once = own.where(F.col(what)).dropDuplicates([c for c in own.columns if c not in docs.columns])
     return own.where(F.col(what).isNull()).unionByName(once).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an overlap with a benchmark item."""
-    hits = overlaps(docs.select(id_key().alias("id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keys=("id",))
-    leaked = written(hits.select("id", F.col("text_hash").alias("h"), F.lit(True).alias("what")).distinct(), "leaked")
+    with passing(spark):
+        hits = overlaps(docs.select(id_key().alias("id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keys=("id",))
+        leaked = written(hits.select("id", F.col("text_hash").alias("h"), F.lit(True).alias("what")).distinct(), "leaked", lasting=True)
     own, what = _keyed(docs, sent_if_small(leaked))
     return own.where(F.col(what).isNull()).select(*docs.columns)
 
@@ -95,6 +98,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with passing(spark):
+            docs = written(stage(spark, docs, sf_dir), name, lasting=True)
     name, stage = STAGES[-1]
     return stage(spark, docs, sf_dir)

@@ -6,6 +6,8 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import pyarrow as pa
@@ -19,7 +21,12 @@ BLANK = b" \t\n\x0b\x0c\r"
 #: A word, as Java's and DuckDB's regular expressions write it.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Whether a query's shuffle files go when it ends, instead of when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _shipped: set[str] = set()
+#: Paths of the tables of each scope of passing() that is open.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def ship(spark: SparkSession) -> None:
@@ -53,11 +60,13 @@ def _hadoop_path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder. It goes when the application ends."""
+def scratch(spark: SparkSession, label: str, lasting: bool = False) -> str:
+    """A new path in the shared folder. It goes with the innermost scope of passing(), if lasting with the next outer one; without a scope, when the application ends."""
     path = f"{shared_dir(spark).rstrip('/')}/millrace/{label}-{uuid.uuid4().hex}"
     p, fs = _hadoop_path(spark, path)
     fs.deleteOnExit(p)
+    if scopes := _scopes.get()[: -1 if lasting else None]:
+        scopes[-1].append(path)
     return path
 
 
@@ -66,9 +75,24 @@ def discard(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def written(df: DataFrame, label: str, compression: str = "snappy", by: str | None = None) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, and a lost executor loses nothing. by: a column of few values whose rows are read apart."""
-    path = scratch(df.sparkSession, label)
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """A scope: tables written in it, but for the lasting ones, go when it ends, and files of its shuffles with each query. What is read after it must not come from them."""
+    was, paths = spark.conf.get(CLEANUP, None), []
+    token = _scopes.set((*_scopes.get(), paths))
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        spark.conf.unset(CLEANUP) if was is None else spark.conf.set(CLEANUP, was)
+        for path in paths:
+            discard(spark, path)
+
+
+def written(df: DataFrame, label: str, compression: str = "snappy", by: str | None = None, lasting: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it again: cuts lineage, and a lost executor loses nothing. by: a column of few values whose rows are read apart. lasting: it outlives passing()."""
+    path = scratch(df.sparkSession, label, lasting)
     df.write.parquet(path, compression=compression, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

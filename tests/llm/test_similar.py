@@ -1,12 +1,14 @@
 """Near copies of the pipeline by 5-word shingles, against all pairs."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 import corpus_pipeline as P
 from millrace.llm import similar
+from millrace.llm.common import CLEANUP, shared_dir
 
 from .test_operators import DOCS, brute_fingerprint, components
 
@@ -124,3 +126,55 @@ def test_similar_sets_share_a_first_shingle_in_any_order():
             last = np.unique(rng.permutation(np.union1d(own, other))[: rng.integers(0, n + 1)])
             assert set(similar.first(own, last).tolist()) & set(similar.first(other, last).tolist())
             assert np.array_equal(similar.first(own), own[: n // 5 + 1])
+
+
+def sets_around_a_passage(n, passage, own):
+    rng = np.random.default_rng(6)
+    common = rng.integers(0, 2**64, passage, dtype=np.uint64)
+    return [np.unique(np.concatenate([common, rng.integers(0, 2**64, own, dtype=np.uint64)])) for _ in range(n)]
+
+
+def test_sets_that_cannot_be_similar_do_not_meet_in_a_common_passage(spark):
+    # each two share 100 of 118: their first shingles hold the passage's when it comes last, but too few follow
+    sets = sets_around_a_passage(60, 100, 18)
+    last = np.sort(np.intersect1d(sets[0], sets[1]))
+    assert similar.jaccard(sets[0], sets[1]) < 0.8 and set(similar.first(sets[0], last).tolist()) & set(last.tolist())
+    rows = [(i, int(key), at, len(s), i) for i, s in enumerate(sets) for at, key in enumerate(similar.first(s, last).view(np.int64).tolist())]
+    met = similar._met(spark.createDataFrame(rows, "h long, key long, at int, size int, root long"))
+    assert met.count() == 0
+
+
+def test_similar_sets_meet_in_the_first_shingle_that_they_share_and_pass_by_marks(spark):
+    rng, rows, pairs = np.random.default_rng(8), [], 0
+    for n in [*range(1, 30), 333]:
+        for extra in range(n // 4 + 1):
+            own = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            gone = (n - 4 * extra) // 5 if n >= 4 * extra else 0
+            other = np.unique(np.concatenate([rng.permutation(own)[: n - gone], rng.integers(0, 2**64, extra, dtype=np.uint64)]))
+            if similar.jaccard(own, other) < 0.8:
+                continue
+            both = len(np.intersect1d(own, other))
+            assert both >= similar.least_shared(len(own), len(other))
+            assert similar.may_be_similar(similar.marks(own), len(own), similar.marks(other), len(other))
+            last = np.unique(rng.permutation(np.union1d(own, other))[: rng.integers(0, n + 1)])
+            for h, s in ((2 * pairs, own), (2 * pairs + 1, other)):
+                rows += [(h, int(key), at, len(s), h) for at, key in enumerate(similar.first(s, last).view(np.int64).tolist())]
+            pairs += 1
+    met = similar._met(spark.createDataFrame(rows, "h long, key long, at int, size int, root long")).collect()
+    assert sorted(min(r["a"], r["b"]) // 2 for r in met) == list(range(pairs))
+
+
+def test_near_dedup_leaves_only_its_decisions_on_disk(spark, tables):
+    shared = Path(shared_dir(spark).removeprefix("file://")) / "millrace"
+    before = {p.name for p in shared.glob("*")}
+    was = spark.conf.get(CLEANUP)
+    P.near_dedup(spark, docs_of(spark, near_copies(3)), tables).collect()
+    assert [p.name.split("-")[0] for p in shared.glob("*") if p.name not in before] == ["decided"] and spark.conf.get(CLEANUP) == was
+
+
+def test_a_group_that_few_links_join_is_whole(spark, tables, monkeypatch):
+    monkeypatch.setattr(similar, "CHUNK", 8)
+    monkeypatch.setattr(similar, "LINKS", 1)
+    texts = near_copies(2, 40)
+    got = sorted(r[0] for r in P.near_dedup(spark, docs_of(spark, texts), tables).select("doc_id").collect())
+    assert got == expected(texts)[1]
