@@ -11,7 +11,7 @@ of these alone are read again, and their sets compared exactly.
 
 Bands and chunks leave some similar sets apart, so an exact search follows between what they have not joined. In any one order
 of all shingles, two similar sets of sizes m and n share one of the first m // 5 + 1 and n // 5 + 1. The order is that of the
-hashes, but shingles in which many unjoined sets meet come last. The first shingle that two similar sets share has, in either
+hashes, but shingles in which many unjoined sets meet, and those that are frequent in a sample of these sets, come last. The first shingle that two similar sets share has, in either
 one, at least as many after it as they must share; so an unjoined pair meets only in shingles of which this holds. Pairs
 that meet are compared unless their marks tell that they can't be similar.
 """
@@ -37,8 +37,10 @@ BANDS, ROWS = 24, 5
 LARGE = 480
 #: Texts that are compared with one another at most, links by bands that a text keeps; shingles that meet the hash functions at a time.
 CHUNK, LINKS, STEP = 64, 3, 1 << 10
-#: How often shingles are put last, how many at most, and for how many pairs a row; rows of one shingle in a part of a join.
-ROUNDS, LAST, MEET, DEALT = 4, 1 << 20, 8, 1 << 10
+#: How often shingles are put last, how many at most, and for how many pairs a row; texts, about, of which all shingles are counted for it.
+ROUNDS, LAST, MEET, SAMPLE = 4, 1 << 20, 8, 1 << 12
+#: Rows of one shingle in a part of a join.
+DEALT = 1 << 10
 
 _rng = np.random.default_rng(17)
 _factors = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -252,6 +254,28 @@ def _met(rows: DataFrame) -> DataFrame:
     return left.join(right, ["key", "part"]).where(may).select("a", "b", "ra", "rb").distinct()
 
 
+def _holding(sets: DataFrame, keys: np.ndarray) -> DataFrame:
+    """h of the sets whose first shingles hold one of keys, written."""
+    sent = F.broadcast(sets.sparkSession.createDataFrame(pa.table({"key": keys})))
+    return written(_tokens(sets).join(sent, "key", "left_semi").select("h").distinct(), "asked")
+
+
+def _common(docs: DataFrame, asked: DataFrame, most: int) -> np.ndarray:
+    """Shingles, up to `most`, that are frequent in about SAMPLE of the texts asked (written), if there are more: those of passages that many share, of which first shingles show a few only."""
+    n = asked.count()
+    if n <= SAMPLE:
+        return np.zeros(0, np.int64)
+    some = asked.where(F.pmod(F.xxhash64("h", F.lit(1)), F.lit(-(-n // SAMPLE))) == 0)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingles(t.as_py()).view(np.int64) for t in b.column(1)])], ["h", "keys"])
+
+    each = map_batches(_texts_of(docs, some).dropDuplicates(["h"]), run, "h long, keys array<long>").select(F.explode("keys").alias("key"))
+    counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2, 2 * MEET * SAMPLE // n))
+    return counts.orderBy(F.desc("n"), "key").limit(most).select("key").toArrow()["key"].to_numpy()
+
+
 def _left_apart(members: DataFrame, docs: DataFrame, links: DataFrame) -> DataFrame:
     """Links (a, b) between roots of links' components: of all similar sets that links don't join, none is left out."""
     spark = members.sparkSession
@@ -269,8 +293,13 @@ def _left_apart(members: DataFrame, docs: DataFrame, links: DataFrame) -> DataFr
         new = many.orderBy(F.desc("pairs"), "key").limit(LAST - len(last)).select("key").toArrow()["key"].to_numpy()
         if not len(new):
             break
+        asked = _holding(now, new)
+        also = np.setdiff1d(_common(docs, asked, LAST - len(last) - len(new)), last)
+        if len(also):
+            # all sets follow one order: those that hold any of what is put last now are read again
+            new = np.union1d(new, also)
+            asked = _holding(now, new)
         last = np.union1d(last, new)
-        asked = written(_tokens(now).join(F.broadcast(spark.createDataFrame(pa.table({"key": new}))), "key", "left_semi").select("h").distinct(), "asked")
         sent = spark.sparkContext.broadcast(np.sort(last.view(np.uint64)))
 
         def again(it: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

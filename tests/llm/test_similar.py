@@ -178,3 +178,27 @@ def test_a_group_that_few_links_join_is_whole(spark, tables, monkeypatch):
     texts = near_copies(2, 40)
     got = sorted(r[0] for r in P.near_dedup(spark, docs_of(spark, texts), tables).select("doc_id").collect())
     assert got == expected(texts)[1]
+
+
+def test_a_common_passage_is_found_in_a_sample_and_comes_last(spark, monkeypatch):
+    monkeypatch.setattr(similar, "SAMPLE", 20)
+    rng = random.Random(7)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = [f"{passage} {' '.join(f'w{rng.randrange(3000)}' for _ in range(20))}" for _ in range(100)]
+    docs = docs_of(spark, texts)
+    asked = docs.select(similar.text_key().alias("h"))
+    shared = similar.shingles(passage.encode()).view(np.int64)
+    assert set(shared.tolist()) <= set(similar._common(docs, asked, 1 << 20).tolist())
+    assert len(similar._common(docs, asked, 5)) == 5 and not len(similar._common(docs, asked.limit(20), 1 << 20))
+
+
+def test_an_exact_search_by_a_sample_misses_nothing(spark, tables, monkeypatch):
+    monkeypatch.setattr(similar, "CHUNK", 2)
+    monkeypatch.setattr(similar, "MEET", 1)
+    monkeypatch.setattr(similar, "SAMPLE", 4)
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [f"{passage} {' '.join(f'w{rng.randrange(3000)}' for _ in range(rng.randrange(8, 20)))}" for _ in range(30)]
+    texts += [f"{t} {t.split()[-1]}x y" for t in texts[:10]] + [t for seed in (22799, 78596) for t in apart(seed)] + [passage, f"{passage} x"]
+    got = sorted(r[0] for r in P.near_dedup(spark, docs_of(spark, texts), tables).select("doc_id").collect())
+    assert got == expected(texts)[1]
