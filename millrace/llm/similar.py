@@ -37,8 +37,8 @@ BANDS, ROWS = 24, 5
 LARGE = 480
 #: Texts that are compared with one another at most, links by bands that a text keeps; shingles that meet the hash functions at a time.
 CHUNK, LINKS, STEP = 64, 3, 1 << 10
-#: How often shingles are put last, how many at most, and for how many pairs a row; texts, about, of which all shingles are counted for it.
-ROUNDS, LAST, MEET, SAMPLE = 4, 1 << 20, 8, 1 << 12
+#: How often shingles are put last, how many at most, and for how many pairs a row; texts, about, of which all shingles are counted for it, and the least count.
+ROUNDS, LAST, MEET, SAMPLE, FREQUENT = 4, 1 << 20, 8, 1 << 12, 8
 #: Rows of one shingle in a part of a join.
 DEALT = 1 << 10
 
@@ -272,7 +272,7 @@ def _common(docs: DataFrame, asked: DataFrame, most: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([b.column(0), _lists([shingles(t.as_py()).view(np.int64) for t in b.column(1)])], ["h", "keys"])
 
     each = map_batches(_texts_of(docs, some).dropDuplicates(["h"]), run, "h long, keys array<long>").select(F.explode("keys").alias("key"))
-    counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2, 2 * MEET * SAMPLE // n))
+    counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(FREQUENT, 2 * MEET * SAMPLE // n))
     return counts.orderBy(F.desc("n"), "key").limit(most).select("key").toArrow()["key"].to_numpy()
 
 
@@ -307,6 +307,7 @@ def _left_apart(members: DataFrame, docs: DataFrame, links: DataFrame) -> DataFr
                 yield pa.RecordBatch.from_arrays([b.column(0), _lists([first(shingles(t.as_py()), sent.value).view(np.int64) for t in b.column(1)])], ["h", "first"])
 
         fresh = written(map_batches(_texts_of(docs, asked), again, "h long, first array<long>").dropDuplicates(["h"]), "first")
+        sent.destroy()
         updates = fresh if updates is None else updates.join(sent_if_small(asked), "h", "left_anti").unionByName(fresh)
         touched = asked if touched is None else touched.union(asked)
         now = some.select("h", "first").join(sent_if_small(touched), "h", "left_anti").unionByName(updates)

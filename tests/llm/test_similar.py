@@ -196,6 +196,7 @@ def test_an_exact_search_by_a_sample_misses_nothing(spark, tables, monkeypatch):
     monkeypatch.setattr(similar, "CHUNK", 2)
     monkeypatch.setattr(similar, "MEET", 1)
     monkeypatch.setattr(similar, "SAMPLE", 4)
+    monkeypatch.setattr(similar, "FREQUENT", 2)
     rng = random.Random(3)
     passage = " ".join(f"p{i}" for i in range(40))
     texts = [f"{passage} {' '.join(f'w{rng.randrange(3000)}' for _ in range(rng.randrange(8, 20)))}" for _ in range(30)]
